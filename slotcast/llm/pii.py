@@ -16,20 +16,18 @@ bounds, is ever gathered.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELERS = ["shape", "gazetteer", "context", "boundary"]
-VOTES = [-1, 0, 1]
-ROUNDS = 12
+ROUNDS = 8
 BESIDE = 48
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -47,8 +45,9 @@ WIDE = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.)(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
 }
-#: A cheap test that every match passes.
-HINT = {"email": "@", "phone": "+"}
+#: Strings of which every text with a match holds one; all others need a digit.
+HINTS = {"email": (["@"], ["at)", "at]", "at}"]), "ip": (None, [":"]), "card": (None, None), "phone": (["+"], None)}
+DIGIT = "has a digit"
 
 # Cue words and lists of the labelers.
 CUES = {
@@ -99,7 +98,14 @@ def _valid(kind: str, hit: Column) -> Column:
 _FOUND = "array<struct<kind:int,start:int,end:int,hit:string,before:string,after:string>>"
 
 
-def _matches(text: Column, kind: str, pattern: str, hint: str | None) -> Column:
+def _likely(text: Column, hints: list[str] | None) -> Column:
+    """False only for texts without a match; far cheaper than the pattern."""
+    if hints is None:
+        return F.col(DIGIT)
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(h)) for h in hints])
+
+
+def _matches(text: Column, kind: str, pattern: str, likely: Column) -> Column:
     """Every match with its place in code points and the text beside it.
 
     The pieces between matches and the matches come from the same pattern, so their
@@ -118,7 +124,6 @@ def _matches(text: Column, kind: str, pattern: str, hint: str | None) -> Column:
         )
         return F.when(x["h"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
 
-    likely = F.contains(text, F.lit(hint)) if hint else text.rlike(pattern)
     return F.when(likely, F.aggregate(rows, start, add, lambda a: a["out"])).otherwise(F.lit([]).cast(_FOUND))
 
 
@@ -154,17 +159,15 @@ def _votes(kind: Column, hit: Column, before: Column, after: Column) -> dict[str
 
 
 def candidates(text: Column) -> Column:
-    """Candidates of a text, ``base`` and ``wide``: kind (number), start, end, votes, length class.
+    """Candidates of a text: kind (number), start, end, base, votes and length class.
 
     Places are in code points, the end exclusive.  Base candidates passed their rules.
-    Null counts as empty.
     """
-    text = F.coalesce(text, F.lit(""))
     def base_of(kind: str) -> Column:
-        return F.filter(_matches(text, kind, BASE[kind], HINT.get(kind)), lambda x: _valid(kind, x["hit"]))
+        return F.filter(_matches(text, kind, BASE[kind], _likely(text, HINTS[kind][0])), lambda x: _valid(kind, x["hit"]))
 
     base = F.concat(*[base_of(k) for k in KINDS])
-    wide = F.concat(*[_matches(text, k, WIDE[k], None) for k in KINDS])
+    wide = F.concat(*[_matches(text, k, WIDE[k], _likely(text, HINTS[k][1])) for k in KINDS])
 
     def out(is_base: bool):
         def one(x):
@@ -174,13 +177,15 @@ def candidates(text: Column) -> Column:
 
         return one
 
-    return F.struct(F.transform(base, out(True)).alias("base"), F.transform(wide, out(False)).alias("wide"))
+    return F.concat(F.transform(base, out(True)), F.transform(wide, out(False)))
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the array ``cands`` added."""
-    apart = F.filter("c.wide", lambda w: ~F.exists("c.base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return docs.withColumn("c", candidates(F.col(text_col))).withColumn("cands", F.concat("c.base", apart)).drop("c")
+    """``docs`` with the array ``cands`` added: base ones, and wide ones apart from those."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn(DIGIT, text.rlike("[0-9]")).withColumn("c", candidates(text))
+    apart = F.filter("c", lambda x: x["base"] | ~F.exists("c", lambda b: b["base"] & (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return rows.withColumn("cands", apart).drop("c", DIGIT)
 
 
 def _patterns(found: DataFrame) -> DataFrame:
@@ -188,42 +193,41 @@ def _patterns(found: DataFrame) -> DataFrame:
     return found.select(F.explode("cands").alias("x")).select("x.*").groupBy("kind", *LABELERS, "size").agg(F.count("*").alias("n"))
 
 
-def _posterior(model: dict) -> Column:
-    """Probability that a candidate with these votes is true."""
-    out = F.lit(0.5)
-    for kind, (prior, tables) in model.items():
-        odds = F.lit(math.log(prior / (1 - prior)))
-        for name, (true, false) in zip(LABELERS, tables):
-            odds = odds + reduce(lambda o, v: F.when(F.col(name) == VOTES[v], math.log(true[v] / false[v])).otherwise(o), range(3), F.lit(0.0))
-        out = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-odds))).otherwise(out)
-    return out
-
-
-def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
-    """By kind: share of true candidates, and each labeler's votes on true and false ones.
+def posteriors(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``patterns`` with ``p``, the probability that a candidate with these votes is true.
 
-    Starts from the majority of votes; a weak prior says that labelers are more often
-    right than wrong, so the two classes can't change places.
+    Expectation-maximisation within each kind, all rounds in one job: sums over the
+    patterns of a kind and vote give how often a labeler votes so on true and on false
+    candidates; these give the odds of each pattern.  Starts from the majority of
+    votes; a weak prior says that labelers are more often right than wrong, so the two
+    classes can't change places.
     """
-    prior_true, prior_false = [1.0, 2.0, 4.0], [4.0, 2.0, 1.0]
     p = 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [F.col(x).cast("double") for x in LABELERS])))
-    model: dict = {}
-    for _ in range(rounds):
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("t")]
+    rows = patterns.withColumn("p", p)
+    for i in range(rounds):
+        true, false = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
+        kind = Window.partitionBy("kind")
+        rows = rows.withColumn("t", F.sum(true).over(kind)).withColumn("f", F.sum(false).over(kind))
+        odds = F.log((F.col("t") + 1) / (F.col("f") + 1))
         for name in LABELERS:
-            for v in VOTES:
-                own = F.when(F.col(name) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(own * F.col("p")).alias(f"t_{name}_{v + 1}"), F.sum(own * (1 - F.col("p"))).alias(f"f_{name}_{v + 1}")]
-        model = {}
-        for r in patterns.withColumn("p", p).groupBy("kind").agg(*sums).collect():
-            tables = []
-            for name in LABELERS:
-                true = [r[f"t_{name}_{v}"] + prior_true[v] for v in range(3)]
-                false = [r[f"f_{name}_{v}"] + prior_false[v] for v in range(3)]
-                tables.append(([x / sum(true) for x in true], [x / sum(false) for x in false]))
-            model[r["kind"]] = ((r["t"] + 1) / (r["n"] + 2), tables)
-        p = _posterior(model)
-    return model
+            own = Window.partitionBy("kind", name)
+            right = F.pow(2.0, F.col(name) + 1)  # 1, 2 or 4 votes before any is seen
+            says_true = (F.sum(true).over(own) + right) / (F.col("t") + 7)
+            says_false = (F.sum(false).over(own) + 4 / right) / (F.col("f") + 7)
+            odds = odds + F.log(says_true / says_false)
+        rows = rows.withColumn("p", 1 / (1 + F.exp(-odds))).drop("t", "f")
+        if i % 4 == 3 or i + 1 == rounds:
+            rows = stored(rows, "posteriors")
+    return rows
+
+
+def reliabilities(rated: DataFrame) -> DataFrame:
+    """kind, labeler, vote, and how often it is cast on true and on false candidates."""
+    votes = F.explode(F.array(*[F.struct(F.lit(x).alias("labeler"), F.col(x).alias("vote")) for x in LABELERS]))
+    cast = rated.select("kind", "n", "p", votes.alias("v")).groupBy("kind", "v.labeler", "v.vote")
+    sums = cast.agg(F.sum(F.col("n") * F.col("p")).alias("t"), F.sum(F.col("n") * (1 - F.col("p"))).alias("f"))
+    whole = Window.partitionBy("kind", "labeler")
+    return sums.select("kind", "labeler", "vote", (F.col("t") / F.sum("t").over(whole)).alias("on_true"), (F.col("f") / F.sum("f").over(whole)).alias("on_false"))
 
 
 def _features(get) -> list[Column]:
@@ -237,12 +241,11 @@ def train(found: DataFrame) -> list[float] | None:
     patterns = stored(_patterns(found).coalesce(1), "patterns")
     if patterns.isEmpty():
         return None
-    model = reliabilities(patterns)
-    soft = patterns.withColumn("p", _posterior(model)).withColumn("features", array_to_vector(F.array(*_features(F.col))))
+    soft = posteriors(patterns).withColumn("features", array_to_vector(F.array(*_features(F.col))))
     rows = soft.select("features", F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("w")).unionByName(
         soft.select("features", F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("w"))
     )
-    fit = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=25, standardization=False, fitIntercept=False).fit(rows.coalesce(1))
+    fit = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=15, standardization=False, fitIntercept=False).fit(rows.coalesce(1))
     return [float(x) for x in fit.coefficients]
 
 
@@ -259,18 +262,17 @@ def accepted(cands: Column, weights: list[float] | None) -> Column:
     return F.array_sort(slim)
 
 
-def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the array ``spans`` (start, kind number, end, base) of every row added.
+def find_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of every row of ``docs``, and the array ``spans``.
 
-    Learns from all candidates of ``docs``.  Null texts count as empty; repeated rows
-    count as often as they occur; an empty table stays empty; columns named spans,
-    cands or c are replaced.
+    A span is (start, kind number, end, base).  Learns from all candidates of ``docs``.
+    Null texts count as empty; repeated rows count as often as they occur; an empty
+    table stays empty; columns named spans, cands or c are replaced.  Candidates are
+    found once and written to the shared folder with the kept columns.
     """
     docs = docs.drop("spans", "cands", "c")
-    slim = docs.select(F.col(text_col).alias("text"))
-    weights = train(with_candidates(slim))
-    found = with_candidates(docs, text_col)
-    return found.withColumn("spans", accepted(F.col("cands"), weights)).drop("cands")
+    found = stored(with_candidates(docs, text_col).select(*(keep or docs.columns), "cands"), "candidates")
+    return found.withColumn("spans", accepted(F.col("cands"), train(found))).drop("cands")
 
 
 def written(spans: Column) -> Column:

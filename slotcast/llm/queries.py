@@ -78,7 +78,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its counts of base spans, and all spans."""
-    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("spans", lambda x: x["base"])
 
     def count(k: int):

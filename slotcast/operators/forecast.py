@@ -176,11 +176,11 @@ def rolling_quantile_forecast(panel: DataFrame, days: DataFrame, taus: list[floa
         if not len(test_rows):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         past = pdf[~pdf["is_test"]]
-        x = np.array([list(v) for v in past["x"]], float).reshape(len(past), -1)
-        y = past["y_true"].to_numpy(float)
-        good = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
         first = test_rows.iloc[0]
         x_day = np.array(first["x"], float)
+        x = np.array([list(v) for v in past["x"]], float).reshape(len(past), len(x_day))
+        y = past["y_true"].to_numpy(float)
+        good = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
         q = None
         if good.sum() > x.shape[1] + 1 and not np.isnan(x_day).any():
             try:

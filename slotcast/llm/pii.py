@@ -42,7 +42,7 @@ BASE = {
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?+(?:\(at\)|\[at\]|\{at\}) ?+[A-Za-z0-9-]{1,63}+(?: ?+(?:\.|\(dot\)|\[dot\]|\{dot\}) ?+[A-Za-z0-9-]{2,63}+){1,4}+",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.)(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
 }
 #: Strings of which every text with a match holds one; all others need a digit.
@@ -167,7 +167,11 @@ def candidates(text: Column) -> Column:
         return F.filter(_matches(text, kind, BASE[kind], _likely(text, HINTS[kind][0])), lambda x: _valid(kind, x["hit"]))
 
     base = F.concat(*[base_of(k) for k in KINDS])
-    wide = F.concat(*[_matches(text, k, WIDE[k], _likely(text, HINTS[k][1])) for k in KINDS])
+    def wide_of(kind: str) -> Column:
+        found = _matches(text, kind, WIDE[kind], _likely(text, HINTS[kind][1]))
+        return F.filter(found, lambda x: _valid(kind, x["hit"])) if kind == "card" else found  # a wrong check digit is no card
+
+    wide = F.concat(*[wide_of(k) for k in KINDS])
 
     def out(is_base: bool):
         def one(x):

@@ -29,6 +29,7 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELERS = ["shape", "gazetteer", "context", "boundary"]
 ROUNDS = 8
 BESIDE = 48
+RUN = 256
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: A run is entered where it begins or where the last match ended, and never given
@@ -36,7 +37,7 @@ _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "card": r"[0-9](?:[\x20-]?+[0-9]){13,}+",  # a shorter run can't pass, nor can a part of it
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
@@ -124,7 +125,22 @@ def _matches(text: Column, kind: str, pattern: str, likely: Column) -> Column:
         )
         return F.when(x["h"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out")))
 
-    return F.when(likely, F.aggregate(rows, start, add, lambda a: a["out"])).otherwise(F.lit([]).cast(_FOUND))
+    def shifted(x, by):
+        return F.struct(x["kind"].alias("kind"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
+
+    def join(a, part):
+        moved = F.transform(part["out"], lambda x: shifted(x, a["at"]))
+        return F.struct((a["at"] + part["at"]).alias("at"), F.concat(a["out"], F.array(moved)).alias("out"))
+
+    def places(found):
+        """Runs of RUN matches each, then the runs: appending to one long array would be quadratic."""
+        numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int"))
+        parts = F.transform(numbers, lambda k: F.aggregate(F.slice(found, k * RUN + 1, RUN), start, add))
+        none = F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{_FOUND}>").alias("out"))
+        return F.aggregate(parts, none, join, lambda a: F.flatten(a["out"]))
+
+    whole = F.element_at(F.transform(F.array(rows), places), 1)  # so the matches are found once
+    return F.when(likely, whole).otherwise(F.lit([]).cast(_FOUND))
 
 
 def _vote(yes: Column, no: Column) -> Column:

@@ -53,14 +53,15 @@ def lasso_path(gram: np.ndarray, cross: np.ndarray, floor: float = 0.0, most: in
             break
         sign = np.sign(corr[active])
         w = inverse @ sign
-        slope = gram[:, active] @ w
+        slope = w @ gram[active]  # whole rows: the matrix is symmetric
         inside[active] = True
         free = ~inside & ~out
+        c, a = corr[free], slope[free]
         with np.errstate(divide="ignore", invalid="ignore"):
-            steps = np.concatenate([((level - corr) / (1 - slope))[free], ((level + corr) / (1 + slope))[free]])
+            steps = np.concatenate([(level - c) / (1 - a), (level + c) / (1 + a)])
             drops = -beta[active] / w
-        steps = steps[(steps > 1e-12 * level) & np.isfinite(steps)]
-        drops = np.where((drops > 1e-12 * level) & np.isfinite(drops), drops, np.inf)
+        steps = steps[steps > 1e-12 * level]  # neither NaN nor behind
+        drops = np.where(drops > 1e-12 * level, drops, np.inf)
         step = min(level, float(steps.min(initial=np.inf)), float(drops.min(initial=np.inf)))
         beta[active] += step * w
         corr -= step * slope

@@ -74,30 +74,46 @@ def rake(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return table.drop(*[f"to_{m}" for m in MARGINS])
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, probability and sampled of every row of ``docs``.
+def with_margins(docs: DataFrame) -> DataFrame:
+    """``docs`` with the margins as they name cells; ``topic`` is replaced."""
+    return docs.withColumns({"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), "topic": topic_of(F.col("text"))})
+
 
-    Probabilities are the cell's raked weight over its tokens, at most 1, rounded to 9
-    digits.  Null sources and languages are the empty string; documents without words
-    are never sampled; rows of one doc_id share one draw; an empty table gives an empty
-    result; other columns are ignored.
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(source, lang, topic, probability) of the cells of ``rows``, which have n_tokens.
+
+    A probability is the cell's raked weight over its tokens, at most 1, rounded to 9 digits.
     """
-    rows = stored(
-        docs.select(
-            "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
-            topic_of(F.col("text")).alias("topic"), token_weight(F.col("text")).alias("n_tokens"),
-        ), "weighted",
-    )
     table = stored(cells(rows), "cell-tokens")
     targets = targets or {m: even_targets(table, m) for m in MARGINS}
     raked = rake(table, targets, rounds).where("tokens > 0")
-    chance = raked.select(*MARGINS, F.least(F.round(F.col("weight") / F.col("tokens"), 9), F.lit(1.0)).alias("probability"))
-    out = rows.join(chance, MARGINS, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    return raked.select(*MARGINS, F.least(F.round(F.col("weight") / F.col("tokens"), 9), F.lit(1.0)).alias("probability"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, probability and sampled of every row of ``docs``.
+
+    Null sources and languages are the empty string; documents without words are never
+    sampled; rows of one doc_id share one draw; an empty table gives an empty result;
+    other columns are ignored.
+    """
+    slim = with_margins(docs.select("doc_id", "source", "lang", "text"))
+    rows = stored(slim.select("doc_id", *MARGINS, token_weight(F.col("text")).alias("n_tokens")), "weighted")
+    out = rows.join(probabilities(rows, targets, rounds), MARGINS, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     out = out.withColumn("sampled", (F.col("n_tokens") > 0) & (draw(F.col("doc_id"), seed) < F.col("probability")))
     return out.select("doc_id", *MARGINS, "n_tokens", "probability", "sampled")
 
 
-def sample_documents(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs`` with ``mix_probability`` added."""
-    chosen = stored(mix(docs, **options).where("sampled").groupBy("doc_id").agg(F.max("probability").alias("mix_probability")), "chosen")
-    return docs.drop("mix_probability").join(chosen, "doc_id")
+def sample_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+    """The sampled rows of ``docs`` with ``mix_probability`` added; as :func:`mix`.
+
+    A row finds its probability by its cell, so the texts are not shuffled.
+    """
+    columns = [c for c in docs.columns if c != "mix_probability"]
+    slim = with_margins(docs.select("source", "lang", "text"))
+    rows = slim.select(*MARGINS, token_weight(F.col("text")).alias("n_tokens"))
+    chance = stored(probabilities(rows, targets, rounds).withColumnRenamed("probability", "mix_probability"), "chances")
+    kept = docs.select(*columns).where(F.col("text").rlike(WORD))
+    whole = with_margins(kept.select(F.struct("*").alias("row"), "source", "lang", "text")).drop("text")
+    chosen = whole.join(chance, MARGINS).where(draw(F.col("row.doc_id"), seed) < F.col("mix_probability"))
+    return chosen.select("row.*", "mix_probability")

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import features, forecast, importance, panel, scaling, spatial, timegrid
 from ..sources.shared import stored
 from .grid_queries import slots
-from .registry import day, query, r6, steady, table
+from .registry import SQL, day, query, r6, steady, table
 
 MONTHLY = "m AS (SELECT l_returnflag AS feature, strftime(l_shipdate, '%Y-%m') AS month, l_extendedprice AS value FROM lineitem)"
 
@@ -59,14 +59,36 @@ def month_starts(spark, sf_dir):
     return rows.select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("day")).distinct()
 
 
+def every_day(train_days: int) -> str:
+    """SQL of :func:`full_days` of the orders."""
+    return f"f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(min(o_orderdate) AS DATE) + {train_days} FROM orders))"
+
+
+def full_days(rows, train_days: int):
+    """Forecast days: every date of ``rows`` that has a whole window behind it."""
+    first = rows.agg(F.date_add(F.min("date"), train_days).alias("_first"))
+    return rows.select(F.col("date").alias("day")).distinct().join(first, F.col("day") >= F.col("_first")).drop("_first")
+
+
 @query(f"""WITH {DAILY}, {FORECAST_DAYS} SELECT CAST(f.day AS VARCHAR) AS day, feature, count(*) AS n, round(avg(value) + 1e-7, 4) AS mean, round(min(value) + 1e-7, 4) AS low, round(max(value) + 1e-7, 4) AS high
 FROM f JOIN d ON d.date BETWEEN f.day - 28 AND f.day - 1 GROUP BY 1, 2""")
 def rolling_window_stats(spark, sf_dir):
     """Facts of the 28 days before each first of a month."""
-    rows = panel.rolling_window(month_starts(spark, sf_dir), daily_orders(spark, sf_dir), 28)
+    return window_stats(month_starts(spark, sf_dir), daily_orders(spark, sf_dir))
+
+
+def window_stats(days, rows):
+    rows = panel.rolling_window(days, rows, 28)
     return rows.groupBy(day("day"), "feature").agg(F.count("*").alias("n"), steady(F.avg("value"), "mean"), steady(F.min("value"), "low"), steady(F.max("value"), "high"))
 
 
+@query(SQL["rolling_window_stats"].replace(FORECAST_DAYS, every_day(28)))
+def rolling_window_stats_daily(spark, sf_dir):
+    """The same for every day with a whole window."""
+    rows = daily_orders(spark, sf_dir)
+    return window_stats(full_days(rows, 28), rows)
+
+
 _FAMILY = "CASE feature WHEN '1-URGENT' THEN 'price' WHEN '2-HIGH' THEN 'wind' WHEN '3-MEDIUM' THEN 'ssrd' WHEN '4-NOT SPECIFIED' THEN 'other' ELSE 'calendar' END"
 
 
@@ -78,6 +100,11 @@ def family_of(df):
     return df.withColumn("family", out)
 
 
+def folds(days, rows, scale):
+    train = panel.rolling_window(days, family_of(rows), 56)
+    return scale(train, scaling.fold_params(train, ["day"]), ["day"]).select(day("day"), day(), "feature", r6("value"))
+
+
 _FOLD = f"""{DAILY}, {FORECAST_DAYS}, tr AS (SELECT f.day AS day, {_FAMILY} AS family, feature, d.date AS date, value FROM f JOIN d ON d.date BETWEEN f.day - 56 AND f.day - 1),
 a AS (SELECT day, family, feature, median(value) AS center, min(value) AS low, max(value) - min(value) AS span, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) AS positive FROM tr GROUP BY 1, 2, 3),
 b AS (SELECT tr.day AS day, tr.feature AS feature, median(abs(value - center)) / {C.MAD_TO_SD} AS scale FROM tr JOIN a ON a.day = tr.day AND a.feature = tr.feature GROUP BY 1, 2),
@@ -89,18 +116,28 @@ p AS (SELECT a.*, CASE WHEN scale > 1e-12 THEN scale ELSE 1 END AS scale, family
 FROM tr JOIN p ON p.day = tr.day AND p.feature = tr.feature""")
 def fold_scaling(spark, sf_dir):
     """Training folds scaled by family for point models."""
-    train = panel.rolling_window(month_starts(spark, sf_dir), family_of(daily_orders(spark, sf_dir)), 56)
-    out = scaling.scale_fold(train, scaling.fold_params(train, ["day"]), ["day"])
-    return out.select(day("day"), day(), "feature", r6("value"))
+    return folds(month_starts(spark, sf_dir), daily_orders(spark, sf_dir), scaling.scale_fold)
+
+
+@query(SQL["fold_scaling"].replace(FORECAST_DAYS, every_day(56)))
+def fold_scaling_daily(spark, sf_dir):
+    """The same for every day with a whole window."""
+    rows = daily_orders(spark, sf_dir)
+    return folds(full_days(rows, 56), rows, scaling.scale_fold)
 
 
 @query(f"""WITH {_FOLD} SELECT CAST(tr.day AS VARCHAR) AS day, CAST(tr.date AS VARCHAR) AS date, tr.feature AS feature, round(CASE WHEN flat THEN 0 WHEN tr.family = 'calendar' THEN value
   WHEN span > 1e-12 THEN (value - low) / span ELSE 0 END, 6) AS value FROM tr JOIN p ON p.day = tr.day AND p.feature = tr.feature""")
 def anc_fold_scaling(spark, sf_dir):
     """Training folds scaled for contribution analysis."""
-    train = panel.rolling_window(month_starts(spark, sf_dir), family_of(daily_orders(spark, sf_dir)), 56)
-    out = scaling.scale_fold_anc(train, scaling.fold_params(train, ["day"]), ["day"])
-    return out.select(day("day"), day(), "feature", r6("value"))
+    return folds(month_starts(spark, sf_dir), daily_orders(spark, sf_dir), scaling.scale_fold_anc)
+
+
+@query(SQL["anc_fold_scaling"].replace(FORECAST_DAYS, every_day(56)))
+def anc_fold_scaling_daily(spark, sf_dir):
+    """The same for every day with a whole window."""
+    rows = daily_orders(spark, sf_dir)
+    return folds(full_days(rows, 56), rows, scaling.scale_fold_anc)
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(1.5 + 0.2 * l_quantity + 0.001 * l_extendedprice - 3.0 * l_discount + 2.0 * l_tax, 6) AS y_hat FROM lineitem""")
@@ -337,14 +374,14 @@ def rolling_inputs(spark, sf_dir):
     flags = features.as_long(features.calendar_features(daily.select("date").distinct(), "1998-01-01"), "calendar")
     x = stored(features.complete_cases(features.assemble([prices, flags])), "features")  # read by windows, scales and tests
     target = daily.select("date", (F.substring("feature", 1, 1).cast("int") - 1).alias("mtu"), "value")
-    return x, target, month_starts(spark, sf_dir)
+    return x, target, full_days(x, 56)
 
 
 @query()
 def lasso_forecast(spark, sf_dir):
-    """A sparse model for each first of a month and priority over the 56 days before."""
+    """A sparse model for each day with a whole window and each priority over the 56 days before."""
     x, target, days = rolling_inputs(spark, sf_dir)
-    out = forecast.rolling_point_forecast(x, target, days, 56, n_alphas=30)
+    out = forecast.rolling_point_forecast(x, target, days, 56)
     return out.select(day("day"), "mtu", F.round("y_pred", 4).alias("y_pred"), F.round("alpha", 6).alias("alpha"), "n_nonzero")
 
 
@@ -352,7 +389,7 @@ def lasso_forecast(spark, sf_dir):
 def lasso_contributions(spark, sf_dir):
     """Mean absolute contributions of feature groups of these models."""
     x, target, days = rolling_inputs(spark, sf_dir)
-    rows = forecast.rolling_contributions(x, target, days, 56, n_alphas=30)
+    rows = forecast.rolling_contributions(x, target, days, 56)
     return importance.anc_by_group(rows, [], ["day", "mtu"]).select("feature_group", F.round("anc", 4).alias("anc"))
 
 

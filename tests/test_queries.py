@@ -1,5 +1,7 @@
 """Every registered query of the library runs; those with SQL equal it on the small tables."""
 
+import datetime as dt
+
 import duckdb
 import pandas as pd
 import pytest
@@ -52,3 +54,11 @@ def test_same_for_any_partitioning(spark, sf, name):
             assert rows_of(QUERIES[name](spark, sf).toPandas()) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize(("name", "lead"), [("rolling_window_stats_daily", 28), ("fold_scaling_daily", 56), ("anc_fold_scaling_daily", 56), ("lasso_forecast", None)])
+def test_every_day_with_a_whole_window(spark, sf, sql, name, lead):
+    dates = [r[0] for r in sql.sql("select distinct o_orderdate::date from orders order by 1").fetchall()]
+    first = dates[7] + dt.timedelta(56) if lead is None else dates[0] + dt.timedelta(lead)  # the longest lag is seven days with orders
+    got = {r["day"] for r in QUERIES[name](spark, sf).select("day").distinct().collect()}
+    assert got == {str(d) for d in dates if d >= first} and len(got) > 500

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are summed to cells (source, language, topic).  The token weights of the
-cells are raked: one margin after the other is scaled to its target until all hold.
+cells are raked: one margin after the other is scaled to its target until all hold,
+and no cell gets more than its tokens.
 A document is sampled with the probability that its cell's weight has against its
 cell's tokens, by a fixed draw from its id.  DataFrame functions only.
 """
@@ -74,23 +75,75 @@ def rake(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return table.drop(*[f"to_{m}" for m in MARGINS])
 
 
+def _filled(table: DataFrame, by: list[str], weight: str, cap: str, goal: str) -> DataFrame:
+    """``weight`` times one factor for each ``by``, so that the sum of what is at most ``cap`` is ``goal``.
+
+    Rows are put in order of weight against cap.  Those after the n-th are full if it is the last that the factor
+    which fits the others leaves at or below its cap.  A goal that all caps do not reach fills them all.  Caps are
+    above 0; rows without goal keep their weight.
+    """
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    keys = [c for c in table.columns if c in (*MARGINS, "value") and c not in by]
+    ratio = F.col(weight) / F.col(cap)
+    upto = whole.orderBy(ratio, *keys).rowsBetween(Window.unboundedPreceding, 0)
+    rows = table.withColumns({"_open": F.sum(weight).over(upto), "_room": F.sum(cap).over(upto), "_n": F.count("*").over(upto), "_all": F.sum(cap).over(whole)})
+    rows = rows.withColumn("_x", (F.col(goal) - (F.col("_all") - F.col("_room"))) / F.col("_open"))
+    last = F.max(F.when(F.col("_x") * ratio <= 1, F.struct("_n", "_x"))).over(whole)["_x"]
+    factor = F.when(F.col(goal).isNull(), 1.0).otherwise(F.coalesce(last, 1 / F.min(ratio).over(whole)))
+    return rows.withColumn(weight, F.col(weight) * factor).drop("_open", "_room", "_n", "_all", "_x")
+
+
+def reachable_targets(table: DataFrame, margin: str, targets: DataFrame) -> DataFrame:
+    """(value, target): targets of at most the tokens that a value has; the rest is shared out over the others in proportion.
+
+    Values that are not in ``table``, or have no tokens, have no target.
+    """
+    sums = table.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
+    rows = sums.join(targets.where("target > 0"), "value").join(targets.agg(F.sum("target").alias("total")), how="cross")
+    return _filled(rows, [], "target", "tokens", "total").select("value", F.least("target", F.col("tokens").cast("double")).alias("target"))
+
+
+def rake_within(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+    """As :func:`rake`, but no weight exceeds its cell's tokens: what a full cell can't take goes to the margin's others.
+
+    A cell keeps its factors while it is full, so it can fall below its tokens again.  Targets beyond a value's
+    tokens are bounded by :func:`reachable_targets`.  Cells without tokens are left out.
+    """
+    table = table.where("tokens > 0")
+    for margin in MARGINS:
+        target = reachable_targets(table, margin, targets[margin]).select(F.col("value").alias(margin), F.col("target").alias(f"to_{margin}"))
+        none = targets[margin].where("target <= 0").select(F.col("value").alias(margin), F.lit(0.0).alias(f"to_{margin}"))
+        table = table.join(target.unionByName(none), margin, "left")
+    table = stored(table.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    empty = F.least(*[F.coalesce(F.col(f"to_{m}"), F.lit(1.0)) for m in MARGINS]) <= 0
+    none, table = table.where(empty).withColumn("weight", F.lit(0.0)), table.where(~empty)
+    for i in range(rounds):
+        for margin in MARGINS:
+            table = _filled(table, [margin], "weight", "tokens", f"to_{margin}")
+        if i % 3 == 2 or i + 1 == rounds:
+            table = stored(table, "raked")
+    whole = table.unionByName(none).drop(*[f"to_{m}" for m in MARGINS])
+    return whole.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
+
+
 def with_margins(docs: DataFrame) -> DataFrame:
     """``docs`` with the margins as they name cells; ``topic`` is replaced."""
     return docs.withColumns({"source": F.coalesce("source", F.lit("")), "lang": F.coalesce("lang", F.lit("")), "topic": topic_of(F.col("text"))})
 
 
-def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, within: bool = True) -> DataFrame:
     """(source, lang, topic, probability) of the cells of ``rows``, which have n_tokens.
 
-    A probability is the cell's raked weight over its tokens, at most 1, rounded to 9 digits.
+    A probability is the cell's raked weight over its tokens, rounded to 9 digits.  With ``within`` no weight
+    exceeds the tokens; without, weights are raked freely and what is above 1 is cut, so margins fall short.
     """
     table = stored(cells(rows), "cell-tokens")
     targets = targets or {m: even_targets(table, m) for m in MARGINS}
-    raked = rake(table, targets, rounds).where("tokens > 0")
+    raked = (rake_within if within else rake)(table, targets, rounds).where("tokens > 0")
     return raked.select(*MARGINS, F.least(F.round(F.col("weight") / F.col("tokens"), 9), F.lit(1.0)).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix", within: bool = True) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and sampled of every row of ``docs``.
 
     Null sources and languages are the empty string; documents without words are never
@@ -99,7 +152,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: in
     """
     slim = with_margins(docs.select("doc_id", "source", "lang", "text"))
     rows = stored(slim.select("doc_id", *MARGINS, token_weight(F.col("text")).alias("n_tokens")), "weighted")
-    out = rows.join(probabilities(rows, targets, rounds), MARGINS, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    out = rows.join(probabilities(rows, targets, rounds, within), MARGINS, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     out = out.withColumn("sampled", (F.col("n_tokens") > 0) & (draw(F.col("doc_id"), seed) < F.col("probability")))
     return out.select("doc_id", *MARGINS, "n_tokens", "probability", "sampled")
 

@@ -95,8 +95,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell, calibrated probability and whether it is sampled."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Every document with its cell, calibrated probability and whether it is sampled.
+
+    Raked freely and cut at 1, as the query's SQL says; the pipeline rakes within the tokens.
+    """
+    return mixing.mix(table(spark, sf_dir, "documents"), within=False)
 
 
 #: Hosts whose pages make up the block list.

@@ -223,6 +223,31 @@ def test_raking_meets_the_margins(spark):
     )
 
 
+def test_probabilities_meet_the_margins(spark):
+    """One source with a third of the tokens, and a topic whose even target is more than it has."""
+    rng = random.Random(3)
+    rows = [(s, a, t, rng.randint(5, 400) if s != "a" else rng.randint(2000, 9000)) for s in "abcdef" for a in ("de", "en", "fr") for t in "xyz"]
+    rows += [("g", "en", "w", 3), ("b", "fr", "w", 4)]
+    table = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+    cells = mixing.cells(table).localCheckpoint()
+    plain = {r["lang"]: r["w"] for r in mixing.rake(cells, {m: mixing.even_targets(cells, m) for m in mixing.MARGINS}).groupBy("lang").agg(F.sum(F.least("weight", "tokens")).alias("w")).collect()}
+    kept = cells.join(mixing.probabilities(table), mixing.MARGINS).withColumn("w", F.col("probability") * F.col("tokens")).localCheckpoint()
+    assert kept.where("probability > 1 or probability < 0").count() == 0 and kept.where("probability = 1").count() > 3
+    total = sum(r[3] for r in rows)
+    for m in mixing.MARGINS:
+        even = {r["value"]: r["target"] for r in mixing.even_targets(cells, m).collect()}
+        has = {r[m]: r["t"] for r in cells.groupBy(m).agg(F.sum("tokens").alias("t")).collect()}
+        want = dict(even)
+        for _ in range(20):  # the same water level by turns
+            full = {v for v in want if want[v] >= has[v]}
+            rest = sum(even.values()) - sum(has[v] for v in full)
+            want = {v: has[v] if v in full else even[v] * rest / sum(even[x] for x in even if x not in full) for v in even}
+        got = {r[m]: r["w"] for r in kept.groupBy(m).agg(F.sum("w").alias("w")).collect()}
+        assert got == pytest.approx(want, rel=0.01) and sum(got.values()) == pytest.approx(total / 2, rel=1e-3)
+        if m == "lang":
+            assert plain != pytest.approx(want, rel=0.01)  # what cutting at 1 loses
+
+
 def test_mixing_awkward(spark):
     rows = mixing.mix(clashing(awkward(spark))).collect()
     assert len(rows) == 10 and all(0 <= r["probability"] <= 1 for r in rows)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import features, forecast, importance, panel, scaling, spatial, timegrid
+from ..operators import features, forecast, importance, panel, profile, scaling, spatial, timegrid
 from ..sources.shared import stored
 from .grid_queries import slots
 from .registry import SQL, day, query, r6, steady, table
@@ -395,11 +395,13 @@ def lasso_contributions(spark, sf_dir):
 
 @query()
 def quantile_forecast(spark, sf_dir):
-    """Smoothed quantile regressions of hourly values on two lags, sorted by level."""
-    p = slots(spark, sf_dir).withColumn("mtu", (F.col("mtu") / 4).cast("int")).groupBy("date", "series", "mtu").agg(F.avg("value").alias("y_true"))
+    """Smoothed quantile regressions of every slot of every day on its last two values, sorted by level; NULL where too few days lie behind."""
     w = Window.partitionBy("series", "mtu").orderBy("date")
-    panel_rows = p.withColumn("x", F.array(F.lag("y_true", 1).over(w), F.lag("y_true", 2).over(w)))
-    days = p.where("date >= date'2024-01-20'").select(F.col("date").alias("day")).distinct()
+    p = slots(spark, sf_dir).withColumn("pair", F.array("value", F.lag("value", 1).over(w)))
+    grid = profile.slot_skeleton(p, ["series"])
+    last = F.coalesce(F.last("pair", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.array(F.lit(None).cast("double"), F.lit(None).cast("double")))
+    panel_rows = stored(grid.select("date", "series", "mtu", F.col("value").alias("y_true"), last.alias("x")), "lags")
+    days = panel_rows.select(F.col("date").alias("day")).distinct()
     out = forecast.rolling_quantile_forecast(panel_rows, days, [0.1, 0.25, 0.5, 0.75, 0.9], 14, ["series"])
     q = C.sorted_quantiles("q")
     return out.select(day("day"), "series", "mtu", *[F.round(F.element_at(q, i + 1), 4).alias(f"q{i}") for i in range(5)])

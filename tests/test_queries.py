@@ -62,3 +62,9 @@ def test_every_day_with_a_whole_window(spark, sf, sql, name, lead):
     first = dates[7] + dt.timedelta(56) if lead is None else dates[0] + dt.timedelta(lead)  # the longest lag is seven days with orders
     got = {r["day"] for r in QUERIES[name](spark, sf).select("day").distinct().collect()}
     assert got == {str(d) for d in dates if d >= first} and len(got) > 500
+
+
+def test_quantiles_of_every_day_and_slot(spark, sf, sql):
+    want = {(str(r[0]), r[1], m) for r in sql.sql("select distinct ts::date, event_type from events").fetchall() for m in range(96)}
+    rows = QUERIES["quantile_forecast"](spark, sf).collect()
+    assert len(rows) == len(want) and {(r["day"], r["series"], r["mtu"]) for r in rows} == want

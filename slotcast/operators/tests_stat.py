@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import CHI2_1_95, TINY
 
 
-def losses(panel: DataFrame, norm: int = 1) -> DataFrame:
-    """(model, date, mtu, loss): absolute or squared errors."""
+def losses(panel: DataFrame, norm: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, model, date, mtu, loss): absolute or squared errors."""
     e = F.col("y_pred") - F.col("y_true")
-    return panel.select("model", "date", "mtu", (F.abs(e) if norm == 1 else e * e).alias("loss"))
+    return panel.select(*keys, "model", "date", "mtu", (F.abs(e) if norm == 1 else e * e).alias("loss"))
 
 
-def loss_differences(loss: DataFrame, by_slot: bool = False) -> DataFrame:
-    """(model_a, model_b, date[, mtu], d): loss of a minus loss of b.
+def loss_differences(loss: DataFrame, by_slot: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, model_a, model_b, date[, mtu], d): loss of a minus loss of b.
 
     Losses are computed once and joined with themselves by date and slot; each day's
-    mean over the slots is the multivariate form.
+    mean over the slots is the multivariate form.  ``by`` names further keys, such as the series.
     """
-    keys = ["date", "mtu"] if by_slot else ["date"]
-    rows = loss if by_slot else loss.groupBy("model", "date").agg(F.avg("loss").alias("loss"))
+    keys = [*by, "date", "mtu"] if by_slot else [*by, "date"]
+    rows = loss if by_slot else loss.groupBy(*by, "model", "date").agg(F.avg("loss").alias("loss"))
     a = rows.select(*keys, F.col("model").alias("model_a"), F.col("loss").alias("loss_a"))
     b = rows.select(*keys, F.col("model").alias("model_b"), F.col("loss").alias("loss_b"))
     pairs = a.join(b, keys).where("model_a <> model_b")
@@ -54,10 +54,12 @@ def giacomini_white(diff: DataFrame, by: list[str], sign_scope: str = "lagged")
     return sums.select(*by, "n", stat.alias("statistic")).withColumn("p_value", F.when(F.col("statistic") > 0, F.exp(-F.col("statistic") / 2)).otherwise(1.0))
 
 
-def p_value_matrix(tests: DataFrame, models: list[str]) -> DataFrame:
-    """Square table of p-values with 1 on the diagonal."""
+def p_value_matrix(tests: DataFrame, models: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Square table of p-values with 1 on the diagonal, for each ``by``."""
     same = tests.sparkSession.createDataFrame([(m, m, 1.0) for m in models], "model_a string, model_b string, p_value double")
-    return tests.select("model_a", "model_b", "p_value").unionByName(same).groupBy("model_a").pivot("model_b", models).agg(F.first("p_value"))
+    if by:
+        same = same.join(tests.select(*by).distinct(), how="cross")
+    return tests.select(*by, "model_a", "model_b", "p_value").unionByName(same).groupBy(*by, "model_a").pivot("model_b", models).agg(F.first("p_value"))
 
 
 def kupiec(hits: DataFrame, by: list[str], nominal: Column) -> DataFrame:

@@ -10,15 +10,16 @@ from .panel import differences
 from .profile import SLOTS
 
 
-def grid_violations(panel: DataFrame, expected: DataFrame, skip: DataFrame | None = None) -> DataFrame:
-    """(model, ts, kind): slots that a model misses or has too many.
+def grid_violations(panel: DataFrame, expected: DataFrame, skip: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, model, ts, kind): slots that a model misses or has too many.
 
     ``expected`` has ts; ``skip`` has dates that no model must have.
+    ``by`` names further keys of ``panel``, such as the series.
     """
     if skip is not None:
         expected = expected.join(skip.select(F.col("date").alias("_d")), F.to_date("ts") == F.col("_d"), "left_anti")
-    models = panel.select("model").distinct()
-    return differences(models.join(expected.select("ts"), how="cross"), panel, ["model", "ts"])
+    models = panel.select(*by, "model").distinct()
+    return differences(models.join(expected.select("ts"), how="cross"), panel, [*by, "model", "ts"])
 
 
 def whole_days(panel: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import metrics, panel, profile, tests_stat, validate
 from .grid_queries import PROFILE, slots
-from .registry import day, query, r6, steady, table
+from .registry import SQL, day, query, r6, steady, table
 
 MODELS = ["naive_d1", "naive_d7", "slot_mean"]
 PANEL = f"""{PROFILE}, l AS (SELECT date, series, mtu, value AS y_true, lag(value, 1) OVER w AS naive_d1, lag(value, 7) OVER w AS naive_d7, avg(value) OVER (PARTITION BY series, mtu) AS slot_mean
@@ -28,6 +30,10 @@ def naive_panel(spark, sf_dir):
     return rows.select("m.model", "date", "series", "mtu", "m.y_pred", "y_true")
 
 
+#: The same for every series by itself.
+ALL_TESTED = f"{PANEL}, t AS (SELECT series, model, date, mtu, y_pred, y_true FROM panel WHERE y_pred IS NOT NULL)"
+
+
 def tested_panel(spark, sf_dir):
     return naive_panel(spark, sf_dir).where("series = 'click' and y_pred is not null").drop("series")
 
@@ -192,11 +198,33 @@ def gw_per_slot(spark, sf_dir):
     return out.select("model_a", "model_b", "mtu", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
+def series_losses(spark, sf_dir):
+    return tests_stat.losses(naive_panel(spark, sf_dir).where("y_pred is not null"), keys=("series",))
+
+
+@query(f"""WITH {ALL_TESTED}, e AS (SELECT series, model, date, avg(abs(y_pred - y_true)) AS loss FROM t GROUP BY 1, 2, 3), """
+       + _gw("series, model_a, model_b", "SELECT a.series AS series, a.model AS model_a, b.model AS model_b, a.date AS date, a.loss - b.loss AS d FROM e AS a JOIN e AS b ON a.series = b.series AND a.date = b.date AND a.model <> b.model"))
+def gw_matrix_by_series(spark, sf_dir):
+    """gw_matrix for every series."""
+    diff = tests_stat.loss_differences(series_losses(spark, sf_dir), by=("series",))
+    out = tests_stat.giacomini_white(diff, ["series", "model_a", "model_b"])
+    return out.select("series", "model_a", "model_b", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
+
+
+@query(f"""WITH {ALL_TESTED}, e AS (SELECT series, model, date, mtu, abs(y_pred - y_true) AS loss FROM t), """
+       + _gw("series, model_a, model_b, mtu", "SELECT a.series AS series, a.model AS model_a, b.model AS model_b, a.mtu AS mtu, a.date AS date, a.loss - b.loss AS d FROM e AS a JOIN e AS b ON a.series = b.series AND a.date = b.date AND a.mtu = b.mtu AND a.model < b.model", "avg(d)"))
+def gw_per_slot_by_series(spark, sf_dir):
+    """gw_per_slot for every series."""
+    diff = tests_stat.loss_differences(series_losses(spark, sf_dir), by_slot=True, by=("series",)).where("model_a < model_b")
+    out = tests_stat.giacomini_white(diff, ["series", "model_a", "model_b", "mtu"], "all")
+    return out.select("series", "model_a", "model_b", "mtu", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
+
+
 @query()
 def gw_p_values(spark, sf_dir):
-    """The square table of p-values (O84); the same numbers as gw_matrix, pivoted."""
-    tests = tests_stat.giacomini_white(tests_stat.loss_differences(tests_stat.losses(tested_panel(spark, sf_dir))), ["model_a", "model_b"])
-    return tests_stat.p_value_matrix(tests, MODELS).select("model_a", *[F.round(m, 5).alias(m) for m in MODELS])
+    """The square table of p-values of every series (O84); the same numbers as gw_matrix_by_series, pivoted."""
+    tests = tests_stat.giacomini_white(tests_stat.loss_differences(series_losses(spark, sf_dir), by=("series",)), ["series", "model_a", "model_b"])
+    return tests_stat.p_value_matrix(tests, MODELS, ("series",)).select("series", "model_a", *[F.round(m, 5).alias(m) for m in MODELS])
 
 
 _HITS = f"""WITH {PROFILE}, b AS (SELECT series, mtu, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM p WHERE date < DATE '2024-01-16' GROUP BY 1, 2),
@@ -231,12 +259,27 @@ v AS (SELECT 'missing' AS kind, * FROM (SELECT * FROM e EXCEPT SELECT * FROM g)
 SELECT model, kind, CAST(date AS VARCHAR) AS date, count(*) AS n FROM v GROUP BY 1, 2, 3""")
 def grid_integrity(spark, sf_dir):
     """Slots that a model misses or has too many, a skipped day aside."""
-    rows = naive_panel(spark, sf_dir).where("y_pred is not null and series = 'view'")
+    found = violations(spark, sf_dir, naive_panel(spark, sf_dir).where("y_pred is not null and series = 'view'"))
+    return found.groupBy("model", "kind", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"))
+
+
+_BY_SERIES = [("DISTINCT model, date, mtu FROM panel WHERE y_pred IS NOT NULL AND series = 'view'", "DISTINCT series, model, date, mtu FROM panel WHERE y_pred IS NOT NULL"),
+              ("SELECT m.model AS model", "SELECT m.series AS series, m.model AS model"), ("SELECT DISTINCT model FROM g", "SELECT DISTINCT series, model FROM g"),
+              ("SELECT model, kind, CAST(date AS VARCHAR) AS date, count(*) AS n FROM v GROUP BY 1, 2, 3", "SELECT series, model, kind, CAST(date AS VARCHAR) AS date, count(*) AS n FROM v GROUP BY 1, 2, 3, 4")]
+
+
+@query(reduce(lambda sql, p: sql.replace(*p), _BY_SERIES, SQL["grid_integrity"]))
+def grid_integrity_by_series(spark, sf_dir):
+    """grid_integrity for every series."""
+    found = violations(spark, sf_dir, naive_panel(spark, sf_dir).where("y_pred is not null"), ("series",))
+    return found.groupBy("series", "model", "kind", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"))
+
+
+def violations(spark, sf_dir, rows, by=()):
     at = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("mtu") * 15)
     days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct().withColumn("mtu", F.explode(F.sequence(F.lit(0), F.lit(95))))
     skip = spark.createDataFrame([("2024-01-22",)], "d string").select(F.col("d").cast("date").alias("date"))
-    found = validate.grid_violations(rows.select("model", at.alias("ts")), days.select(at.alias("ts")), skip)
-    return found.groupBy("model", "kind", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"))
+    return validate.grid_violations(rows.select(*by, "model", at.alias("ts")), days.select(at.alias("ts")), skip, by)
 
 
 @query(f"""WITH {PANEL}, c AS (SELECT count(*) - count(y_pred) AS y_pred, count(*) - count(y_true) AS y_true, 0 AS model FROM panel)

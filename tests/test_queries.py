@@ -68,3 +68,11 @@ def test_quantiles_of_every_day_and_slot(spark, sf, sql):
     want = {(str(r[0]), r[1], m) for r in sql.sql("select distinct ts::date, event_type from events").fetchall() for m in range(96)}
     rows = QUERIES["quantile_forecast"](spark, sf).collect()
     assert len(rows) == len(want) and {(r["day"], r["series"], r["mtu"]) for r in rows} == want
+
+
+def test_p_values_of_every_series(spark, sf, sql):
+    want = {r[0] for r in sql.sql("select distinct event_type from events").fetchall()}
+    rows = QUERIES["gw_p_values"](spark, sf).collect()
+    by = {(r["series"], r["model_a"], r["model_b"]): r["p_value"] for r in QUERIES["gw_matrix_by_series"](spark, sf).collect()}
+    assert len(rows) == 3 * len(want) and {r["series"] for r in rows} == want
+    assert all(r[b] == (1.0 if b == r["model_a"] else by.get((r["series"], r["model_a"], b))) for r in rows for b in ("naive_d1", "naive_d7", "slot_mean"))

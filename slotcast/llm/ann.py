@@ -191,7 +191,7 @@ def _few(keep: int):
                 by.setdefault(key, []).extend(ids[i])
                 where.setdefault(key, i)
             took = pa.array(list(where.values()), pa.int64())
-            own = pa.array([sorted(x)[:keep] for x in by.values()], pa.list_(pa.int64()))
+            own = pa.array([sorted(set(x))[:keep] for x in by.values()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), own], ["shard", "vec", "ids"])
 
     return run

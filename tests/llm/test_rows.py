@@ -313,6 +313,14 @@ def test_recall_against_brute_force(spark):
     assert hits / 600 >= 0.95
 
 
+def test_repeated_rows_of_equal_vectors(spark):
+    """Every row three times: the ten smallest ids of twenty equal vectors come before farther ones."""
+    rows = [(i, [1.0, 2.0]) for i in range(20)] + [(i, [1.0, 2.0 + i / 100]) for i in range(100, 120)]
+    df = spark.createDataFrame([r for r in rows for _ in range(3)], "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id = 15")).collect())
+    assert got == [(i + 1, i, 0.0) for i in range(10)]
+
+
 def test_vectors_awkward(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 2.0]), (6, [1.0, 2.0]), (7, []), (8, [1.0]), (None, [1.0, 1.0]), (9, [1e300, 1.0])]

@@ -162,6 +162,19 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the class) and component_id for every row of ``docs``."""
+    marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "first")
+    roots = stored(components(links(first.select("fp"), hot)), "roots")
+    known = roots.join(first, roots["node"] == first["fp"])
+    least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    classes = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "class_id")
+    named = first.join(classes, "fp", "left")
+    names = stored(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("class_id", "first_id").alias("component_id")), "names")
+    return marked.join(names, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Returns doc_id, fp (signed long) and component_id for every row of ``docs``.
 
@@ -170,24 +183,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept as rows and never name a class; repeated rows stay repeated; an empty
     table gives an empty result; other columns are ignored.
     """
-    marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "first")
-    roots = stored(components(links(first.select("fp"), hot)), "roots")
-    known = roots.join(first, roots["node"] == first["fp"])
-    least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = roots.join(least, "root").select(F.col("node").alias("fp"), "class_id")
-    names = stored(
-        first.join(classes, "fp", "left").select("fp", F.coalesce("class_id", "first_id").alias("component_id")), "names"
-    )
-    return marked.join(names, "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, id_col, text_col, hot).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest doc_id.
 
-    A doc_id that occurs in several rows keeps one row.  Rows without doc_id stay.
+    A doc_id that occurs in several rows keeps one row of each class that it stands for.  Rows without doc_id stay.
     """
-    found = near_duplicates(docs, hot=hot)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    found = stored(_classes(docs, hot=hot).where("doc_id is not null"), "classes")
+    best = stored(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("b")).select("b.*"), "best")
+    by_id = found.join(best.withColumn("won", F.lit(1)), ["doc_id", "fp"], "left").groupBy("doc_id").agg((F.min("fp") < F.max("fp")).alias("mixed"), F.max("won").alias("won"))
+    gone = stored(by_id.where("mixed or won is null"), "dropped")
+    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
+    out = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    mixed = gone.where("mixed and won is not null").select("doc_id")
+    if mixed.isEmpty():
+        return out
+    # ids over different texts: their rows are told apart by fingerprint
+    rows = docs.join(mixed, "doc_id", "left_semi").withColumn("_fp", F.pandas_udf(_fingerprints, "long")(F.col("text").cast("binary")))
+    return out.unionByName(rows.join(best.withColumnRenamed("fp", "_fp"), ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp"))

@@ -131,6 +131,13 @@ def test_near_duplicates_awkward(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 8, 9]
 
 
+def test_one_id_over_two_texts(spark):
+    """Each class keeps a row, also where its smallest id lost in another class."""
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    kept = near_dup.drop_near_duplicates(docs(spark, [(0, a), (1, a), (1, b), (1, b), (2, b)]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, a), (1, b)]
+
+
 # --- op9 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -6,12 +6,15 @@ density sum of a node is the sum over its children; the node with the largest su
 whose density, and that of every node on its path from the body, reaches the threshold
 is the main subtree.  The threshold is the smallest density on the path from the body
 to the densest node.
+
+Menus, forms, scripts and the like, by element, role or name, count as no text and,
+with all that is below them, are never chosen.  Names count only as whole class or id
+tokens; within an ``article`` or ``main`` only those that can't name a part of a story.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,84 +29,124 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: A start tag here ends an open element of those kinds first.
+#: A start tag here ends an open element of those kinds first, unless one of the limits stands between.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "tbody": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}, "body": {"head"},
 }
-#: Words of class or id names that mark what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|"
-    r"nav\w*|menu|breadcrumbs?|sidebar|aside|footer|masthead|share|sharing|social|related|recommend\w*|widget|comments?|disqus|respon[sd]\w*|replies|reader-?comments?)(?:$|[\s_-])",
-    re.I,
-)
+LIMITS = ("table", "ul", "ol", "dl", "select")
+#: Inline or small elements that are never the main subtree themselves.
+SMALL = frozenset("p b i a span em strong li td tr".split())
+#: Elements that may stand beside the main subtree as parts of the same story.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure section header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+# Names of what is not the story, and words that may stand beside one in a class or id.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsors sponsored promo promos promotion cookie cookies consent gdpr notice alert popup "
+    "modal newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead share sharing social related "
+    "recommended recommendations widget widgets comment comments disqus respond responses replies pagination".split()
+)
+BESIDE = frozenset(
+    "site page main global top bottom left right primary secondary header box bar area section wrapper wrap container block list slot unit link links item items "
+    "post posts article articles button buttons icons message overlay form thread reader user content inner outer".split()
+)
+#: What is left out even inside an article.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising ad-slot ad-box ad-container ad-wrapper ad-unit sponsored cookie-banner cookie-notice cookie-consent "
+    "newsletter newsletter-signup sidebar navbar breadcrumb breadcrumbs pagination comments comment comment-list comments-section comments-area user-comments "
+    "reader-comments disqus_thread share-buttons social-share social-links related-posts related-articles related-links notice".split()
+)
+
+
+def names_noise(names: list[str], inside: bool) -> bool:
+    """True if one of the class or id tokens names what is not the story."""
+    for name in names:
+        name = name.lower()
+        if name in NEVER:
+            return True
+        if not inside:
+            parts = [x.rstrip("0123456789") for x in name.replace("_", "-").split("-")]
+            parts = [x for x in parts if x]
+            if any(x in NOISE for x in parts) and all(x in NOISE or x in BESIDE for x in parts):
+                return True
+    return False
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "down", "noise", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, noise: bool = False):
-        self.tag, self.up, self.noise = tag, up, noise
+        self.tag, self.up = tag, up
+        #: itself or below what is noise; below an article or main
+        self.noise = noise or (up is not None and up.noise)
+        self.inside = up is not None and (up.inside or up.tag in ("article", "main"))
         self.down: list = []  # nodes and strings
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 class _Tree(HTMLParser):
-    """Elements and texts with character references decoded; forgiving about missing end tags."""
+    """Elements and texts with character references decoded; forgiving about missing end tags.
+
+    ``depths`` has for each kind the places of its open elements on the stack, so the
+    nearest one is known without a walk: time is linear in the page however it nests.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None)
+        self.root = Node("#root", None)
+        self.stack = [self.root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of open blocks but paragraphs
+
+    def _nearest(self, tags) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def _pop_to(self, depth: int) -> None:
+        """Ends the elements from this place of the stack on."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" or (tag in BLOCK and tag not in ("html", "body")):
-            self._close({"p"}, BLOCK - {"p"})
+        if tag in BLOCK and tag not in ("html", "body"):
+            place = self._nearest(("p",))
+            if place > (self.blocks[-1] if self.blocks else 0):
+                self._pop_to(place)
         if tag in ENDS:
-            self._close(ENDS[tag], {"table", "ul", "ol", "dl", "select"} - ENDS[tag])
+            ends = ENDS[tag]
+            place = self._nearest(ends)
+            if place > self._nearest([x for x in LIMITS if x not in ends]):
+                self._pop_to(place)
+        at = self.stack[-1]
+        inside = at.inside or at.tag in ("article", "main")
         named = dict(attrs)
         noise = tag in BOILERPLATE or tag in HIDDEN or "hidden" in named or named.get("role") in ROLES or named.get("aria-hidden") == "true"
-        if not noise and tag not in ("html", "body", "article", "main"):
-            noise = any(NOISE.search(named.get(x) or "") for x in ("class", "id"))
-        if tag == "header" and not noise:
-            noise = not self._inside(("article", "main"))
-        node = Node(tag, self.at, noise)
-        self.at.down.append(node)
+        if not noise and tag not in ("html", "body"):
+            noise = names_noise(f"{named.get('class') or ''} {named.get('id') or ''}".split(), inside or tag in ("article", "main"))
+        if tag == "header" and not inside:
+            noise = True
+        node = Node(tag, at, noise)
+        at.down.append(node)
         if tag not in VOID:
-            self.at = node
+            self.depths.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCK and tag != "p":
+                self.blocks.append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag and tag in ("script", "style"):
-            self.at = self.at.up
+        if tag in ("script", "style"):
+            self._pop_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.up is not None and node.tag != tag:
-            node = node.up
-        if node.up is not None:
-            self.at = node.up
+        place = self._nearest((tag,))
+        if place and (tag in BLOCK or place > (self.blocks[-1] if self.blocks else 0)):  # an inline end tag ends no block
+            self._pop_to(place)
 
     def handle_data(self, data):
-        self.at.down.append(data)
-
-    def _inside(self, tags) -> bool:
-        node = self.at
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.up
-        return False
-
-    def _close(self, tags, limits) -> None:
-        """Ends the nearest open element of ``tags``, unless one of ``limits`` stands between."""
-        node = self.at
-        while node.up is not None and node.tag not in limits:
-            if node.tag in tags:
-                self.at = node.up
-                return
-            node = node.up
+        self.stack[-1].down.append(data)
 
 
 def parse(html: str) -> Node:
@@ -131,10 +174,8 @@ def measure(root: Node) -> list[Node]:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
-            else:
+            elif not node.noise:
                 node.chars += len(" ".join(x.split()))
-        if node.noise:
-            node.chars = node.link_chars = 0
         if node.tag == "a":
             node.link_chars = node.chars
     body = next((x for x in order if x.tag == "body"), root)
@@ -156,7 +197,11 @@ def _density(node: Node, share: float) -> float:
 
 
 def main_node(root: Node) -> Node:
-    """The subtree with the largest density sum under the threshold of the body's path."""
+    """The subtree with the largest density sum under the threshold of the body's path.
+
+    It is widened to its parent while that adds no text, or only parts of a story as
+    dense as the threshold asks, and to the article or main that it lies in.
+    """
     order = measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     inside = [x for x in _walk(body) if not x.noise]
@@ -167,25 +212,18 @@ def main_node(root: Node) -> Node:
     while node is not None and node is not body.up:
         threshold = min(threshold, node.density)
         node = node.up
-    passed = [x for x in inside if x.density >= threshold and x.tag not in ("p", "b", "i", "a", "span", "em", "strong", "li", "td", "tr")]
+    passed = [x for x in inside if x.density >= threshold and x.tag not in SMALL]
     best = max(passed, key=lambda x: x.total, default=body)
-    while best.up is not None and best is not body and best.tag not in ("article", "main", "body"):
-        if best.up.chars == best.chars or _within(best, ("article", "main")):
-            best = best.up
+    while best.up is not None and best is not body and best.tag not in ("article", "main"):
+        up = best.up
+        beside = [x for x in up.down if x is not best and isinstance(x, Node) and x.chars]
+        if up.chars == best.chars or best.inside or (up is not body and all(x.tag in PARTS and x.density >= threshold for x in beside)):
+            best = up
         else:
             break
     return best
 
 
-def _within(node: Node, tags) -> bool:
-    node = node.up
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.up
-    return False
-
-
 def text_of(node: Node) -> str:
     """Texts of the subtree without noise: blocks joined by one space."""
     blocks: list[str] = []
@@ -216,12 +254,21 @@ def text_of(node: Node) -> str:
 
 
 def extract(html: str | None) -> str:
-    """The main text of one page; empty for null, empty and broken pages without text."""
+    """The main text of one page.
+
+    Null and empty pages, and pages with nothing but noise, have an empty text.  Broken
+    markup is read as browsers do in the main: missing end tags are added, stray ones
+    ignored.  Of nodes with equal sums the first in page order is chosen.  Time and
+    memory are linear in the page, however long or deep.
+    """
     return text_of(main_node(parse(html))) if html else ""
 
 
 def main_text(html: Column) -> Column:
-    """The main text of each whole page."""
+    """The main text of each whole page; see :func:`extract`.
+
+    A function of the one column: other columns, repeated rows and an empty table need no care.
+    """
 
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:

@@ -95,11 +95,8 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its cell, calibrated probability and whether it is sampled.
-
-    Raked freely and cut at 1, as the query's SQL says; the pipeline rakes within the tokens.
-    """
-    return mixing.mix(table(spark, sf_dir, "documents"), within=False)
+    """Every document with its cell, calibrated probability and whether it is sampled."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 #: Hosts whose pages make up the block list.
@@ -184,29 +181,40 @@ FROM rows GROUP BY conv_id
 
 
 def _op7() -> str:
-    topics = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p in mixing.TOPICS)
+    """Targets are bounded by an exact cut in the order of filling; rounds end when the worst margin is near its target."""
+    forms = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{t}'" for t, p in mixing.FORMS)
+    id_ = "coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))"
     parts = [
         f"""rows AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-          CASE WHEN text IS NULL THEN 'none' {topics} ELSE 'prose' END AS topic,
-          CAST(coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0) AS BIGINT) AS n_tokens FROM documents)""",
-        "c0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM rows GROUP BY ALL)",
+          CASE WHEN text IS NULL THEN 'none' {forms}
+            WHEN length(text) < {mixing.SHORT} THEN 'short' WHEN length(text) >= {mixing.LONG} THEN 'long' ELSE 'prose' END AS topic,
+          CAST(coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0) AS BIGINT) AS n_tokens,
+          CAST('0x' || substr(md5('mix:' || {id_}), 1, 12) AS BIGINT) / 281474976710656.0 AS draw FROM documents)""",
+        "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM rows GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for m in mixing.MARGINS:
-        sums = f"(SELECT {m}, CAST(sum(tokens) AS DOUBLE) AS t FROM c0 GROUP BY {m} HAVING sum(tokens) > 0)"
-        parts.append(f"to_{m} AS (SELECT {m}, pow(t, {mixing.EVEN}) / sum(pow(t, {mixing.EVEN})) OVER () * sum(t) OVER () * {mixing.KEEP} AS to_{m} FROM {sums})")
-    parts.append("s0 AS (SELECT *, CAST(tokens AS DOUBLE) AS weight FROM c0 " + " ".join(f"LEFT JOIN to_{m} USING ({m})" for m in mixing.MARGINS) + ")")
-    last, k = "s0", 0
-    for _ in range(mixing.ROUNDS):
-        for m in mixing.MARGINS:
-            now = f"sum(weight) OVER (PARTITION BY {m})"
-            k += 1
-            parts.append(f"s{k} AS (SELECT * REPLACE (CASE WHEN {now} > 0 AND to_{m} IS NOT NULL THEN weight * to_{m} / {now} ELSE weight END AS weight) FROM {last})")
-            last = f"s{k}"
-    digest = "CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT)"
-    return f"""WITH {', '.join(parts)},
-    out AS (SELECT rows.*, coalesce(least(round(weight / tokens, 9), 1.0), 0.0) AS probability
-      FROM rows LEFT JOIN (SELECT * FROM {last} WHERE tokens > 0) AS c USING (source, lang, topic))
-    SELECT doc_id, source, lang, topic, n_tokens, probability, n_tokens > 0 AND {digest} / 281474976710656.0 < probability AS sampled FROM out"""
+        parts.append(f"""want_{m} AS (SELECT {m}, t, pow(t, {mixing.EVEN}) / sum(pow(t, {mixing.EVEN})) OVER () * sum(t) OVER () * {mixing.KEEP} AS goal
+          FROM (SELECT {m}, sum(tokens) AS t FROM cells GROUP BY {m}))""")
+        # values in the order in which a growing factor fills them; the first factor that the next value does not cut is right
+        parts.append(f"""cut_{m} AS (SELECT max(factor) AS factor FROM (SELECT (sum(goal) OVER () - coalesce(sum(t) OVER before, 0)) / sum(goal) OVER rest AS factor, t / goal AS full_at
+          FROM want_{m} WINDOW before AS (ORDER BY t / goal, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            rest AS (ORDER BY t / goal, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE factor < full_at)""")
+        parts.append(f"to_{m} AS (SELECT {m}, least(t, goal * greatest(1.0, coalesce(factor, 'inf'::DOUBLE))) AS to_{m} FROM want_{m}, cut_{m})")
+    step = "r"
+    for m in mixing.MARGINS:
+        gap = "0" if m == mixing.MARGINS[0] else "gap"
+        full = f"sum(CASE WHEN a >= {mixing.FULL} THEN least(a, 1.0) * tokens ELSE 0 END) OVER (PARTITION BY {m})"
+        open_ = f"sum(CASE WHEN a < {mixing.FULL} THEN a * tokens ELSE 0 END) OVER (PARTITION BY {m})"
+        step = f"""(SELECT * REPLACE (greatest({gap}, abs((open_w + full_w) / to_{m} - 1)) AS gap,
+          a * CASE WHEN open_w > 0 AND to_{m} > full_w THEN (to_{m} - full_w) / open_w ELSE to_{m} / (open_w + full_w) END AS a)
+          FROM (SELECT * EXCLUDE (open_w, full_w), {open_} AS open_w, {full} AS full_w FROM {step}))"""
+    return f"""WITH RECURSIVE {', '.join(parts)},
+    r AS (SELECT 0 AS i, cells.*, to_source, to_lang, to_topic, 1.0::DOUBLE AS a, 0.0::DOUBLE AS gap, 1.0::DOUBLE AS worst, 0.0::DOUBLE AS open_w, 0.0::DOUBLE AS full_w
+        FROM cells JOIN to_source USING (source) JOIN to_lang USING (lang) JOIN to_topic USING (topic)
+      UNION ALL SELECT * REPLACE (i + 1 AS i, max(gap) OVER () AS worst) FROM {step} WHERE i < {mixing.ROUNDS} AND worst > {mixing.TOLERANCE}),
+    out AS (SELECT rows.*, coalesce(probability, 0.0) AS probability FROM rows LEFT JOIN (SELECT source, lang, topic, round(least(a, 1.0), 6) AS probability
+        FROM r WHERE i = (SELECT max(i) FROM r)) AS c USING (source, lang, topic))
+    SELECT doc_id, source, lang, topic, n_tokens, probability, n_tokens > 0 AND draw < probability AS sampled FROM out"""
 
 
 _HOST = _LOWER.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import beside, join_counted, stored
 
 MAX_BITS = 3
 BLOCKS = 5
@@ -151,11 +151,11 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(edges)) != before and now[0]:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_counted(both, least, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_counted(large, least, "u", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -165,14 +165,14 @@ def components(edges: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, fp, root (a fingerprint that names the class) and component_id for every row of ``docs``."""
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "first")
+    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "first")
     roots = stored(components(links(first.select("fp"), hot)), "roots")
-    known = roots.join(first, roots["node"] == first["fp"])
-    least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "class_id")
+    known = roots.join(first.drop("n"), roots["node"] == first["fp"])
+    least = stored(known.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")), "least")
+    classes = join_counted(roots, least, "root", roots.count()).select(F.col("node").alias("fp"), "root", "class_id")
     named = first.join(classes, "fp", "left")
-    names = stored(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("class_id", "first_id").alias("component_id")), "names")
-    return marked.join(names, "fp").select("doc_id", "fp", "root", "component_id")
+    names = stored(named.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("class_id", "first_id").alias("component_id")), "names")
+    return join_counted(marked, names, "fp", marked.count()).select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -187,19 +187,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id.
+    """``docs`` with one row of each class: that of the smallest (doc_id, fingerprint).
 
-    A doc_id that occurs in several rows keeps one row of each class that it stands for.  Rows without doc_id stay.
+    A doc_id that occurs over several texts keeps one row of each class that it stands
+    for, and where rows agree in id and fingerprint the one of the smallest text, then
+    of the smallest other columns (as JSON), stays.  Rows without doc_id stay.  Texts
+    are not shuffled but those of repeated ids: what is dropped is a list of ids, which
+    is sent to the tasks if it is short.
     """
     found = stored(_classes(docs, hot=hot).where("doc_id is not null"), "classes")
     best = stored(found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("b")).select("b.*"), "best")
-    by_id = found.join(best.withColumn("won", F.lit(1)), ["doc_id", "fp"], "left").groupBy("doc_id").agg((F.min("fp") < F.max("fp")).alias("mixed"), F.max("won").alias("won"))
-    gone = stored(by_id.where("mixed or won is null"), "dropped")
-    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti")
-    out = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    mixed = gone.where("mixed and won is not null").select("doc_id")
-    if mixed.isEmpty():
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows")).join(best.select("doc_id").distinct().withColumn("won", F.lit(True)), "doc_id", "left")
+    marks = stored(by_id.where("rows > 1 or won is null").select("doc_id", (F.col("rows") > 1) & F.col("won").isNotNull()).toDF("doc_id", "again"), "marks")
+    known = docs.where("doc_id is not null")
+    out = known.join(beside(marks.select("doc_id")), "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    again = marks.where("again").select("doc_id")
+    if again.isEmpty():
         return out
-    # ids over different texts: their rows are told apart by fingerprint
-    rows = docs.join(mixed, "doc_id", "left_semi").withColumn("_fp", F.pandas_udf(_fingerprints, "long")(F.col("text").cast("binary")))
-    return out.unionByName(rows.join(best.withColumnRenamed("fp", "_fp"), ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
+    # ids of several rows: the rows are told apart by fingerprint
+    rows = known.join(beside(again), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    rows = rows.withColumn("fp", F.pandas_udf(_fingerprints, "long")(F.col("text").cast("binary")))
+    won = stored(rows.join(best, ["doc_id", "fp"], "left_semi"), "again")
+    one = won.groupBy("doc_id", "fp").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return out.unionByName(one.select("row.*"))

@@ -20,12 +20,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside, stored
+
 ORDER = 3
 MAX_DOCS = 400
 UNIFORM = 8.0
 #: Bytes scored at once; bounds the memory of a task whatever the texts.
 CHUNK = 1 << 20
 SLOT_BITS = 20
+#: Documents of each language that the limit of rejection is learned on, at most about so many.
+MAX_LIMIT_DOCS = 200
+#: A text is rejected if its running bytes cost more than the mean of its language by so many standard deviations (pooled over the languages).
+SPREAD = 16.0
+#: So few running bytes say nothing.
+FEW_BYTES = 32
+#: Running text: lower-case letters, spaces and what is not ASCII.
+RUNNING = np.array([b == 32 or 97 <= b <= 122 or b > 127 for b in range(256)])
 
 
 def _grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -41,19 +51,17 @@ def padded(text: bytes, order: int = ORDER) -> bytes:
     return b"\n" * order + text
 
 
-def training_rows(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = 9) -> DataFrame:
-    """About ``max_docs`` rows of each language at most (all, if there are fewer).
+def sampled_rows(docs: DataFrame, upto: int, after: int = 0, seed: int = 9) -> DataFrame:
+    """About ``upto`` labelled rows of each language at most (all, if there are fewer), past the first ``after``.
 
-    Rows are chosen by a hash of the id against a threshold that follows the count
-    of the language, so no language is gathered in one task.
+    Rows are chosen by a hash of the id against a threshold that follows the count of
+    the language.  Counts meet the rows by a join, so any number of labels will do, and
+    no language is gathered in one task: what is sent is one row for each label, if those are few.
     """
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    sizes = rows.groupBy("lang").count().collect()
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, max_docs / r["count"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(draw < share).select("lang", "text")
+    sizes = beside(stored(rows.groupBy("lang").agg(F.count("*").alias("of_lang")), "languages"), 10_000)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * F.col("of_lang")
+    return rows.join(sizes, "lang").where((place >= after) & (place < after + upto)).select("lang", "text")
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -167,7 +175,11 @@ class ContextTrees:
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each whole text in bits, one column for each language."""
-        out = np.zeros((len(texts), len(self.langs)))
+        return self.measure(texts)[0]
+
+    def measure(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code lengths of each whole text, those of its running bytes alone, and the count of these."""
+        out = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         group, size = [], 0
         for i, text in enumerate(texts):
             for at in range(0, len(text), CHUNK):  # a long text is scored in pieces that overlap by their context
@@ -180,16 +192,18 @@ class ContextTrees:
         self._add(out, group)
         return out
 
-    def _add(self, out: np.ndarray, group: list) -> None:
+    def _add(self, out: tuple, group: list) -> None:
         if not group:
             return
         data = np.frombuffer(b"".join(p for _, p in group), np.uint8)
         ends = np.cumsum([len(p) for _, p in group])
         starts = ends - [len(p) for _, p in group]
         bits = self.cost(_grams(data, self.order + 1))
-        total = np.zeros((len(bits) + 1, bits.shape[1]))
-        np.cumsum(bits, axis=0, dtype=np.float64, out=total[1:])
-        np.add.at(out, [i for i, _ in group], total[ends - self.order] - total[starts])
+        runs = RUNNING[data[self.order :]]
+        for add_to, part in zip(out, (bits, bits * runs[:, None], runs)):
+            total = np.zeros((len(part) + 1, *part.shape[1:]))
+            np.cumsum(part, axis=0, dtype=np.float64, out=total[1:])
+            np.add.at(add_to, [i for i, _ in group], total[ends - self.order] - total[starts])
 
 
 def train(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> ContextTrees | None:
@@ -197,7 +211,7 @@ def train(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> Cont
 
     What reaches the driver is bounded by ``max_docs`` texts of each language.
     """
-    table = gram_counts(training_rows(docs, max_docs), order).toArrow()
+    table = gram_counts(sampled_rows(docs, max_docs), order).toArrow()
     if not table.num_rows:
         return None
     lang = np.array(table.column("lang").to_pylist(), dtype=object)
@@ -207,28 +221,31 @@ def train(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> Cont
 
 
 def predict(spark, trees: ContextTrees | None, text: Column) -> Column:
-    """A struct for each text: lang, score (0 to 1) and bits_per_byte of the best language.
+    """A struct for each text: lang, score (0 to 1), bits_per_byte and bits_per_running_byte of the best language.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was
     learned.  score is the best language's share under its code length against the
-    others'; ties go to the language that sorts first.
+    others'; ties go to the language that sorts first.  bits_per_running_byte leaves out
+    capitals, digits and signs, and is null where there are too few other bytes.
     """
+    none = F.lit(None).cast("double")
+    und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), none.alias("bits_per_byte"), none.alias("bits_per_running_byte"))
     if trees is None:
-        return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        return und
     sent = spark.sparkContext.broadcast(trees)
 
-    @F.pandas_udf("lang string, score double, bits_per_byte double")
+    @F.pandas_udf("lang string, score double, bits_per_byte double, bits_per_running_byte double")
     def best(texts: pd.Series) -> pd.DataFrame:
         model = sent.value
         rows = [t or b"" for t in texts]
-        bits = model.lengths(rows)
+        bits, running, count = model.measure(rows)
         top = bits.argmin(axis=1)
         least = bits[np.arange(len(rows)), top]
         score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1) if len(rows) else []
         size = np.array([max(1, len(t)) for t in rows])
-        return pd.DataFrame({"lang": [model.langs[i] for i in top], "score": score, "bits_per_byte": least / size})
+        rate = np.where(count >= FEW_BYTES, running[np.arange(len(rows)), top] / np.maximum(count, 1), np.nan)
+        return pd.DataFrame({"lang": [model.langs[i] for i in top], "score": score, "bits_per_byte": least / size, "bits_per_running_byte": rate})
 
-    und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     return F.when(text.isNotNull() & text.rlike(r"\p{L}"), best(text.cast("binary"))).otherwise(und)
 
 
@@ -238,7 +255,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``docs`` with a struct ``found`` (lang, score, bits_per_byte) of every row added.
+    """``docs`` with a struct ``found`` (lang, score, bits_per_byte, bits_per_running_byte) of every row added.
 
     Learns from the rows that are not held out.  Rows with null id are never learned
     from but get a prediction; repeated rows get the same; an empty table stays empty.
@@ -247,11 +264,37 @@ def identify(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> D
     return docs.drop("found").withColumn("found", predict(docs.sparkSession, trees, F.col("text")))
 
 
+def limits(docs: DataFrame, trees: ContextTrees, spread: float = SPREAD) -> DataFrame:
+    """(lang, most): bits per running byte above which a text is in no known language.
+
+    The mean of the language and ``spread`` standard deviations, pooled over the
+    languages, of labelled rows that the trees were not trained on, at most about
+    ``MAX_LIMIT_DOCS`` of each language.  A language without such rows has no limit.
+    """
+    rows = sampled_rows(docs, MAX_LIMIT_DOCS, after=MAX_DOCS).withColumn("found", predict(docs.sparkSession, trees, F.col("text")))
+    rate = F.when(~F.isnan("found.bits_per_running_byte"), F.col("found.bits_per_running_byte"))
+    sums = rows.groupBy(F.col("found.lang").alias("known")).agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance"), F.count(rate).alias("n"))
+    sums = stored(sums.where("n > 0"), "rates")
+    pooled = sums.agg(F.sqrt(F.sum(F.col("variance") * F.col("n")) / F.sum("n"))).first()[0] or 0.0
+    return sums.select("known", (F.col("mean") + spread * pooled).alias("most"))
+
+
 def keep_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows in no known language.
+    """``docs`` without rows in no known language; ``lang`` is the language found.
 
-    Rejected: null texts, texts without a letter, and texts that the best language
-    codes in no fewer bits than the uniform code of 8 bits a byte.
+    Rejected: null texts, texts without a letter, texts that the best language codes in
+    no fewer bits than the uniform code of 8 bits a byte, and texts whose running bytes
+    cost more than the limit learned for that language.  A table without labelled rows
+    rejects all, since no language is known.  Repeated rows are judged alike; a column
+    called ``found`` passes through like any other.
     """
-    marked = identify(docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang"))
-    return marked.where((F.col("found.lang") != "und") & (F.col("found.bits_per_byte") < UNIFORM)).select("row.*")
+    slim = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
+    trees = train(slim)
+    if trees is None:
+        return docs.where(F.lit(False))
+    marked = docs.select(F.struct("*").alias("row"), predict(docs.sparkSession, trees, F.col("text")).alias("found"))
+    marked = marked.where((F.col("found.lang") != "und") & (F.col("found.bits_per_byte") < UNIFORM))
+    known = marked.withColumn("known", F.col("found.lang")).join(beside(stored(limits(slim, trees), "limits"), 10_000), "known", "left")
+    rate = F.col("found.bits_per_running_byte")
+    kept = known.where(rate.isNull() | F.isnan(rate) | F.col("most").isNull() | (rate <= F.col("most")))
+    return kept.select(*[(F.col("known") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

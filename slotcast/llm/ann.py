@@ -3,8 +3,13 @@
 Equal vectors are one node that carries its smallest ids.  Nodes are dealt to shards
 by a hash of the vector; each shard is built in one task as a hierarchical navigable
 small-world graph, held as flat arrays (for each layer the node numbers and a matrix
-of neighbours), and written as one row.  Queries are dealt to every shard, searched
-from the top layer down, and the shard results are merged by distance.
+of neighbours), and written as one row.  Nodes enter a layer in batches that double it;
+the candidates of each are the nearest of those before it and of its batch, of which
+neighbours in different directions are linked both ways.  Queries are dealt to every
+shard, searched from the top layer down, and the shard results are merged by distance.
+
+Distances are in double precision, by differences: nothing is lost where vectors lie
+far from the origin.
 """
 
 from __future__ import annotations
@@ -20,39 +25,148 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
+#: So many shards are searched in one task and merged there, once there are enough for many tasks.
+POOL, TASKS = 8, 64
 LINKS = 12
 BUILD_WIDTH = 48
 SEARCH_WIDTH = 64
+#: Nodes kept while a search descends: tight groups far apart leave a single one in the wrong group.
+DESCENT = 8
 MAX_QUERIES = 100_000
+#: Nodes that enter a layer at once, at most; bounds the memory of a build.
+BATCH = 256
+
+
+def fitted(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """The vectors times a power of two, so that squares can't overflow; and that power."""
+    most = float(np.abs(vectors).max(initial=0.0))
+    scale = 2.0 ** -max(0, math.frexp(most)[1] - 400)
+    return np.ascontiguousarray(vectors * scale), scale
 
 
 class Graph:
     """A hierarchical navigable small-world graph over the rows of ``vectors``."""
 
     def __init__(self, vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, seed: int = 10):
-        self.vectors = np.ascontiguousarray(vectors, np.float32)
-        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.vectors, self.scale = fitted(np.asarray(vectors, np.float64))
         self.links, self.width = links, width
-        n = len(vectors)
-        tall = np.minimum((-np.log(np.random.default_rng(seed).uniform(1e-9, 1, n)) / math.log(links)).astype(np.int32), 12)
-        self.height = tall
-        self.layers = [np.full((n, links * 2), -1, np.int32)]  # the higher layers hold few nodes
+        n = len(self.vectors)
+        rng = np.random.default_rng(seed)
+        self.height = np.minimum((-np.log(rng.uniform(1e-9, 1, n)) / math.log(links)).astype(np.int32), 12)
+        order = rng.permutation(n)
+        self.entry = int(order[self.height[order].argmax()]) if n else 0
+        self.rows, self.layers = [], []
+        for layer in range(int(self.height.max(initial=0)) + 1):
+            members = order[self.height[order] >= layer]
+            near = self._layer(members, links * 2 if layer == 0 else links)  # the higher layers hold few nodes
+            own = np.sort(members)
+            table = np.empty_like(near)
+            table[np.searchsorted(own, members)] = np.where(near >= 0, members[near], -1)
+            self.layers.append(table.astype(np.int32))
+        self._ready()
+
+    def _ready(self) -> None:
+        n = len(self.vectors)
         self.rows = [None]
-        for layer in range(1, int(tall.max(initial=0)) + 1):
-            members = np.flatnonzero(tall >= layer)
+        for layer in range(1, len(self.layers)):
             rows = np.full(n, -1, np.int32)
+            members = np.flatnonzero(self.height >= layer)
             rows[members] = np.arange(len(members))
             self.rows.append(rows)
-            self.layers.append(np.full((len(members), links), -1, np.int32))
-        self.entry = 0
-        self._mark = np.zeros(n, np.int32)
-        self._turn = 0
-        for node in range(1, n):
-            self._insert(node)
+        self._mark, self._turn = np.zeros(n, np.int32), 0
+
+    def _layer(self, members: np.ndarray, most: int) -> np.ndarray:
+        """Neighbours of each member, as places among the members; -1 where there is none."""
+        v = self.vectors[members]
+        middle = v - np.median(v, axis=0) if len(v) else v
+        norms = np.einsum("ij,ij->i", middle, middle)
+        table = np.full((len(v), most), -1, np.int64)
+        lo = 0
+        while lo < len(v):
+            hi = min(len(v), lo + min(BATCH, max(lo, 2 * self.width)))
+            nodes = np.arange(lo, hi)
+            found = self._candidates(v, middle, norms, nodes, hi)
+            chosen = self._diverse(v, nodes, found, self.links)
+            table[nodes, : self.links] = chosen
+            node, slot = np.nonzero(chosen >= 0)
+            self._link_back(v, table, chosen[node, slot], nodes[node])
+            lo = hi
+        return table
+
+    def _candidates(self, v, middle, norms, nodes, upto) -> np.ndarray:
+        """The nearest ``width`` of the first ``upto`` members for each node, nearest first.
+
+        Chosen by products of centred vectors, where rounding can't matter; else by differences.
+        """
+        width = min(self.width, upto - 1)
+        if width < 1:
+            return np.full((len(nodes), 1), -1)
+        far = norms[nodes, None] + norms[None, :upto] - 2 * (middle[nodes] @ middle[:upto].T)
+        far[np.arange(len(nodes)), nodes] = np.inf
+        found = np.argpartition(far, width - 1, axis=1)[:, :width]
+        dist = ((v[found] - v[nodes, None]) ** 2).sum(axis=2)
+        for i in np.flatnonzero(dist.max(axis=1) < 1e-11 * (norms[nodes] + norms[:upto].max())):
+            every = ((v[:upto] - v[nodes[i]]) ** 2).sum(axis=1)
+            every[nodes[i]] = np.inf
+            found[i] = np.argpartition(every, width - 1)[:width]
+            dist[i] = every[found[i]]
+        return np.take_along_axis(found, np.lexsort((found, dist), axis=1), axis=1)
+
+    @staticmethod
+    def _diverse(v, nodes, found, most) -> np.ndarray:
+        """For each node at most ``most`` of its candidates (nearest first, -1 is none), in different directions.
+
+        One is passed over if a chosen one is nearer to it than the node is; what is
+        passed over fills places that stay free.
+        """
+        local = v[found] - v[nodes, None]
+        own = np.einsum("ijk,ijk->ij", local, local)
+        between = own[:, :, None] + own[:, None, :] - 2 * (local @ local.transpose(0, 2, 1))
+        there = found >= 0
+        alive, rank = there.copy(), np.full(found.shape, 1 << 20)
+        each = np.arange(len(nodes))
+        for step in range(most):
+            pick = alive.argmax(axis=1)
+            has = alive[each, pick]
+            if not has.any():
+                break
+            rank[each[has], pick[has]] = step
+            alive &= between[each, pick] >= own
+            alive[each, pick] = False
+        rank = np.where(there, rank + np.arange(found.shape[1]) * (rank >= 1 << 20), 1 << 30)
+        order = rank.argsort(axis=1, kind="stable")[:, :most]
+        out = np.full((len(nodes), most), -1)
+        out[:, : order.shape[1]] = np.take_along_axis(found, order, axis=1)
+        return out
+
+    def _link_back(self, v, table, targets, nodes) -> None:
+        """Adds each node to its target's neighbours, of which the most diverse stay where there are too many."""
+        if not len(targets):
+            return
+        most = table.shape[1]
+        at = np.unique(targets)
+        old_at, old_slot = np.nonzero(table[at] >= 0)
+        pairs = np.unique(np.concatenate([targets * len(v) + nodes, at[old_at] * len(v) + table[at][old_at, old_slot]]))
+        target, other = pairs // len(v), pairs % len(v)
+        dist = ((v[target] - v[other]) ** 2).sum(axis=1)
+        order = np.lexsort((other, dist, target))
+        target, other = target[order], other[order]
+        first = np.searchsorted(target, at)
+        place = np.arange(len(target)) - np.repeat(first, np.diff(np.append(first, len(target))))
+        keep = place < 2 * most
+        rows = np.full((len(at), 2 * most), -1)
+        rows[np.searchsorted(at, target[keep]), place[keep]] = other[keep]
+        full = rows[:, most] >= 0
+        table[at[~full]] = rows[~full, :most]
+        many = np.flatnonzero(full)
+        for i in range(0, len(many), BATCH):
+            part = many[i : i + BATCH]
+            table[at[part]] = self._diverse(v, at[part], rows[part], most)
 
     def _near(self, query: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        return self.norms[nodes] - 2 * (self.vectors[nodes] @ query)
+        apart = self.vectors[nodes] - query
+        return np.einsum("ij,ij->i", apart, apart)
 
     def _of(self, node: int, layer: int) -> np.ndarray:
         row = self.layers[layer][node if layer == 0 else self.rows[layer][node]]
@@ -90,54 +204,6 @@ class Graph:
                     heapq.heappush(todo, (e, y))
         return sorted((-d, x) for d, x in best)
 
-    def _choose(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours in different directions: one is left out if a chosen one is nearer to it than the node is."""
-        nodes = np.array([x for _, x in found])
-        v = self.vectors[nodes]
-        own = self.norms[nodes]
-        between = own[:, None] + own[None, :] - 2 * (v @ v.T)
-        base = np.array([d for d, _ in found])
-        taken: list[int] = []
-        spare: list[int] = []
-        alive = np.ones(len(nodes), bool)
-        for i in range(len(nodes)):
-            if not alive[i]:
-                spare.append(i)
-                continue
-            taken.append(i)
-            if len(taken) == most:
-                break
-            alive &= between[i] >= base
-        return [int(nodes[i]) for i in (taken + spare)[:most]]
-
-    def _insert(self, node: int) -> None:
-        query, tall = self.vectors[node], int(self.height[node])
-        top = int(self.height[self.entry])
-        at = [(float(self._near(query, np.array([self.entry]))[0]), self.entry)]
-        for layer in range(top, tall, -1):
-            at = self.search(query, at, layer, 1)
-        offset = float(self.norms[node])
-        for layer in range(min(top, tall), -1, -1):
-            at = self.search(query, at, layer, self.width)
-            chosen = self._choose([(d + offset, x) for d, x in at], self.links)
-            rows = self.rows[layer]
-            table = self.layers[layer]
-            table[node if layer == 0 else rows[node], : len(chosen)] = chosen
-            for x in chosen:
-                row = table[x if layer == 0 else rows[x]]
-                free = np.flatnonzero(row < 0)
-                if len(free):
-                    row[free[0]] = node
-                    continue
-                all_of = np.append(row, node)
-                dist = self.norms[all_of] - 2 * (self.vectors[all_of] @ self.vectors[x]) + self.norms[x]
-                order = np.argsort(dist, kind="stable")
-                again = self._choose([(float(dist[i]), int(all_of[i])) for i in order], len(row))
-                row[:] = -1
-                row[: len(again)] = again
-        if tall > top:
-            self.entry = node
-
     def flat(self) -> dict:
         """The arrays of the graph as bytes."""
         return {
@@ -148,29 +214,33 @@ class Graph:
     @classmethod
     def of(cls, vectors: np.ndarray, entry: int, links: int, height: bytes, layers: list[bytes]) -> Graph:
         self = cls.__new__(cls)
-        self.vectors = np.ascontiguousarray(vectors, np.float32)
-        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.vectors, self.scale = fitted(vectors)
         self.height = np.frombuffer(height, "<i4")
         self.entry, self.links = entry, links
-        self.rows, self.layers = [None], []
-        for k, x in enumerate(layers):
-            self.layers.append(np.frombuffer(x, "<i4").reshape(-1, links * 2 if k == 0 else links))
-            if k:
-                rows = np.full(len(vectors), -1, np.int32)
-                rows[np.flatnonzero(self.height >= k)] = np.arange(len(self.layers[k]))
-                self.rows.append(rows)
-        self._mark, self._turn = np.zeros(len(vectors), np.int32), 0
+        self.layers = [np.frombuffer(x, "<i4").reshape(-1, links * 2 if k == 0 else links) for k, x in enumerate(layers)]
+        self._ready()
         return self
 
     def nearest(self, query: np.ndarray, width: int) -> np.ndarray:
         """Nodes near the query, at most ``width``."""
-        query = query.astype(np.float32)
+        query = np.asarray(query, np.float64) * self.scale
         at = [(float(self._near(query, np.array([self.entry]))[0]), self.entry)]
         for layer in range(int(self.height[self.entry]), 0, -1):
-            at = self.search(query, at, layer, 1)
+            at = self.search(query, at, layer, DESCENT)
         return np.array([x for _, x in self.search(query, at, 0, width)])
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, for any finite components."""
+    apart = vectors - query
+    with np.errstate(over="ignore"):
+        out = np.sqrt((apart**2).sum(axis=1))
+    if not np.isfinite(out).all():  # squares beyond the largest double
+        half, scale = fitted(np.vstack([vectors, query]) / 2)
+        out = np.sqrt(((half[:-1] - half[-1]) ** 2).sum(axis=1)) / scale * 2
+    return out
+
+
 def usable(df: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -243,21 +313,19 @@ def build_index(df: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, links: i
 
 def _search(k: int, width: int):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        ids, found, scores = [], [], []
+        best: dict[int, list[tuple[float, int]]] = {}
         for row in index.itertuples():
             vectors = np.frombuffer(row.vectors, "<f8").reshape(-1, row.dim)
             graph = Graph.of(vectors, row.entry, row.links, row.height, list(row.layers))
-            for q, vec in zip(queries["query_id"], queries["vec"]):
+            for q, vec in zip(queries["query_id"].tolist(), queries["vec"]):
                 if len(vec) != 8 * row.dim:
                     continue
                 query = np.frombuffer(vec, "<f8")
                 near = graph.nearest(query, max(width, k + 1))
-                exact = np.sqrt(((vectors[near] - query) ** 2).sum(axis=1))
-                best = sorted((float(s), int(i)) for s, x in zip(exact, near) for i in row.ids[x] if i != q)[:k]
-                ids.extend([q] * len(best))
-                found.extend(i for _, i in best)
-                scores.extend(s for s, _ in best)
-        return pd.DataFrame({"query_id": ids, "vec_id": found, "score": scores})
+                more = [(float(s), int(i)) for s, x in zip(distances(vectors[near], query), near) for i in row.ids[x] if i != q]
+                best[q] = heapq.nsmallest(k, best.get(q, []) + more)
+        found = [(q, i, s) for q, own in best.items() for s, i in own]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     return run
 
@@ -269,18 +337,23 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, width: int = SEARCH_
     distance in double precision; ties go to the smaller vec_id; a query is not its own
     neighbour.  Vectors that are null, zero, empty or hold null or non-finite components
     take no part, nor do rows without id; vectors of other lengths are not candidates.
-    Queries are searched in blocks of about ``max_queries``, so a task holds one shard
-    and one block.
+    A query id that repeats with different vectors is searched by the one whose bytes
+    sort first.  An empty table gives an empty result; other columns are ignored.
+    Queries are searched in blocks of about ``max_queries``; a task holds one block and
+    one shard at a time, and merges what its shards find before anything is shuffled.
     """
     index = build_index(df, k + 1, shard_rows)
-    shards = index.agg(F.coalesce(F.max("shard") + 1, F.lit(0))).first()[0]
-    asked = stored(_packed(usable(queries)).select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates(["query_id"]), "queries")
+    shards = max(1, index.agg(F.coalesce(F.max("shard") + 1, F.lit(0))).first()[0])
+    pools = max(min(shards, TASKS), math.ceil(shards / POOL))
+    pooled = index.withColumn("pool", F.col("shard") % pools)
+    asked = _packed(usable(queries)).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
+    asked = stored(asked, "queries")
     blocks = max(1, math.ceil(asked.count() / max_queries))
     parts = []
     for block in range(blocks):
         own = asked.where(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {block}"))
-        dealt = own.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))))
-        found = index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(_search(k, width), "query_id long, vec_id long, score double")
+        dealt = own.withColumn("pool", F.explode(F.sequence(F.lit(0), F.lit(pools - 1))))
+        found = pooled.groupBy("pool").cogroup(dealt.groupBy("pool")).applyInPandas(_search(k, width), "query_id long, vec_id long, score double")
         parts.append(stored(found, "found"))
     found = parts[0]
     for more in parts[1:]:

@@ -99,14 +99,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-#: Hosts whose pages make up the block list.
-SPAM_HOSTS = r"(^|[.])(casino-win|cheap-pills|spam-farm)[.]"
+#: What two pages must share to be mirrors of one another.
+STORY = r"(?s)<article>(.*?)</article>"
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL judged by rules, then by the list of the spam hosts' URLs."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, pages.where(url_filter.host_of(F.col("url")).rlike(SPAM_HOSTS)).select("url"))
+    """Every page's URL judged by rules, then by the list of the URLs of stories that stand on several hosts."""
+    pages = table(spark, sf_dir, "pages")
+    listed = url_filter.mirrored(pages, F.regexp_extract("html", STORY, 1))
+    return url_filter.judge(pages.select("page_id", "url"), listed)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,9 +232,10 @@ def _op8() -> str:
     name = " ".join(f"{fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)
     action = " ".join(f"{fits(h, p)} THEN '{a}'" for a, h, p in rules)
     return f"""
-WITH parts AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path, {_CANONICAL} AS key FROM pages),
-spam AS (SELECT DISTINCT key FROM parts WHERE regexp_matches(host, '{SPAM_HOSTS}') AND key IS NOT NULL),
-seen AS (SELECT parts.*, spam.key IS NOT NULL AS listed FROM parts LEFT JOIN spam ON parts.key = spam.key)
+WITH parts AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path, {_CANONICAL} AS key, regexp_extract(html, '{STORY}', 1) AS story FROM pages),
+stories AS (SELECT story FROM parts WHERE story <> '' GROUP BY story HAVING count(DISTINCT host) > 1),
+mirrors AS (SELECT DISTINCT key FROM parts WHERE story IN (SELECT story FROM stories) AND key IS NOT NULL),
+seen AS (SELECT parts.*, mirrors.key IS NOT NULL AS listed FROM parts LEFT JOIN mirrors ON parts.key = mirrors.key)
 SELECT page_id, host, path, CASE {name} ELSE NULL END AS rule,
   CASE {action} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM seen"""
 

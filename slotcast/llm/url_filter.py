@@ -1,10 +1,11 @@
 """URL filter: host and path rules, then a block list behind a blocked Bloom filter.
 
 A Bloom filter of blocks of four 64-bit words holds the canonical URLs of the block
-list; a URL sets one bit in each word of one block.  The filter has at most
-``MAX_BLOCKS`` blocks (2 MB) whatever the list, so it may be broadcast; a longer list
-only makes it pass more URLs.  Those that pass go to an exact hash join with the list,
-which removes the false positives; the others never move.
+list; a URL sets one bit in each word of one block.  The filter grows with the list, so
+it always passes few URLs that are not listed (about 1 in 400).  Up to
+``BROADCAST_BLOCKS`` blocks it is broadcast; beyond, URLs and blocks are joined by block
+number.  URLs that pass go to an exact hash join with the list, which removes the false
+positives; the others take no part in it.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, join_counted, stored
 
 WORDS = 4
 URLS_PER_BLOCK = 16
-MAX_BLOCKS = 1 << 16
+BROADCAST_BLOCKS = 1 << 18
 #: (action, host, path)
 RULES = [
     ("block", "com", "/en/"),
@@ -76,20 +77,29 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def on_list(urls: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """``urls`` with the boolean ``listed`` added: the column ``key`` is in ``listed.key``.
+def probed(urls: DataFrame, keys: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """``urls`` with the boolean ``maybe`` added: false only if the column ``key`` is not among ``keys`` (distinct)."""
+    blocks = max(1, -(-keys.count() // URLS_PER_BLOCK))
+    words = bloom_filter(keys, blocks)
+    if blocks <= broadcast_blocks:  # at most so many rows of five numbers
+        words = F.broadcast(words)
+    none = F.lit(-1) - F.pmod(F.xxhash64("page_id"), F.lit(1 << 16)).cast("int")  # null keys meet no block, and not all in one place
+    both = urls.withColumn("block", F.coalesce(_block(F.col("key"), blocks), none)).join(words, "block", "left")
+    passes = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"w{i}").bitwiseAND(b) == b, F.lit(False)) for i, b in enumerate(_bits(F.col("key")))])
+    return both.withColumn("maybe", passes & F.col("key").isNotNull()).drop("block", *[f"w{i}" for i in range(WORDS)])
+
 
-    Null keys are never listed; repeated rows of either side do not multiply.
+def on_list(urls: DataFrame, listed: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """``urls`` (page_id, key and more) with the boolean ``listed`` added: the column ``key`` is in ``listed.key``.
+
+    Null keys are never listed; repeated rows of either side do not multiply; long keys
+    are like any other.
     """
     keys = stored(listed.select("key").where("key is not null").distinct(), "listed")
-    blocks = max(1, min(max_blocks, -(-keys.count() // URLS_PER_BLOCK)))
-    words = F.broadcast(bloom_filter(keys, blocks))  # at most max_blocks rows of five numbers
-    probed = urls.withColumn("block", F.coalesce(_block(F.col("key"), blocks), F.lit(-1))).join(words, "block", "left")
-    passes = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"w{i}").bitwiseAND(b) == b, F.lit(False)) for i, b in enumerate(_bits(F.col("key")))])
-    probed = probed.withColumn("maybe", passes & F.col("key").isNotNull()).drop("block", *[f"w{i}" for i in range(WORDS)])
-    hits = probed.where("maybe").join(keys.withColumn("hit", F.lit(True)), "key", "left")
-    exact = hits.withColumn("listed", F.coalesce("hit", F.lit(False))).drop("hit", "maybe")
-    return exact.unionByName(probed.where("not maybe").drop("maybe").withColumn("listed", F.lit(False)))
+    rows = stored(probed(urls, keys, broadcast_blocks), "probed")
+    exact = rows.where("maybe").join(keys.withColumn("hit", F.lit(True)), "key", "left")
+    found = exact.withColumn("listed", F.coalesce("hit", F.lit(False))).drop("hit", "maybe")
+    return found.unionByName(rows.where("not maybe").drop("maybe").withColumn("listed", F.lit(False)))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list = RULES, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -97,8 +107,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list = RULES, url_col: str
 
     The longest rule that fits decides; where none fits, a URL is blocked if its
     canonical form is that of a row of ``listed`` (column ``url``).  Null and broken
-    URLs have empty host and path, no rule, and are allowed; repeated rows stay; other
-    columns are ignored.
+    URLs have empty host and path, no rule, and are allowed; repeated rows stay; an empty
+    table or list gives what the rules alone give; other columns are ignored.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
@@ -106,3 +116,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list = RULES, url_col: str
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow"))
     return seen.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed")
+
+
+def mirrored(pages: DataFrame, story: Column, url_col: str = "url") -> DataFrame:
+    """(url) of the pages whose ``story`` stands on at least two hosts: a list made from other rows than the one judged.
+
+    Stories are compared by a digest; null and empty ones are on no list.
+    """
+    rows = pages.where(F.length(story) > 0).select(F.col(url_col).alias("url"), F.sha2(story, 256).alias("digest"), host_of(F.col(url_col)).alias("host"))
+    rows = stored(rows, "stories")
+    hosts = rows.groupBy("digest").agg(F.min("host").alias("a"), F.max("host").alias("b"), F.count("*").alias("n")).where("a <> b")
+    return join_counted(rows, stored(hosts.select("digest", "n"), "mirrored"), "digest", rows.count()).select("url")

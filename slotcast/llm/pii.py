@@ -30,6 +30,10 @@ LABELERS = ["shape", "gazetteer", "context", "boundary"]
 ROUNDS = 8
 BESIDE = 48
 RUN = 256
+#: Code points of a piece of text in which places are looked up.
+PIECE = 1024
+#: Bits of a span's form, and classes of the word before it.
+FORM_BITS, WORD_CLASSES = 4, 8
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: A run is entered where it begins or where the last match ended, and never given
@@ -174,47 +178,101 @@ def _votes(kind: Column, hit: Column, before: Column, after: Column) -> dict[str
     return {"shape": shape, "gazetteer": gazetteer, "context": context, "boundary": _vote(clear, ~clear)}
 
 
+def _form(hit: Column, before: Column, after: Column) -> Column:
+    """Four bits: blanks within, brackets or signs within, a label's colon before, an end after."""
+    bits = [hit.rlike(" "), hit.rlike(r"[().+-]"), before.rlike(r"[:=#] ?$"), after.rlike(r"^(?:$|[\s,;.!?])")]
+    return reduce(lambda a, b: a + b, [F.when(bit, 1 << i).otherwise(0) for i, bit in enumerate(bits)]).cast("byte")
+
+
+def _word(before: Column) -> Column:
+    """The class of the last word before a span, by a hash; 0 if there is none."""
+    word = F.regexp_extract(F.lower(before), r"(\p{L}+)\P{L}*$", 1)
+    return F.when(word == "", 0).otherwise(F.pmod(F.xxhash64(word), F.lit(WORD_CLASSES - 1)) + 1).cast("byte")
+
+
+_CAND = "struct<start:int,kind:int,end:int,base:boolean," + ",".join(f"{x}:tinyint" for x in (*LABELERS, "size", "form", "word")) + ">"
+
+
 def candidates(text: Column) -> Column:
-    """Candidates of a text: kind (number), start, end, base, votes and length class.
+    """Candidates of a text: start, kind (number), end, base, votes, length class, form and class of the word before.
 
-    Places are in code points, the end exclusive.  Base candidates passed their rules.
+    Places are in code points, the end exclusive.  Base candidates passed their rules;
+    wide ones overlap none of them.
     """
-    def base_of(kind: str) -> Column:
-        return F.filter(_matches(text, kind, BASE[kind], _likely(text, HINTS[kind][0])), lambda x: _valid(kind, x["hit"]))
 
-    base = F.concat(*[base_of(k) for k in KINDS])
-    def wide_of(kind: str) -> Column:
-        found = _matches(text, kind, WIDE[kind], _likely(text, HINTS[kind][1]))
-        return F.filter(found, lambda x: _valid(kind, x["hit"])) if kind == "card" else found  # a wrong check digit is no card
+    def found(kind: str, patterns: dict, hints: list[str] | None, check: bool) -> Column:
+        spans = _matches(text, kind, patterns[kind], _likely(text, hints))
+        return F.filter(spans, lambda x: _valid(kind, x["hit"])) if check else spans
 
-    wide = F.concat(*[wide_of(k) for k in KINDS])
+    base = F.concat(*[found(k, BASE, HINTS[k][0], True) for k in KINDS])
+    wide = F.concat(*[found(k, WIDE, HINTS[k][1], k == "card") for k in KINDS])  # a wrong check digit is no card
 
     def out(is_base: bool):
         def one(x):
             votes = _votes(x["kind"], x["hit"], x["before"], x["after"])
-            size = F.least(F.floor(F.length(x["hit"]) / 8), F.lit(4)).cast("byte")
-            return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(is_base).alias("base"), *[v.alias(k) for k, v in votes.items()], size.alias("size"))
+            votes |= {"size": F.least(F.floor(F.length(x["hit"]) / 8), F.lit(4)).cast("byte"), "form": _form(x["hit"], x["before"], x["after"]), "word": _word(x["before"])}
+            return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(is_base).alias("base"), *[v.alias(k) for k, v in votes.items()])
 
         return one
 
-    return F.concat(F.transform(base, out(True)), F.transform(wide, out(False)))
+    both = F.struct(F.transform(base, out(True)).alias("base"), F.transform(wide, out(False)).alias("wide"))
+    return F.element_at(F.transform(F.array(both), lambda x: F.when(F.size(x["wide"]) == 0, x["base"]).otherwise(_apart(x["base"], x["wide"]))), 1)
+
+
+def _in_runs(items: Column, state: Column, step, out: str) -> Column:
+    """What ``step(state, item) -> (state, made)`` makes of each item in turn, as one array of type ``out``.
+
+    Runs of RUN items are gathered and then put together: appending to one long array
+    would copy it for every item.
+    """
+
+    def inner(a, x):
+        now, made = step(a["s"], x)
+        return F.struct(now.alias("s"), F.concat(a["out"], F.array(made)).alias("out"))
+
+    def outer(a, k):
+        run = F.aggregate(F.slice(items, k * RUN + 1, RUN), F.struct(a["s"].alias("s"), F.lit([]).cast(f"array<{out}>").alias("out")), inner)
+        return F.element_at(F.transform(F.array(run), lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out"))), 1)
+
+    numbers = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / RUN), F.lit(0)).cast("int"))
+    return F.aggregate(numbers, F.struct(state.alias("s"), F.lit([]).cast(f"array<array<{out}>>").alias("out")), outer, lambda a: F.flatten(a["out"]))
+
+
+def _apart(base: Column, wide: Column) -> Column:
+    """Base candidates and the wide ones that overlap none of them, by start.
+
+    In order of starts, a base candidate that overlaps either begins before and ends
+    beyond the start (the largest end so far), or is the next that begins.
+    """
+    marked = f"struct<x:{_CAND},clash:boolean>"
+
+    def ahead(upto, x):
+        return F.when(x["base"], F.greatest(upto, x["end"])).otherwise(upto), F.struct(x.alias("x"), (~x["base"] & (x["start"] < upto)).alias("clash"))
+
+    def back(following, y):
+        x = y["x"]
+        clash = y["clash"] | (~x["base"] & (following < x["end"]))
+        return F.when(x["base"], x["start"]).otherwise(following), F.struct(x.alias("x"), clash.alias("clash"))
+
+    one_way = F.element_at(F.transform(F.array(F.array_sort(F.concat(base, wide))), lambda c: F.reverse(_in_runs(c, F.lit(0), ahead, marked))), 1)
+    both_ways = F.element_at(F.transform(F.array(one_way), lambda c: F.reverse(_in_runs(c, F.lit(2**31 - 1), back, marked))), 1)
+    return F.transform(F.filter(both_ways, lambda y: ~y["clash"]), lambda y: y["x"])
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the array ``cands`` added: base ones, and wide ones apart from those."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn(DIGIT, text.rlike("[0-9]")).withColumn("c", candidates(text))
-    apart = F.filter("c", lambda x: x["base"] | ~F.exists("c", lambda b: b["base"] & (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.withColumn("cands", apart).drop("c", DIGIT)
+    rows = docs.withColumn(DIGIT, text.rlike("[0-9]")).withColumn("cands", candidates(text))
+    return rows.drop(DIGIT)
 
 
 def _patterns(found: DataFrame) -> DataFrame:
-    """Counts of (kind, votes, size): at most 4 x 3**4 x 5 rows."""
-    return found.select(F.explode("cands").alias("x")).select("x.*").groupBy("kind", *LABELERS, "size").agg(F.count("*").alias("n"))
+    """Counts of (kind, votes, size, form, word): at most 4 x 3**4 x 5 x 16 x 8 rows."""
+    return found.select(F.explode("cands").alias("x")).select("x.*").groupBy("kind", *LABELERS, "size", "form", "word").agg(F.count("*").alias("n"))
 
 
 def posteriors(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``patterns`` with ``p``, the probability that a candidate with these votes is true.
+    """``patterns`` of votes, at most 4 x 3**4 rows, with ``p``, the probability that a candidate with these votes is true.
 
     Expectation-maximisation within each kind, all rounds in one job: sums over the
     patterns of a kind and vote give how often a labeler votes so on true and on false
@@ -251,21 +309,24 @@ def reliabilities(rated: DataFrame) -> DataFrame:
 
 
 def _features(get) -> list[Column]:
-    """For each kind: 1, the votes and the length class, where the kind is this one."""
-    each = [F.lit(1.0), *[get(x).cast("double") for x in LABELERS], get("size").cast("double") / 4]
+    """For each kind, where the kind is this one: 1, the votes, the length class, the bits of the form and the class of the word before."""
+    form = [get("form").bitwiseAND(F.lit(1 << i).cast("byte")) != 0 for i in range(FORM_BITS)]
+    word = [get("word") == w for w in range(1, WORD_CLASSES)]
+    each = [F.lit(1.0), *[get(x).cast("double") for x in LABELERS], get("size").cast("double") / 4, *[x.cast("double") for x in (*form, *word)]]
     return [F.when(get("kind") == k, x).otherwise(0.0) for k in range(len(KINDS)) for x in each]
 
 
 def train(found: DataFrame) -> list[float] | None:
     """Weights of the span classifier from candidates ``cands``; None if there are none."""
-    patterns = stored(_patterns(found).coalesce(1), "patterns")
+    patterns = stored(_patterns(found), "patterns")
     if patterns.isEmpty():
         return None
-    soft = posteriors(patterns).withColumn("features", array_to_vector(F.array(*_features(F.col))))
+    votes = stored(patterns.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")).coalesce(1), "votes")
+    soft = patterns.join(posteriors(votes).drop("n"), ["kind", *LABELERS]).withColumn("features", array_to_vector(F.array(*_features(F.col))))
     rows = soft.select("features", F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("w")).unionByName(
         soft.select("features", F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("w"))
     )
-    fit = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=15, standardization=False, fitIntercept=False).fit(rows.coalesce(1))
+    fit = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=15, standardization=False, fitIntercept=False).fit(stored(rows.coalesce(4), "soft-labels"))
     return [float(x) for x in fit.coefficients]
 
 
@@ -287,10 +348,11 @@ def find_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
 
     A span is (start, kind number, end, base).  Learns from all candidates of ``docs``.
     Null texts count as empty; repeated rows count as often as they occur; an empty
-    table stays empty; columns named spans, cands or c are replaced.  Candidates are
-    found once and written to the shared folder with the kept columns.
+    table stays empty; columns named spans or cands are replaced; a text may be as long
+    as a string can be.  Candidates are found once and written to the shared folder with
+    the kept columns.
     """
-    docs = docs.drop("spans", "cands", "c")
+    docs = docs.drop("spans", "cands")
     found = stored(with_candidates(docs, text_col).select(*(keep or docs.columns), "cands"), "candidates")
     return found.withColumn("spans", accepted(F.col("cands"), train(found))).drop("cands")
 
@@ -302,23 +364,35 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlaps count as one."""
+    """The text with each span (sorted by start) replaced by its kind in brackets; overlaps count as one.
+
+    The text is cut into pieces of PIECE code points once, so a place is found without
+    counting from the start of the text.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("upto"), F.lit("").alias("out"))
 
-    def add(a, x):
-        begin, end = x["start"], x["end"]
-        between = F.substring(text, a["upto"] + 1, begin - a["upto"])
-        new = F.struct(end.alias("upto"), F.concat(a["out"], between, F.element_at(names, x["kind"] + 1)).alias("out"))
-        more = F.struct(F.greatest(a["upto"], end).alias("upto"), a["out"].alias("out"))
-        return F.when(begin >= a["upto"], new).otherwise(more)
+    def whole(x):
+        pieces = x["pieces"]
+
+        def between(a, b):
+            """Code points from ``a`` up to ``b``."""
+            i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+            head, middle, tail = F.substring(F.get(pieces, i), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), F.substring(F.get(pieces, j), F.lit(1), b % PIECE)
+            return F.when(b <= a, "").when(i == j, F.substring(F.get(pieces, i), a % PIECE + 1, b - a)).otherwise(F.concat(head, middle, F.coalesce(tail, F.lit(""))))
+
+        def add(upto, s):
+            new = F.concat(between(upto, s["start"]), F.element_at(names, s["kind"] + 1))
+            return F.greatest(upto, s["end"]), F.when(s["start"] >= upto, new).otherwise("")
+
+        rest = between(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+        return F.concat(F.array_join(_in_runs(spans, F.lit(0), add, "string"), ""), rest)
 
-    whole = F.aggregate(spans, start, add, lambda a: F.concat(a["out"], F.substring(text, a["upto"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    cut = F.array(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")))
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(cut, whole), 1)).otherwise(text)
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` masked and ``n_chars`` counted anew."""
+    """``docs`` with personal data in ``text`` masked and ``n_chars`` counted anew; see :func:`find_spans` for the other cases."""
     columns = docs.columns
     found = find_spans(docs).withColumn("text", masked(F.col("text"), F.col("spans")))
     changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -40,7 +40,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit("revise", token_counts.revisions(counted.where("revised")))
     store.commit("toxic", token_counts.deletes(gone))
     store.commit("revise", token_counts.revisions(counted.where("revised")))
-    return store.totals(["load", "revise", "toxic"])
+    return store.totals()
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

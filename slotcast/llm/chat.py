@@ -6,13 +6,15 @@ A conversation is rendered as one string, turn by turn::
 
 Inside roles and texts ``<|`` becomes ``<\\|`` (and ``<\\|`` becomes ``<\\\\|``, and so
 on), so every ``<|`` of the output is the template's own and the texts can be read back.
-The string is encoded once, with offsets.  Tokens and turn spans are both sorted, so the
-tokens under a span are a range found by two binary searches.
+The string is encoded once; the lengths of the tokens in bytes add up to their offsets.
+Tokens and turn spans are both sorted, so the tokens under a span are a range found by
+two binary searches.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_counts import PATTERN, read_ranks
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LOSS_ROLE = "assistant"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _PARTS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
@@ -66,56 +70,72 @@ def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return mask
 
 
-def masked_text(formatted: str, starts: list[int], ends: list[int], mask: list[int]) -> str:
-    """The text under the mask, read from the token offsets, unescaped span by span."""
-    parts, begin, upto = [], None, 0
-    for start, end, on in zip(starts, ends, mask):
-        if on:
-            if begin is None:
-                begin = start
-            upto = end
-        elif begin is not None:
-            parts.append((begin, upto))
-            begin = None
-    if begin is not None:
-        parts.append((begin, upto))
-    return "".join(unescape(formatted[a:b]) for a, b in parts)
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
+    """The text under the mask, read from the token offsets, unescaped run by run."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(mask, np.int8), [0]])))
+    return "".join(unescape(formatted[starts[i] : ends[j - 1]]) for i, j in zip(edges[::2], edges[1::2]))
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    """One tokenizer for each Python worker; the template's marks are tokens of their own."""
-    from tokenizers import AddedToken, Tokenizer, processors
+    """One encoder for each Python worker, and the bytes of each token; the template's marks are tokens of their own."""
+    import tiktoken
+
+    ranks = read_ranks(path)
+    marks = {x: max(ranks.values()) + 2 + i for i, x in enumerate((TURN, TEXT, END))}
+    sizes = np.zeros(max(marks.values()) + 1, np.int64)
+    for token, number in (*ranks.items(), *marks.items()):
+        sizes[number] = len(token)
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks), sizes
+
 
-    made = Tokenizer.from_file(path)
-    made.add_special_tokens([AddedToken(x, normalized=False) for x in (TURN, TEXT, END)])
-    made.post_processor = processors.ByteLevel(trim_offsets=False)
-    return made
+def encode(text: str, tokenizer: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids and offsets (start and end in code points) of a formatted text.
+
+    A token that holds a part of a character's bytes covers the whole character.
+    """
+    encoder, sizes = _tokenizer(tokenizer)
+    ids = np.array(encoder.encode(text, allowed_special="all"), np.int32)
+    upto = np.cumsum(sizes[ids])
+    raw = text.encode()
+    if len(raw) == len(text):
+        return ids, np.stack([upto - sizes[ids], upto], axis=1)
+    char = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1  # of each byte
+    return ids, np.stack([char[upto - sizes[ids]], char[upto - 1] + 1], axis=1)
 
 
 _OUT = "conv_id long, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<byte>"
 
 
+#: Code points formatted before rows are handed on; bounds what a task holds besides its input.
+HELD = 1 << 21
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
 def _encode(path: str, loss_role: str):
-    def run(batches):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            ids, turns = batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist()
-            for at in range(0, len(ids), 64):
-                yield one(ids[at : at + 64], turns[at : at + 64])
-
-    def one(ids, all_turns):
-        rendered = [render([(t["role"], t["text"]) for t in turns], loss_role) for turns in all_turns]
-        encoded = _tokenizer(path).encode_batch([text for text, _ in rendered], add_special_tokens=False)
-        tokens, starts, ends, masks = [], [], [], []
-        for e, (_, spans) in zip(encoded, rendered):
-            offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
-            tokens.append(e.ids)
-            starts.append(offsets[:, 0])
-            ends.append(offsets[:, 1])
-            masks.append(loss_mask(offsets, spans))
+            for conv_id, turns in zip(batch.column("conv_id"), batch.column("turns")):
+                turns = [(t["role"], t["text"]) for t in turns.as_py()]
+                formatted, spans = render(turns, loss_role)
+                ids, offsets = encode(formatted, path)
+                rows.append((conv_id.as_py(), len(turns), formatted, ids, offsets, loss_mask(offsets, spans)))
+                held += len(formatted)
+                if held >= HELD:
+                    yield made(rows)
+                    rows, held = [], 0
+        yield made(rows)
+
+    def made(rows) -> pa.RecordBatch:
+        conv, n, formatted, ids, offsets, masks = zip(*rows) if rows else [[]] * 6
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(t) for t in all_turns], pa.int64()), pa.array([t for t, _ in rendered])]
-            + [pa.array(x, pa.list_(pa.int32())) for x in (tokens, starts, ends)] + [pa.array(masks, pa.list_(pa.int8()))],
+            [pa.array(conv, pa.int64()), pa.array(n, pa.int64()), pa.array(formatted, pa.string()), _lists(ids, pa.int32()),
+             _lists([x[:, 0].astype(np.int32) for x in offsets], pa.int32()), _lists([x[:, 1].astype(np.int32) for x in offsets], pa.int32()), _lists(masks, pa.int8())],
             ["conv_id", "n_turns", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"],
         )
 
@@ -127,8 +147,9 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER, l
 
     Rows are ordered by turn; null turns come first, and rows of one turn are ordered
     by role and text and all kept.  Null roles and texts are empty.  Rows with null
-    conv_id form one conversation.  Other columns are ignored.  A conversation is one
-    string, so its rows meet in one task; conversations are spread over all tasks.
+    conv_id form one conversation; an empty table gives an empty result.  Other columns
+    are ignored.  ``tokenizer`` is a byte-pair vocabulary as ranks.  A conversation is
+    one string, so its rows meet in one task; conversations are spread over all tasks.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
@@ -144,12 +165,14 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            c = {name: batch.column(name).to_pylist() for name in ("conv_id", "formatted", "token_starts", "token_ends", "loss_mask")}
-            turns = [read_back(x) for x in c["formatted"]]
-            loss = [masked_text(*x) for x in zip(c["formatted"], c["token_starts"], c["token_ends"], c["loss_mask"])]
+            arrays = {name: batch.column(name).flatten().to_numpy(zero_copy_only=False) for name in ("token_starts", "token_ends", "loss_mask")}
+            ends = np.cumsum([0, *(len(x) for x in batch.column("loss_mask"))])
+            formatted = batch.column("formatted").to_pylist()
+            turns = [read_back(x) for x in formatted]
+            loss = [masked_text(x, *(arrays[k][i:j] for k in ("token_starts", "token_ends", "loss_mask"))) for x, i, j in zip(formatted, ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c["conv_id"], pa.int64()), pa.array([len(t) for t in turns], pa.int64())]
-                + [pa.array(["".join(f"{r}\n{x}\n" for r, x in t) for t in turns], pa.string()), pa.array(loss, pa.string()), pa.array([len(x) for x in c["formatted"]], pa.int64())],
+                [batch.column("conv_id"), pa.array([len(t) for t in turns], pa.int64())]
+                + [pa.array(["".join(f"{r}\n{x}\n" for r, x in t) for t in turns], pa.string()), pa.array(loss, pa.string()), pa.array([len(x) for x in formatted], pa.int64())],
                 ["conv_id", "n_turns", "turns", "loss_text", "formatted_chars"],
             )
 

@@ -28,14 +28,18 @@ TOKENIZERS = "/opt/tokenizers"
 _encoders: dict = {}
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The tokens of a byte-pair vocabulary and their numbers."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def _encoder(path: str, pattern: str):
     """One encoder for each Python worker."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
     return _encoders[path]
 
 

@@ -84,14 +84,14 @@ def regime_flag(ts: Column | str, since: str) -> Column:
     return (col(ts) >= F.lit(since).cast("date")).cast("int")
 
 
-#: Substring rules of feature names, first match counts (fixed values): label, any of, none of.
+#: Substring rules of feature names, first match counts (fixed values): label, any of.
 GROUP_RULES = [
     ("Auction", ["exaa_d0"]),
     ("Price d-1", ["price_d1_"]),
     ("Price d-2", ["price_d2_"]),
     ("Price d-7", ["price_d7_"]),
-    ("Load", ["load_"]),
-    ("Wind", ["wind_speed"]),
+    ("Load", ["load_d0"]),
+    ("Wind", ["wind"]),
     ("Solar", ["ssrd", "sw_dir", "sw_dif"]),
     ("Weekday", ["weekday"]),
     ("Holiday", ["holiday"]),

@@ -26,10 +26,6 @@ def calendar_features(days: DataFrame, regime_since: str = "2025-10-01", date: s
     return days.select(date, regime_flag(F.col(date), regime_since).alias("is_15min_market"), *weekday_flags(date), is_holiday(date).alias("is_holiday"))
 
 
-def occurring_weekdays(days: DataFrame, date: str = "date") -> DataFrame:
-    """The weekday numbers that occur: flags are kept only for these."""
-    return days.select(F.weekday(date).alias("weekday")).distinct()
-
 
 def as_long(wide: DataFrame, family: str, date: str = "date") -> DataFrame:
     """A wide block of features as long rows."""
@@ -38,11 +34,6 @@ def as_long(wide: DataFrame, family: str, date: str = "date") -> DataFrame:
     return rows.select(date, F.lit(family).alias("family"), "feature", F.lit(0).alias("slot"), "value")
 
 
-def profile_features(profile: DataFrame, family: str, prefix: str, slot: str = "mtu") -> DataFrame:
-    """Profile rows as features named ``{prefix}_{slot}_{nn}``."""
-    name = F.format_string(f"{prefix}_{slot}_%02d", F.col(slot))
-    return profile.select("date", F.lit(family).alias("family"), name.alias("feature"), F.col(slot).alias("slot"), "value")
-
 
 def assemble(blocks: list[DataFrame]) -> DataFrame:
     """All blocks, on the days that every block has."""

@@ -23,10 +23,6 @@ def linear_prediction(x: Column | str, coef: Column | str, intercept: Column | s
     return c(intercept) + F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def linear_prediction_long(rows: DataFrame, coefs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, y_hat) from long features and long coefficients (feature, beta)."""
-    return rows.join(coefs, "feature").groupBy(*keys).agg(F.sum(F.col("value") * F.col("beta")).alias("y_hat"))
-
 
 def bias_corrected(y_hat: Column | str, mean_cosh: Column | str, mean_sinh: Column | str, center: Column | str, scale: Column | str) -> Column:
     """Back from the transformed scale with the mean over training residuals.

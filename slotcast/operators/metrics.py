@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,27 @@ def daily_scores(rows: DataFrame, inner: tuple[float, float] = (0.25, 0.75), out
         F.first("y_true").alias("y"), at(0.5).alias("q50"), at(inner[0]).alias("i0"), at(inner[1]).alias("i1"), at(outer[0]).alias("o0"), at(outer[1]).alias("o1"),
         F.avg(pinball("y_true", "q", "tau")).alias("aps"),
     )
+    return _by_day(slots)
+
+
+def daily_scores_of_arrays(rows: DataFrame, taus: list[float], inner: tuple[float, float] = (0.25, 0.75), outer: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
+    """The same where the quantiles of a row lie in an array ``q`` in the order of ``taus``: rows meet only in the sums by day."""
+    at = lambda tau: F.element_at("q", taus.index(tau) + 1)
+    slots = rows.select(
+        "model", "date", F.col("y_true").alias("y"), at(0.5).alias("q50"), at(inner[0]).alias("i0"), at(inner[1]).alias("i1"), at(outer[0]).alias("o0"), at(outer[1]).alias("o1"),
+        mean_pinball("y_true", "q", taus).alias("aps"),
+    )
+    return _by_day(slots)
+
+
+def mean_pinball(y: str, q: str, taus: list[float]) -> Column:
+    """Mean pinball loss over the levels of an array of quantiles; levels without quantile are left out."""
+    losses = [pinball(F.col(y), F.element_at(q, i + 1), tau) for i, tau in enumerate(taus)]
+    n = reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in losses])
+    return F.when(n > 0, reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in losses]) / n)
+
+
+def _by_day(slots: DataFrame) -> DataFrame:
     scores = [
         F.avg(F.abs(F.col("y") - F.col("q50"))).alias("mae_median"), F.avg(covered("y", "i0", "i1")).alias("coverage_inner"),
         F.avg(covered("y", "o0", "o1")).alias("coverage_outer"), F.avg("aps").alias("aps"),
@@ -54,17 +77,29 @@ def aps_by_slot(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(pinball("y_true", "q", "tau")).alias("aps"))
 
 
-def coverage_table(panel: DataFrame, intervals: DataFrame) -> DataFrame:
+def coverage_table(panel: DataFrame, intervals: list[tuple[str, float, float]]) -> DataFrame:
     """(model, interval, nominal, n, coverage).
 
-    ``panel`` is long (model, ts, tau, q, y_true); ``intervals`` (interval, lo, hi) is
-    a list of names and levels.
+    ``panel`` is long (model, ts, tau, q, y_true); ``intervals`` are (name, lower level,
+    upper level).  Both ends of all intervals are gathered in one pass; a slot that
+    lacks an end of an interval is no slot of it.
     """
-    ends = panel.join(intervals, (F.col("tau") == F.col("lo")) | (F.col("tau") == F.col("hi")))
-    slots = ends.groupBy("model", "interval", "lo", "hi", "ts").agg(F.min("q").alias("low"), F.max("q").alias("high"), F.first("y_true").alias("y"))
-    return slots.groupBy("model", "interval").agg(
-        (F.first("hi") - F.first("lo")).alias("nominal"), F.count("*").alias("n"), F.avg(covered("y", "low", "high")).alias("coverage")
-    )
+    at = lambda tau: F.max(F.when(F.col("tau") == tau, F.col("q")))
+    ends = [F.struct(F.lit(name).alias("interval"), F.lit(hi - lo).alias("nominal"), at(lo).alias("low"), at(hi).alias("high")) for name, lo, hi in intervals]
+    slots = panel.groupBy("model", "ts").agg(F.first("y_true").alias("y"), F.array(*ends).alias("ends"))
+    return _coverage(slots)
+
+
+def coverage_of_arrays(rows: DataFrame, taus: list[float], intervals: list[tuple[str, float, float]]) -> DataFrame:
+    """The same where the quantiles of a row lie in an array ``q`` in the order of ``taus``."""
+    at = lambda tau: F.element_at("q", taus.index(tau) + 1)
+    ends = [F.struct(F.lit(name).alias("interval"), F.lit(hi - lo).alias("nominal"), at(lo).alias("low"), at(hi).alias("high")) for name, lo, hi in intervals]
+    return _coverage(rows.select("model", F.col("y_true").alias("y"), F.array(*ends).alias("ends")))
+
+
+def _coverage(slots: DataFrame) -> DataFrame:
+    each = slots.select("model", "y", F.inline("ends")).where("low is not null and high is not null")
+    return each.groupBy("model", "interval").agg(F.max("nominal").alias("nominal"), F.count("*").alias("n"), F.avg(covered("y", "low", "high")).alias("coverage"))
 
 
 def crossing_counts(rows: DataFrame, keys: list[str], q: str = "q") -> DataFrame:

@@ -62,11 +62,6 @@ def rolling_window(days: DataFrame, history: DataFrame, n: int, absolute: bool =
     return dealt.join(history, date)
 
 
-def model_pairs(models: DataFrame) -> DataFrame:
-    """Ordered pairs of the distinct models: a table of names, so its square is small."""
-    names = models.select("model").distinct()
-    return names.select(F.col("model").alias("model_a")).join(names.select(F.col("model").alias("model_b")), how="cross")
-
 
 def only(df: DataFrame, members: DataFrame, on: list[str], inside: bool = True) -> DataFrame:
     """Rows whose key is (or is not) in ``members``."""

@@ -94,10 +94,6 @@ def localise(df: DataFrame, ts: str = "ts", source: str = "UTC") -> DataFrame:
     return df.withColumn(ts, F.expr(f"cast(convert_timezone('{source}', current_timezone(), {ts}) as timestamp)"))
 
 
-def wall_clock(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """An instant as local time without zone."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
-
 
 def time_slice(df: DataFrame, start: str, end: str, ts: str = "ts", skip: DataFrame | None = None) -> DataFrame:
     """Rows from ``start`` to ``end`` (both included) without the dates in ``skip.date``."""

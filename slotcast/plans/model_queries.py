@@ -239,12 +239,12 @@ def wind_speed(spark, sf_dir):
     return wide.select(F.to_date("t").cast("string").alias("date"), F.hour("t").alias("hour"), r6("click", "u"), r6("view", "v"), r6(C.wind_speed("click", "view"), "speed"))
 
 
-@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS t, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'O' END AS var, avg(o_totalprice) AS value FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2)
-SELECT CAST(t AS VARCHAR) AS t, round(max(value) FILTER (WHERE var = 'F'), 4) AS f, round(max(value) FILTER (WHERE var = 'O'), 4) AS o FROM d GROUP BY 1""")
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS t, o_orderstatus AS var, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2)
+SELECT CAST(t AS VARCHAR) AS t, round(max(value) FILTER (WHERE var = 'F'), 4) AS f, round(max(value) FILTER (WHERE var = 'O'), 4) AS o, round(max(value) FILTER (WHERE var = 'P'), 4) AS p FROM d GROUP BY 1""")
 def outer_merge(spark, sf_dir):
     """Variables merged by any time that one of them has."""
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')").groupBy(F.to_date("o_orderdate").alias("t"), F.col("o_orderstatus").alias("var")).agg(F.avg("o_totalprice").alias("value"))
-    return panel.join_variables(rows, "t", ["F", "O"], "full").select(day("t"), F.round("F", 4).alias("f"), F.round("O", 4).alias("o"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("t"), F.col("o_orderstatus").alias("var")).agg(F.avg("o_totalprice").alias("value"))
+    return panel.join_variables(rows, "t", ["F", "O", "P"], "full").select(day("t"), *[F.round(x, 4).alias(x.lower()) for x in "FOP"])
 
 
 @query("""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), l AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
@@ -382,7 +382,8 @@ def lasso_forecast(spark, sf_dir):
     """A sparse model for each day with a whole window and each priority over the 56 days before."""
     x, target, days = rolling_inputs(spark, sf_dir)
     out = forecast.rolling_point_forecast(x, target, days, 56)
-    return out.select(day("day"), "mtu", F.round("y_pred", 4).alias("y_pred"), F.round("alpha", 6).alias("alpha"), "n_nonzero")
+    named = [F.array_join("nonzero_cols", ",").alias("nonzero_cols"), F.array_join(F.transform("nonzero_vals", lambda v: F.round(v, 6)), ",").alias("nonzero_vals")]
+    return out.select(day("day"), "mtu", F.round("y_pred", 4).alias("y_pred"), F.round("alpha", 6).alias("alpha"), "n_nonzero", *named, "runtime_seconds")
 
 
 @query()

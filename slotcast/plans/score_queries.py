@@ -105,7 +105,7 @@ a AS (SELECT * FROM d UNION ALL SELECT model, 'mean', avg(mae_median), avg(cover
 SELECT model, period, round(mae_median, 8) AS mae_median, round(coverage_inner, 6) AS coverage_inner, round(coverage_outer, 6) AS coverage_outer, round(aps, 8) AS aps FROM a""")
 def daily_scores_summary(spark, sf_dir):
     """Scores by day and their mean over the days."""
-    out = metrics.daily_scores(quantile_panel(spark, sf_dir))
+    out = metrics.daily_scores_of_arrays(quantile_rows(spark, sf_dir).withColumnRenamed("y", "y_true"), TAUS)
     return out.select("model", "period", F.round("mae_median", 8).alias("mae_median"), r6("coverage_inner"), r6("coverage_outer"), F.round("aps", 8).alias("aps"))
 
 
@@ -131,15 +131,15 @@ def pinball_by_level(spark, sf_dir):
 @query(f"WITH {QUANTILES} SELECT model, CAST(date AS VARCHAR) AS date, round(avg({PINBALL}), 8) AS aps FROM u GROUP BY 1, 2")
 def aps_loss(spark, sf_dir):
     """Mean pinball loss over the levels by model and day."""
-    return metrics.aps_by_slot(quantile_panel(spark, sf_dir), ["model", "date"]).select("model", day(), F.round("aps", 8).alias("aps"))
+    rows = quantile_rows(spark, sf_dir).select("model", "date", metrics.mean_pinball("y", "q", TAUS).alias("aps"))
+    return rows.groupBy("model", "date").agg(F.avg("aps").alias("aps")).select("model", day(), F.round("aps", 8).alias("aps"))
 
 
 @query(f"""WITH {QUANTILES}, o AS (SELECT model, id, any_value(y) AS y, any_value(q) AS q FROM j GROUP BY 1, 2), i AS (SELECT * FROM (VALUES ('50', 2, 4, 0.5), ('80', 1, 5, 0.8)) AS t(interval, lo, hi, nominal))
 SELECT model, interval, round(CAST(max(nominal) AS DOUBLE), 6) AS nominal, count(*) AS n, round(avg(CASE WHEN y BETWEEN q[lo] AND q[hi] THEN 1 ELSE 0 END), 6) AS coverage FROM o CROSS JOIN i GROUP BY 1, 2""")
 def coverage_table(spark, sf_dir):
     """Empirical and nominal coverage."""
-    intervals = spark.createDataFrame([("50", 0.25, 0.75), ("80", 0.1, 0.9)], "interval string, lo double, hi double")
-    out = metrics.coverage_table(quantile_panel(spark, sf_dir), intervals)
+    out = metrics.coverage_of_arrays(quantile_rows(spark, sf_dir).withColumnRenamed("y", "y_true"), TAUS, [("50", 0.25, 0.75), ("80", 0.1, 0.9)])
     return out.select("model", "interval", r6("nominal"), "n", r6("coverage"))
 
 
@@ -220,7 +220,7 @@ def gw_per_slot_by_series(spark, sf_dir):
     return out.select("series", "model_a", "model_b", "mtu", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
-@query()
+@query(f"WITH g AS ({SQL['gw_matrix_by_series']}) SELECT series, model_a, " + ", ".join(f"CASE WHEN model_a = '{m}' THEN 1.0 ELSE max(p_value) FILTER (WHERE model_b = '{m}') END AS {m}" for m in MODELS) + " FROM g GROUP BY series, model_a")
 def gw_p_values(spark, sf_dir):
     """The square table of p-values of every series (O84); the same numbers as gw_matrix_by_series, pivoted."""
     tests = tests_stat.giacomini_white(tests_stat.loss_differences(series_losses(spark, sf_dir), by=("series",)), ["series", "model_a", "model_b"])
@@ -311,10 +311,10 @@ def model_panel(spark, sf_dir):
     return panel.pivot_models(naive_panel(spark, sf_dir), MODELS, ["date", "series", "mtu"]).select(day(), "series", "mtu", r6("naive_d1"), r6("naive_d7"), steady(F.col("slot_mean"), "slot_mean", 6), r6("y_true"))
 
 
-@query(f"""WITH {QUANTILES} SELECT id, round(q[1], 4) AS q01, round(q[3], 4) AS q05, CASE model WHEN 'A' THEN 'Accepted' WHEN 'R' THEN 'Returned' ELSE model END AS label FROM j WHERE model IN ('A', 'N')""")
+@query(f"""WITH {QUANTILES} SELECT id, round(q[1], 4) AS q01, round(q[3], 4) AS q05, CASE model WHEN 'A' THEN 'Accepted' WHEN 'R' THEN 'Returned' ELSE model END AS label FROM j""")
 def model_view(spark, sf_dir):
     """A wide panel's columns of one model under plain names, with labels."""
-    rows = quantile_rows(spark, sf_dir).where("model in ('A', 'N')")
+    rows = quantile_rows(spark, sf_dir)
     wide = rows.select("model", "id", F.element_at("q", 1).alias("lear_q0.100"), F.element_at("q", 3).alias("lear_q0.500"))
     view = panel.model_view(wide, "lear", [0.1, 0.5], ["model", "id"])
     return view.select("id", F.round("`q0.100`", 4).alias("q01"), F.round("`q0.500`", 4).alias("q05"), C.label_of("model", {"A": "Accepted", "R": "Returned"}).alias("label"))

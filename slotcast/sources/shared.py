@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset, in local mode, a temporary folder is made and set; on a
+    cluster a folder of one machine would be lost to the others, so that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="slotcast-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -29,9 +32,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs only the tasks it ran, and readers
-    get exact sizes.
+    get exact sizes.  The table is removed when the application ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,29 +1,12 @@
-"""The slot means and naive scores over a stream.
-
-The batch operators are the engine; a stream of observations only needs the two
-aggregates that forecasts are scored against.
-"""
+"""Slot means over a stream: what the batch operators start from."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import slot_of
-
 
 def slot_means(stream: DataFrame, series: str, late: str = "1 hour", ts: str = "ts", value: str = "value") -> DataFrame:
     """(series, ts, value): mean of each closed quarter hour; later rows are dropped."""
     rows = stream.withWatermark(ts, late).groupBy(F.window(ts, "15 minutes"), F.col(series).alias("series"))
     return rows.agg(F.avg(value).alias("value")).select("series", F.col("window.start").alias("ts"), "value")
-
-
-def running_scores(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """(model, date window, mae, bias) of closed days from a stream of (model, ts, y_pred, y_true)."""
-    e = F.col("y_pred") - F.col("y_true")
-    rows = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), "model")
-    return rows.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.count("*").alias("n_obs")).select("model", F.to_date("window.start").alias("date"), "mae", "bias", "n_obs")
-
-
-def slot_key(stream: DataFrame, ts: str = "ts") -> DataFrame:
-    return stream.withColumns({"date": F.to_date(ts), "mtu": slot_of(ts)})

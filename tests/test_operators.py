@@ -335,3 +335,33 @@ def test_streaming_slot_means(spark, tmp_path):
     q.stop()
     got = spark.sql("select * from slots").collect()
     assert len(got) >= 10 and {r["value"] for r in got} == {2.0}
+
+
+def test_scores_of_rows_and_of_arrays_agree(spark):
+    """Long quantiles with a missing level or end against the same in arrays."""
+    from slotcast.operators import metrics
+
+    taus = [0.1, 0.25, 0.5, 0.75, 0.9]
+    rows = [("m", "2024-01-01", 1, 5.0, [1.0, 2.0, 3.0, 4.0, 6.0]), ("m", "2024-01-01", 2, 2.5, [1.0, 2.0, 3.0, 4.0, None]), ("m", "2024-01-02", 3, 9.0, [1.0, None, 3.0, 4.0, 6.0]), ("n", "2024-01-02", 3, None, [1.0, 2.0, 3.0, 4.0, 6.0])]
+    wide = spark.createDataFrame(rows, "model string, date string, ts int, y_true double, q array<double>")
+    long = wide.select("model", "date", "ts", "y_true", F.explode(F.arrays_zip(F.array(*map(F.lit, taus)).alias("tau"), "q")).alias("p")).select("model", "date", "ts", "y_true", "p.tau", "p.q")
+    intervals = [("50", 0.25, 0.75), ("80", 0.1, 0.9)]
+    table = {tuple(r) for r in metrics.coverage_table(long, intervals).collect()}
+    assert table == {tuple(r) for r in metrics.coverage_of_arrays(wide, taus, intervals).collect()}
+    assert {(r[0], r[1]): r[3] for r in table} == {("m", "50"): 2, ("m", "80"): 2, ("n", "50"): 1, ("n", "80"): 1}
+    a, b = ({(r["model"], r["period"]): r for r in x.collect()} for x in (metrics.daily_scores(long), metrics.daily_scores_of_arrays(wide, taus)))
+    assert a.keys() == b.keys() and all(list(a[k].asDict().values())[2:] == pytest.approx(list(b[k].asDict().values())[2:], nan_ok=True) or None in a[k].asDict().values() for k in a)
+    slots = {r["ts"]: r["aps"] for r in metrics.aps_by_slot(long.where("model = 'm'"), ["ts"]).collect()}
+    assert slots == pytest.approx({r["ts"]: r["aps"] for r in wide.where("model = 'm'").select("ts", metrics.mean_pinball("y_true", "q", taus).alias("aps")).collect()})
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from slotcast.sources.shared import shared_folder
+
+    conf = SimpleNamespace(get=lambda key: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        sc = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
+        with pytest.raises(ValueError):
+            shared_folder(SimpleNamespace(sparkContext=sc))

@@ -14,6 +14,8 @@ tasks as arrays sorted by gram, with a hash of slots in front for quick look-up.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,7 @@ ORDER = 3
 MAX_DOCS = 400
 UNIFORM = 8.0
 #: Bytes scored at once; bounds the memory of a task whatever the texts.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SLOT_BITS = 20
 #: Documents of each language that the limit of rejection is learned on, at most about so many.
 MAX_LIMIT_DOCS = 200
@@ -200,7 +202,8 @@ class ContextTrees:
         starts = ends - [len(p) for _, p in group]
         bits = self.cost(_grams(data, self.order + 1))
         runs = RUNNING[data[self.order :]]
-        for add_to, part in zip(out, (bits, bits * runs[:, None], runs)):
+        for add_to, mask in zip(out, (None, runs[:, None], runs)):  # one at a time: they are large
+            part = bits if mask is None else mask if mask.ndim == 1 else bits * mask
             total = np.zeros((len(part) + 1, *part.shape[1:]))
             np.cumsum(part, axis=0, dtype=np.float64, out=total[1:])
             np.add.at(add_to, [i for i, _ in group], total[ends - self.order] - total[starts])
@@ -220,6 +223,9 @@ def train(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> Cont
     return ContextTrees(langs, {x: (gram[lang == x], n[lang == x]) for x in langs}, order)
 
 
+_sent: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def predict(spark, trees: ContextTrees | None, text: Column) -> Column:
     """A struct for each text: lang, score (0 to 1), bits_per_byte and bits_per_running_byte of the best language.
 
@@ -232,7 +238,9 @@ def predict(spark, trees: ContextTrees | None, text: Column) -> Column:
     und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), none.alias("bits_per_byte"), none.alias("bits_per_running_byte"))
     if trees is None:
         return und
-    sent = spark.sparkContext.broadcast(trees)
+    if trees not in _sent:  # a worker holds one copy, whatever the number of columns
+        _sent[trees] = spark.sparkContext.broadcast(trees)
+    sent = _sent[trees]
 
     @F.pandas_udf("lang string, score double, bits_per_byte double, bits_per_running_byte double")
     def best(texts: pd.Series) -> pd.DataFrame:
@@ -246,6 +254,7 @@ def predict(spark, trees: ContextTrees | None, text: Column) -> Column:
         rate = np.where(count >= FEW_BYTES, running[np.arange(len(rows)), top] / np.maximum(count, 1), np.nan)
         return pd.DataFrame({"lang": [model.langs[i] for i in top], "score": score, "bits_per_byte": least / size, "bits_per_running_byte": rate})
 
+    best = best.asNondeterministic()  # so that filters on its fields don't run it again
     return F.when(text.isNotNull() & text.rlike(r"\p{L}"), best(text.cast("binary"))).otherwise(und)
 
 

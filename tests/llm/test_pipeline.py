@@ -1,5 +1,6 @@
 import corpus_pipeline
 from helpers import docs
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from slotcast.llm import decontaminate, language_id, near_dup
@@ -41,3 +42,20 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_language_stage_drops_noise_and_hands_on_the_language(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    noise = ["xqzj kvwp zzqx jjkw qpxz vvkq xzjq wkpq zxcv qwjk pzxq vkjw", "g$k;hZ5zoa$P9L,:ivWk8_-uQE`_SD49Ih1Kqwz xkq vvq zzkq", "12 34 !!", None]
+    rows = docs(spark, [(10**7 + i, t, None, "s") for i, t in enumerate(noise)])
+    given = table.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("lang")))
+    kept = language_id.keep_language(given.unionByName(rows.select(*table.columns))).cache()
+    assert kept.where("doc_id >= 10000000").count() == 0 and kept.count() >= 0.999 * table.count()
+    true = table.select("doc_id", F.col("lang").alias("true"))
+    assert kept.join(true, "doc_id").agg(F.avg((F.col("lang") == F.col("true")).cast("int"))).first()[0] > 0.98
+
+
+def test_differing_texts_of_one_id_stay(spark):
+    rows = docs(spark, [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, "alpha beta gamma delta epsilon zeta"), (None, "x"), (3, None), (4, "")])
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dup.drop_near_duplicates(rows).collect())
+    assert kept == [(0, "x"), (1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (3, "")]

@@ -220,7 +220,8 @@ def gw_per_slot_by_series(spark, sf_dir):
     return out.select("series", "model_a", "model_b", "mtu", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
-@query(f"WITH g AS ({SQL['gw_matrix_by_series']}) SELECT series, model_a, " + ", ".join(f"CASE WHEN model_a = '{m}' THEN 1.0 ELSE max(p_value) FILTER (WHERE model_b = '{m}') END AS {m}" for m in MODELS) + " FROM g GROUP BY series, model_a")
+@query(f"WITH g AS ({SQL['gw_matrix_by_series']}), k AS (SELECT * FROM (SELECT DISTINCT series FROM g) CROSS JOIN (SELECT unnest({MODELS}) AS model_a)) SELECT series, model_a, "
+       + ", ".join(f"CASE WHEN model_a = '{m}' THEN 1.0 ELSE max(p_value) FILTER (WHERE model_b = '{m}') END AS {m}" for m in MODELS) + " FROM k LEFT JOIN g USING (series, model_a) GROUP BY series, model_a")
 def gw_p_values(spark, sf_dir):
     """The square table of p-values of every series (O84); the same numbers as gw_matrix_by_series, pivoted."""
     tests = tests_stat.giacomini_white(tests_stat.loss_differences(series_losses(spark, sf_dir), by=("series",)), ["series", "model_a", "model_b"])

@@ -5,9 +5,10 @@ far the search may move on because no test string can end sooner; blocks that en
 test string (shift 0) select a bucket of test strings by their suffix, of which
 those with the right first word are compared word by word.
 
-The tables of test strings are sent to the tasks in shards of at most
-``max_patterns`` strings, so what is broadcast has a bound; a larger benchmark is
-searched shard by shard, and each pass is written to the shared folder.
+The tables are sent to the tasks in shards of about ``max_patterns`` pairs of a test
+string and an item that holds it, so what is broadcast has a bound however many items
+share a string; a larger benchmark is searched shard by shard, and each pass is written
+to the shared folder.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """pattern (words joined by spaces), n_words and the item_ids that hold it.
+    """Each pattern (words joined by spaces) with each item_id, as a string, that holds it.
 
     An item of fewer than ``width`` words, but not none, is one window; items
     without words or id have none.  Repeated rows and windows count once.
@@ -46,7 +47,7 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
             F.expr(f"transform(sequence(1, greatest(size(w) - {width} + 1, 1)), i -> array_join(slice(w, i, {width}), ' '))")
         ).alias("pattern"),
     )
-    return each.groupBy("pattern").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return each.select("pattern", F.col("item_id").cast("string").alias("item_id")).distinct()
 
 
 class WuManber:
@@ -138,7 +139,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     spark = docs.sparkSession
     listed = stored(windows(benchmark, width), "windows")
     shards = max(1, -(-listed.count() // max_patterns))
-    listed = listed.withColumn("shard", F.expr(f"pmod(xxhash64(pattern), {shards})"))
+    listed = listed.groupBy(F.expr(f"pmod(xxhash64(pattern, item_id), {shards})").alias("shard"), "pattern").agg(F.collect_set("item_id").alias("items"))
     docs = docs.drop("found")
     for shard in range(shards):
         rows = listed.where(F.col("shard") == shard).select("pattern", "items").collect()

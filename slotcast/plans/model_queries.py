@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import features, forecast, importance, panel, profile, scaling, spatial, timegrid
 from ..sources.shared import stored
 from .grid_queries import slots
-from .registry import SQL, day, query, r6, steady, table
+from .registry import also, day, query, r6, steady, table
 
 MONTHLY = "m AS (SELECT l_returnflag AS feature, strftime(l_shipdate, '%Y-%m') AS month, l_extendedprice AS value FROM lineitem)"
 
@@ -46,7 +46,6 @@ def degenerate_filter(spark, sf_dir):
 
 
 DAILY = "d AS (SELECT o_orderpriority AS feature, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1000 AS value FROM orders GROUP BY 1, 2)"
-FORECAST_DAYS = "f AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1995-04-01')"
 
 
 def daily_orders(spark, sf_dir):
@@ -54,11 +53,6 @@ def daily_orders(spark, sf_dir):
     return by.agg((F.sum("o_totalprice") / 1000).alias("value"))
 
 
-def month_starts(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1995-04-01'")
-    return rows.select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("day")).distinct()
-
-
 def every_day(train_days: int) -> str:
     """SQL of :func:`full_days` of the orders."""
     return f"f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(min(o_orderdate) AS DATE) + {train_days} FROM orders))"
@@ -70,23 +64,13 @@ def full_days(rows, train_days: int):
     return rows.select(F.col("date").alias("day")).distinct().join(first, F.col("day") >= F.col("_first")).drop("_first")
 
 
-@query(f"""WITH {DAILY}, {FORECAST_DAYS} SELECT CAST(f.day AS VARCHAR) AS day, feature, count(*) AS n, round(avg(value) + 1e-7, 4) AS mean, round(min(value) + 1e-7, 4) AS low, round(max(value) + 1e-7, 4) AS high
+@query(f"""WITH {DAILY}, {every_day(28)} SELECT CAST(f.day AS VARCHAR) AS day, feature, count(*) AS n, round(avg(value) + 1e-7, 4) AS mean, round(min(value) + 1e-7, 4) AS low, round(max(value) + 1e-7, 4) AS high
 FROM f JOIN d ON d.date BETWEEN f.day - 28 AND f.day - 1 GROUP BY 1, 2""")
 def rolling_window_stats(spark, sf_dir):
-    """Facts of the 28 days before each first of a month."""
-    return window_stats(month_starts(spark, sf_dir), daily_orders(spark, sf_dir))
-
-
-def window_stats(days, rows):
-    rows = panel.rolling_window(days, rows, 28)
-    return rows.groupBy(day("day"), "feature").agg(F.count("*").alias("n"), steady(F.avg("value"), "mean"), steady(F.min("value"), "low"), steady(F.max("value"), "high"))
-
-
-@query(SQL["rolling_window_stats"].replace(FORECAST_DAYS, every_day(28)))
-def rolling_window_stats_daily(spark, sf_dir):
-    """The same for every day with a whole window."""
+    """Facts of the 28 days before each day with a whole window."""
     rows = daily_orders(spark, sf_dir)
-    return window_stats(full_days(rows, 28), rows)
+    rows = panel.rolling_window(full_days(rows, 28), rows, 28)
+    return rows.groupBy(day("day"), "feature").agg(F.count("*").alias("n"), steady(F.avg("value"), "mean"), steady(F.min("value"), "low"), steady(F.max("value"), "high"))
 
 
 _FAMILY = "CASE feature WHEN '1-URGENT' THEN 'price' WHEN '2-HIGH' THEN 'wind' WHEN '3-MEDIUM' THEN 'ssrd' WHEN '4-NOT SPECIFIED' THEN 'other' ELSE 'calendar' END"
@@ -100,12 +84,12 @@ def family_of(df):
     return df.withColumn("family", out)
 
 
-def folds(days, rows, scale):
-    train = panel.rolling_window(days, family_of(rows), 56)
+def folds(rows, scale):
+    train = panel.rolling_window(full_days(rows, 56), family_of(rows), 56)
     return scale(train, scaling.fold_params(train, ["day"]), ["day"]).select(day("day"), day(), "feature", r6("value"))
 
 
-_FOLD = f"""{DAILY}, {FORECAST_DAYS}, tr AS (SELECT f.day AS day, {_FAMILY} AS family, feature, d.date AS date, value FROM f JOIN d ON d.date BETWEEN f.day - 56 AND f.day - 1),
+_FOLD = f"""{DAILY}, {every_day(56)}, tr AS (SELECT f.day AS day, {_FAMILY} AS family, feature, d.date AS date, value FROM f JOIN d ON d.date BETWEEN f.day - 56 AND f.day - 1),
 a AS (SELECT day, family, feature, median(value) AS center, min(value) AS low, max(value) - min(value) AS span, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) AS positive FROM tr GROUP BY 1, 2, 3),
 b AS (SELECT tr.day AS day, tr.feature AS feature, median(abs(value - center)) / {C.MAD_TO_SD} AS scale FROM tr JOIN a ON a.day = tr.day AND a.feature = tr.feature GROUP BY 1, 2),
 p AS (SELECT a.*, CASE WHEN scale > 1e-12 THEN scale ELSE 1 END AS scale, family = 'ssrd' AND (span < 20 OR positive < 0.5) AS flat FROM a JOIN b ON b.day = a.day AND b.feature = a.feature)"""
@@ -115,29 +99,18 @@ p AS (SELECT a.*, CASE WHEN scale > 1e-12 THEN scale ELSE 1 END AS scale, family
   WHEN tr.family = 'wind' THEN (value - center) / scale WHEN tr.family = 'calendar' THEN value WHEN span > 1e-12 THEN (value - low) / span ELSE value - low END, 6) AS value
 FROM tr JOIN p ON p.day = tr.day AND p.feature = tr.feature""")
 def fold_scaling(spark, sf_dir):
-    """Training folds scaled by family for point models."""
-    return folds(month_starts(spark, sf_dir), daily_orders(spark, sf_dir), scaling.scale_fold)
-
-
-@query(SQL["fold_scaling"].replace(FORECAST_DAYS, every_day(56)))
-def fold_scaling_daily(spark, sf_dir):
-    """The same for every day with a whole window."""
-    rows = daily_orders(spark, sf_dir)
-    return folds(full_days(rows, 56), rows, scaling.scale_fold)
+    """Training folds of every day with a whole window, scaled by family for point models."""
+    return folds(daily_orders(spark, sf_dir), scaling.scale_fold)
 
 
 @query(f"""WITH {_FOLD} SELECT CAST(tr.day AS VARCHAR) AS day, CAST(tr.date AS VARCHAR) AS date, tr.feature AS feature, round(CASE WHEN flat THEN 0 WHEN tr.family = 'calendar' THEN value
   WHEN span > 1e-12 THEN (value - low) / span ELSE 0 END, 6) AS value FROM tr JOIN p ON p.day = tr.day AND p.feature = tr.feature""")
 def anc_fold_scaling(spark, sf_dir):
-    """Training folds scaled for contribution analysis."""
-    return folds(month_starts(spark, sf_dir), daily_orders(spark, sf_dir), scaling.scale_fold_anc)
+    """The same, scaled for contribution analysis."""
+    return folds(daily_orders(spark, sf_dir), scaling.scale_fold_anc)
 
 
-@query(SQL["anc_fold_scaling"].replace(FORECAST_DAYS, every_day(56)))
-def anc_fold_scaling_daily(spark, sf_dir):
-    """The same for every day with a whole window."""
-    rows = daily_orders(spark, sf_dir)
-    return folds(full_days(rows, 56), rows, scaling.scale_fold_anc)
+also("daily", "rolling_window_stats", "fold_scaling", "anc_fold_scaling")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(1.5 + 0.2 * l_quantity + 0.001 * l_extendedprice - 3.0 * l_discount + 2.0 * l_tax, 6) AS y_hat FROM lineitem""")

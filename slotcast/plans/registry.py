@@ -23,6 +23,12 @@ def query(sql: str | None = None):
     return add
 
 
+def also(suffix: str, *names: str) -> None:
+    """Keeps further names of queries, from when the plain names stood for a part of the work."""
+    for name in names:
+        QUERIES[f"{name}_{suffix}"], SQL[f"{name}_{suffix}"] = QUERIES[name], SQL[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import metrics, panel, profile, tests_stat, validate
 from .grid_queries import PROFILE, slots
-from .registry import SQL, day, query, r6, steady, table
+from .registry import SQL, also, day, query, r6, steady, table
 
 MODELS = ["naive_d1", "naive_d7", "slot_mean"]
 PANEL = f"""{PROFILE}, l AS (SELECT date, series, mtu, value AS y_true, lag(value, 1) OVER w AS naive_d1, lag(value, 7) OVER w AS naive_d7, avg(value) OVER (PARTITION BY series, mtu) AS slot_mean
   FROM p WINDOW w AS (PARTITION BY series, mtu ORDER BY date)),
 panel AS (SELECT 'naive_d1' AS model, date, series, mtu, naive_d1 AS y_pred, y_true FROM l UNION ALL SELECT 'naive_d7', date, series, mtu, naive_d7, y_true FROM l
   UNION ALL SELECT 'slot_mean', date, series, mtu, slot_mean, y_true FROM l)"""
-#: One series as the panel of the tests: each model has each (date, slot) once.
-TESTED = f"{PANEL}, t AS (SELECT model, date, mtu, y_pred, y_true FROM panel WHERE series = 'click' AND y_pred IS NOT NULL)"
 
 
 def naive_panel(spark, sf_dir):
@@ -30,12 +26,8 @@ def naive_panel(spark, sf_dir):
     return rows.select("m.model", "date", "series", "mtu", "m.y_pred", "y_true")
 
 
-#: The same for every series by itself.
-ALL_TESTED = f"{PANEL}, t AS (SELECT series, model, date, mtu, y_pred, y_true FROM panel WHERE y_pred IS NOT NULL)"
-
-
-def tested_panel(spark, sf_dir):
-    return naive_panel(spark, sf_dir).where("series = 'click' and y_pred is not null").drop("series")
+#: The panel of the tests: each model of a series has each (date, slot) once.
+TESTED = f"{PANEL}, t AS (SELECT series, model, date, mtu, y_pred, y_true FROM panel WHERE y_pred IS NOT NULL)"
 
 
 METRICS = """round(avg(abs(y_pred - y_true)), 6) AS mae, round(sqrt(avg((y_pred - y_true) * (y_pred - y_true))), 6) AS rmse, round(avg(y_pred - y_true), 6) + 0.0 AS bias,
@@ -180,50 +172,32 @@ k AS (SELECT {by}, n, sign(md) * CASE WHEN abs(m11 * m22 - m12 * m12) > 1e-12 TH
 SELECT {by}, n, round(statistic, 5) + 0.0 AS statistic, round(CASE WHEN statistic > 0 THEN exp(-statistic / 2) ELSE 1 END, 5) AS p_value FROM k"""
 
 
-@query(f"""WITH {TESTED}, e AS (SELECT model, date, avg(abs(y_pred - y_true)) AS loss FROM t GROUP BY 1, 2), """
-       + _gw("model_a, model_b", "SELECT a.model AS model_a, b.model AS model_b, a.date AS date, a.loss - b.loss AS d FROM e AS a JOIN e AS b ON a.date = b.date AND a.model <> b.model"))
-def gw_matrix(spark, sf_dir):
-    """Giacomini-White tests of all pairs on daily mean losses."""
-    diff = tests_stat.loss_differences(tests_stat.losses(tested_panel(spark, sf_dir)))
-    out = tests_stat.giacomini_white(diff, ["model_a", "model_b"])
-    return out.select("model_a", "model_b", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
-
-
-@query(f"""WITH {TESTED}, e AS (SELECT model, date, mtu, abs(y_pred - y_true) AS loss FROM t), """
-       + _gw("model_a, model_b, mtu", "SELECT a.model AS model_a, b.model AS model_b, a.mtu AS mtu, a.date AS date, a.loss - b.loss AS d FROM e AS a JOIN e AS b ON a.date = b.date AND a.mtu = b.mtu AND a.model < b.model", "avg(d)"))
-def gw_per_slot(spark, sf_dir):
-    """The same for every slot by itself, the sign over all days."""
-    diff = tests_stat.loss_differences(tests_stat.losses(tested_panel(spark, sf_dir)), by_slot=True).where("model_a < model_b")
-    out = tests_stat.giacomini_white(diff, ["model_a", "model_b", "mtu"], "all")
-    return out.select("model_a", "model_b", "mtu", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
-
-
 def series_losses(spark, sf_dir):
     return tests_stat.losses(naive_panel(spark, sf_dir).where("y_pred is not null"), keys=("series",))
 
 
-@query(f"""WITH {ALL_TESTED}, e AS (SELECT series, model, date, avg(abs(y_pred - y_true)) AS loss FROM t GROUP BY 1, 2, 3), """
+@query(f"""WITH {TESTED}, e AS (SELECT series, model, date, avg(abs(y_pred - y_true)) AS loss FROM t GROUP BY 1, 2, 3), """
        + _gw("series, model_a, model_b", "SELECT a.series AS series, a.model AS model_a, b.model AS model_b, a.date AS date, a.loss - b.loss AS d FROM e AS a JOIN e AS b ON a.series = b.series AND a.date = b.date AND a.model <> b.model"))
-def gw_matrix_by_series(spark, sf_dir):
-    """gw_matrix for every series."""
+def gw_matrix(spark, sf_dir):
+    """Giacomini-White tests of all pairs of every series on daily mean losses."""
     diff = tests_stat.loss_differences(series_losses(spark, sf_dir), by=("series",))
     out = tests_stat.giacomini_white(diff, ["series", "model_a", "model_b"])
     return out.select("series", "model_a", "model_b", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
-@query(f"""WITH {ALL_TESTED}, e AS (SELECT series, model, date, mtu, abs(y_pred - y_true) AS loss FROM t), """
+@query(f"""WITH {TESTED}, e AS (SELECT series, model, date, mtu, abs(y_pred - y_true) AS loss FROM t), """
        + _gw("series, model_a, model_b, mtu", "SELECT a.series AS series, a.model AS model_a, b.model AS model_b, a.mtu AS mtu, a.date AS date, a.loss - b.loss AS d FROM e AS a JOIN e AS b ON a.series = b.series AND a.date = b.date AND a.mtu = b.mtu AND a.model < b.model", "avg(d)"))
-def gw_per_slot_by_series(spark, sf_dir):
-    """gw_per_slot for every series."""
+def gw_per_slot(spark, sf_dir):
+    """The same for every slot by itself, the sign over all days."""
     diff = tests_stat.loss_differences(series_losses(spark, sf_dir), by_slot=True, by=("series",)).where("model_a < model_b")
     out = tests_stat.giacomini_white(diff, ["series", "model_a", "model_b", "mtu"], "all")
     return out.select("series", "model_a", "model_b", "mtu", "n", (F.round("statistic", 5) + 0.0).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
-@query(f"WITH g AS ({SQL['gw_matrix_by_series']}), k AS (SELECT * FROM (SELECT DISTINCT series FROM g) CROSS JOIN (SELECT unnest({MODELS}) AS model_a)) SELECT series, model_a, "
+@query(f"WITH g AS ({SQL['gw_matrix']}), k AS (SELECT * FROM (SELECT DISTINCT series FROM g) CROSS JOIN (SELECT unnest({MODELS}) AS model_a)) SELECT series, model_a, "
        + ", ".join(f"CASE WHEN model_a = '{m}' THEN 1.0 ELSE max(p_value) FILTER (WHERE model_b = '{m}') END AS {m}" for m in MODELS) + " FROM k LEFT JOIN g USING (series, model_a) GROUP BY series, model_a")
 def gw_p_values(spark, sf_dir):
-    """The square table of p-values of every series (O84); the same numbers as gw_matrix_by_series, pivoted."""
+    """The square table of p-values of every series (O84); the same numbers as gw_matrix, pivoted."""
     tests = tests_stat.giacomini_white(tests_stat.loss_differences(series_losses(spark, sf_dir), by=("series",)), ["series", "model_a", "model_b"])
     return tests_stat.p_value_matrix(tests, MODELS, ("series",)).select("series", "model_a", *[F.round(m, 5).alias(m) for m in MODELS])
 
@@ -254,28 +228,19 @@ def kupiec_passed(spark, sf_dir):
     return tests_stat.passed_slots(tests_stat.kupiec(slot_hits(spark, sf_dir), ["model", "mtu"], F.lit(0.8)), ["model"])
 
 
-@query(f"""WITH {PANEL}, g AS (SELECT DISTINCT model, date, mtu FROM panel WHERE y_pred IS NOT NULL AND series = 'view'),
-e AS (SELECT m.model AS model, d.date AS date, CAST(u.mtu AS INTEGER) AS mtu FROM (SELECT DISTINCT model FROM g) AS m CROSS JOIN (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events) AS d CROSS JOIN (SELECT unnest(range(96)) AS mtu) AS u WHERE d.date <> DATE '2024-01-22'),
+@query(f"""WITH {PANEL}, g AS (SELECT DISTINCT series, model, date, mtu FROM panel WHERE y_pred IS NOT NULL),
+e AS (SELECT m.series AS series, m.model AS model, d.date AS date, CAST(u.mtu AS INTEGER) AS mtu FROM (SELECT DISTINCT series, model FROM g) AS m CROSS JOIN (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events) AS d CROSS JOIN (SELECT unnest(range(96)) AS mtu) AS u WHERE d.date <> DATE '2024-01-22'),
 v AS (SELECT 'missing' AS kind, * FROM (SELECT * FROM e EXCEPT SELECT * FROM g) UNION ALL SELECT 'extra', * FROM (SELECT * FROM g EXCEPT SELECT * FROM e))
-SELECT model, kind, CAST(date AS VARCHAR) AS date, count(*) AS n FROM v GROUP BY 1, 2, 3""")
+SELECT series, model, kind, CAST(date AS VARCHAR) AS date, count(*) AS n FROM v GROUP BY 1, 2, 3, 4""")
 def grid_integrity(spark, sf_dir):
-    """Slots that a model misses or has too many, a skipped day aside."""
-    found = violations(spark, sf_dir, naive_panel(spark, sf_dir).where("y_pred is not null and series = 'view'"))
-    return found.groupBy("model", "kind", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"))
-
-
-_BY_SERIES = [("DISTINCT model, date, mtu FROM panel WHERE y_pred IS NOT NULL AND series = 'view'", "DISTINCT series, model, date, mtu FROM panel WHERE y_pred IS NOT NULL"),
-              ("SELECT m.model AS model", "SELECT m.series AS series, m.model AS model"), ("SELECT DISTINCT model FROM g", "SELECT DISTINCT series, model FROM g"),
-              ("SELECT model, kind, CAST(date AS VARCHAR) AS date, count(*) AS n FROM v GROUP BY 1, 2, 3", "SELECT series, model, kind, CAST(date AS VARCHAR) AS date, count(*) AS n FROM v GROUP BY 1, 2, 3, 4")]
-
-
-@query(reduce(lambda sql, p: sql.replace(*p), _BY_SERIES, SQL["grid_integrity"]))
-def grid_integrity_by_series(spark, sf_dir):
-    """grid_integrity for every series."""
+    """Slots that a model of a series misses or has too many, a skipped day aside."""
     found = violations(spark, sf_dir, naive_panel(spark, sf_dir).where("y_pred is not null"), ("series",))
     return found.groupBy("series", "model", "kind", F.to_date("ts").cast("string").alias("date")).agg(F.count("*").alias("n"))
 
 
+also("by_series", "gw_matrix", "gw_per_slot", "grid_integrity")
+
+
 def violations(spark, sf_dir, rows, by=()):
     at = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("mtu") * 15)
     days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date")).distinct().withColumn("mtu", F.explode(F.sequence(F.lit(0), F.lit(95))))

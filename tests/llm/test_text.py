@@ -50,6 +50,12 @@ def test_contamination_against_brute_force(spark, max_patterns):
         assert got[i]["contaminated"] == (hit > 0 and 20 * hit >= n)
 
 
+def test_window_shared_by_many_items_is_split_over_shards(spark):
+    bench = spark.createDataFrame([(i, "one shared line") for i in range(60)], "item_id long, text string")
+    row = decontaminate.contamination(docs(spark, [(1, "see one Shared line. here")]), bench, max_patterns=10).first()
+    assert (row["n_hit"], sorted(map(int, row["items"]))) == (3, list(range(60)))
+
+
 def test_contamination_awkward(spark):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     rows = decontaminate.contamination(clashing(awkward(spark)), bench).collect()

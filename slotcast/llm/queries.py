@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, html_text, language_id, mixing, near_dup, pii, token_counts, url_filter
+from . import ann, chat, decontaminate, fill_middle, html_text, language_id, mixing, near_dup, parity_join, pii, resample, token_counts, url_filter
 from .common import new_path, stored
 
 
@@ -125,6 +125,22 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its class of similar documents."""
+    return parity_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and arranged for filling in the middle, with digests of the output and of the text restored from it."""
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark texts and its rank in the draw."""
+    found = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -136,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_decontaminate, op3_simhash, op4_chat_format, op5_pii, op6_html_text, op7_mixing, op8_url_filter, op9_language_id,
-        op10_ann, pipeline,
+        op10_ann, op11_jaccard_join, op12_fill_middle, op13_resample, pipeline,
     )
 }
 
@@ -240,4 +256,59 @@ SELECT page_id, host, path, CASE {name} ELSE NULL END AS rule,
   CASE {action} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM seen"""
 
 
-ORACLE_SQL = {"op2_decontaminate": _OP2, "op4_chat_format": _OP4, "op7_mixing": _op7(), "op8_url_filter": _op8()}
+#: Every pair of different sets of near sizes is compared; copies count as one set.
+_OP11 = rf"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words
+), named AS (SELECT rid, doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS name FROM sets),
+distinct_sets AS (SELECT name, any_value(s) AS s, any_value(n) AS n FROM named JOIN sets USING (rid) WHERE n > 0 GROUP BY name),
+tokens AS (SELECT name, n, unnest(s) AS t FROM distinct_sets),
+links AS (
+  SELECT a.name AS a, b.name AS b FROM tokens AS a JOIN tokens AS b ON a.t = b.t AND a.name <> b.name AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.name, b.name HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT name AS a, name AS b FROM distinct_sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least_id AS (SELECT name, min(doc_id) AS first_id FROM named WHERE n > 0 GROUP BY name),
+classes AS (SELECT a AS name, min(first_id) AS component_id FROM reach JOIN least_id ON least_id.name = reach.b GROUP BY a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM named LEFT JOIN classes USING (name)
+"""
+
+_UNSIGNED = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+_OP12 = rf"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+lines AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, len(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS n FROM rows),
+cuts AS (SELECT *, least({_UNSIGNED.format(1)} % (n + 1), {_UNSIGNED.format(9)} % (n + 1)) AS a, greatest({_UNSIGNED.format(1)} % (n + 1), {_UNSIGNED.format(9)} % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+    WHEN {_UNSIGNED.format(25)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lines),
+parts AS (SELECT *, coalesce(array_to_string(l[1:a], ''), '') AS p, coalesce(array_to_string(l[a + 1:b], ''), '') AS m, coalesce(array_to_string(l[b + 1:n], ''), '') AS s FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+#: crc32 by a table of 256 entries, one step a byte, for each distinct word.
+_OP13 = rf"""
+WITH RECURSIVE bits AS (
+  SELECT 0 AS step, i AS byte, i AS c FROM range(256) AS r(i)
+  UNION ALL SELECT step + 1, byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8
+), crc AS (SELECT list(c ORDER BY byte) AS entry FROM bits WHERE step = 8),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{decontaminate.WORD}')) AS w FROM documents),
+items AS (SELECT unnest(regexp_extract_all({_LOWER.format("text")}, '{decontaminate.WORD}')) AS w FROM benchmark),
+bytes AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM docs UNION SELECT w FROM items)),
+buckets AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, entry[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+own AS (SELECT bucket, count(*) AS s FROM docs JOIN buckets USING (w) GROUP BY 1), theirs AS (SELECT bucket, count(*) AS t FROM items JOIN buckets USING (w) GROUP BY 1),
+total AS (SELECT (SELECT coalesce(sum(s), 0) FROM own) AS all_s, (SELECT coalesce(sum(t), 0) FROM theirs) AS all_t),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000)))) AS BIGINT) AS g FROM own LEFT JOIN theirs USING (bucket), total),
+means AS (SELECT rid, count(*) AS n, CAST(floor(sum(g) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight FROM docs JOIN buckets USING (w) JOIN gain USING (bucket) GROUP BY rid),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) AS d LEFT JOIN means USING (rid)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n >= 20) OVER () AS all_n FROM scored)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= 20 AND place <= 10 * all_n // 100 THEN place END AS rank FROM placed
+"""
+
+ORACLE_SQL = {"op11_jaccard_join": _OP11, "op12_fill_middle": _OP12, "op13_resample": _OP13, "op2_decontaminate": _OP2, "op4_chat_format": _OP4, "op7_mixing": _op7(), "op8_url_filter": _op8()}

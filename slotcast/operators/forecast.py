@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import inverse_vst, vst
-from ..functions.estimators import lasso_cv, smooth_quantiles
+from ..functions.estimators import lasso_cv
+from ..sources.shared import stored
 from .panel import rolling_window
+from .quantile_fit import smooth_quantile_fits
 from .scaling import fold_params, robust_params, scale_fold, scale_fold_anc
 
 _FIT = "day date, mtu int, alpha double, intercept double, y_hat double, positions array<int>, values array<double>, residuals array<double>, runtime_seconds double"
@@ -108,13 +110,8 @@ def rolling_fit(x: DataFrame, targets: DataFrame, block: int = 12, folds: int =
     return _dealt(dealt, "day", "block").groupBy("day", "block").applyInPandas(_fit_block(folds, n_alphas), _FIT)
 
 
-def rolling_point_forecast(features: DataFrame, target: DataFrame, days: DataFrame, train_days: int, use_vst: bool = True, block: int = 12, n_alphas: int = 100) -> DataFrame:
-    """day, mtu, y_pred, alpha, n_nonzero, coefficients and runtime.
-
-    ``features`` is long (date, family, feature, value), ``target`` (date, mtu, value),
-    ``days`` has day.  Scales are fitted on each day's training window; the prediction
-    is brought back with the residuals' bias correction.
-    """
+def point_inputs(features: DataFrame, target: DataFrame, days: DataFrame, train_days: int, use_vst: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the fits of a point model see (O87): ``x`` and ``y`` of :func:`rolling_fit`, and the targets' scales by (day, mtu)."""
     train = rolling_window(days, features, train_days)
     test = days.join(features, F.col("day") == F.col("date"))
     params = fold_params(train, ["day"])
@@ -123,15 +120,71 @@ def rolling_point_forecast(features: DataFrame, target: DataFrame, days: DataFra
     scales = robust_params(past, ["day", "mtu"])
     z = (F.col("value") - F.col("center")) / F.col("scale")
     y = past.join(scales, ["day", "mtu"]).select("day", "date", "mtu", (vst(z) if use_vst else z).alias("y"))
+    return x, y, scales
+
+
+def contribution_inputs(features: DataFrame, target: DataFrame, days: DataFrame, train_days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the fits of a contribution model see (O88): ``x`` and ``y``, and the forecast days' scaled features in long form."""
+    train = rolling_window(days, features, train_days)
+    test = days.join(features, F.col("day") == F.col("date"))
+    params = fold_params(train, ["day"])
+    scaled = [scale_fold_anc(r, params, ["day"]).select("day", "date", "feature", "value") for r in (train, test)]
+    y = rolling_window(days, target, train_days).where("value is not null").select("day", "date", "mtu", F.col("value").alias("y"))
+    return _arrays(*scaled), y, scaled[1]
+
+
+def rolling_point_forecast(features: DataFrame, target: DataFrame, days: DataFrame, train_days: int, use_vst: bool = True, block: int = 12, n_alphas: int = 100) -> DataFrame:
+    """day, mtu, y_pred, alpha, intercept, n_nonzero, coefficients and runtime.
+
+    ``features`` is long (date, family, feature, value), ``target`` (date, mtu, value),
+    ``days`` has day.  Scales are fitted on each day's training window; the prediction
+    is brought back with the residuals' bias correction.
+    """
+    x, y, scales = point_inputs(features, target, days, train_days, use_vst)
     fits = rolling_fit(x, y, block, 5, n_alphas).join(scales, ["day", "mtu"])
     mean = lambda f: F.aggregate(F.transform("residuals", f), F.lit(0.0), lambda s, v: s + v) / F.size("residuals")
     back = bias_corrected("y_hat", mean(F.cosh), mean(F.sinh), "center", "scale") if use_vst else F.col("center") + F.col("scale") * F.col("y_hat")
     names = features.select("feature").distinct().agg(F.array_sort(F.collect_list("feature")).alias("names"))
-    out = fits.select("day", "mtu", back.alias("y_pred"), "alpha", F.size("positions").alias("n_nonzero"), "positions", F.col("values").alias("nonzero_vals"), "runtime_seconds")
+    out = fits.select("day", "mtu", back.alias("y_pred"), "alpha", "intercept", F.size("positions").alias("n_nonzero"), "positions", F.col("values").alias("nonzero_vals"), "runtime_seconds")
     named = out.join(names, how="cross")  # one row: the dictionary of feature names
     return named.withColumn("nonzero_cols", F.transform("positions", lambda i: F.element_at("names", i + 1))).drop("names", "positions")
 
 
+def fit_certificates(x: DataFrame, y: DataFrame, fits: DataFrame, n_alphas: int = 100, eps: float = 1e-3) -> DataFrame:
+    """By (day, mtu): the conditions that hold at a LASSO optimum and nowhere else, as sums over the fold.
+
+    With r the residuals of a fit and c_j the mean product of r and the centred feature
+    j, the fit minimises |r|^2 / 2n + alpha |b| exactly if c_j = alpha sign(b_j) for
+    every feature with a coefficient, |c_j| <= alpha for the others, and r has mean 0.
+    The sums come from the coefficients handed back and the rows themselves, not from
+    the solver.  Returned are n, n_features, alpha_max (the smallest penalty without
+    coefficients), and, in units of it, ``active_gap``, ``idle_excess``, ``mean_gap`` (all
+    near 0) and ``grid_gap``: the distance of alpha to its penalty grid, in steps;
+    ``forecast_gap`` is that of y_hat to the prediction from the coefficients.
+    """
+    told = fits.select("day", "mtu", "alpha", "intercept", "y_hat", "positions", "values")
+    fit_at = lambda x_: F.col("intercept") + F.aggregate(F.arrays_zip("positions", "values"), F.lit(0.0), lambda s, p: s + p["values"] * F.element_at(x_, p["positions"] + 1))
+    train = x.where("not is_test").select("day", "date", "x").join(y, ["day", "date"]).join(told, ["day", "mtu"])
+    rows = train.select("day", "mtu", "y", (F.col("y") - fit_at("x")).alias("r"), F.posexplode("x").alias("position", "v"))
+    v, r, t = F.col("v"), F.col("r"), F.col("y")
+    sums = rows.groupBy("day", "mtu", "position").agg(
+        F.count("*").alias("n"), F.avg(r).alias("mean_r"), (F.avg(v * r) - F.avg(v) * F.avg(r)).alias("c"), (F.avg(v * t) - F.avg(v) * F.avg(t)).alias("c0")
+    )
+    coefs = told.select("day", "mtu", "alpha", F.explode(F.arrays_zip("positions", "values")).alias("p")).select("day", "mtu", F.col("p.positions").alias("position"), F.col("p.values").alias("b"))
+    held = sums.join(coefs, ["day", "mtu", "position"], "left").join(told.select("day", "mtu", "alpha"), ["day", "mtu"])
+    alpha, c, b = F.col("alpha"), F.col("c"), F.col("b")
+    found = held.groupBy("day", "mtu", "alpha").agg(
+        F.max("n").alias("n"), F.count("*").alias("n_features"), F.max(F.abs("c0")).alias("alpha_max"), F.max(F.when(b.isNotNull(), F.abs(c - alpha * F.signum(b)))).alias("active"),
+        F.max(F.when(b.isNull(), F.abs(c) - alpha)).alias("idle"), F.max(F.abs("mean_r")).alias("mean"),
+    )
+    share = lambda name: F.greatest(F.coalesce(F.col(name), F.lit(0.0)), F.lit(0.0)) / F.greatest("alpha_max", F.lit(1e-12))
+    steps = F.log(F.greatest("alpha_max", F.lit(1e-12)) / alpha) / F.log(F.lit(1 / eps)) * (n_alphas - 1)
+    grid = F.abs(steps - F.least(F.greatest(F.round(steps), F.lit(0.0)), F.lit(n_alphas - 1.0)))
+    test = x.where("is_test").select("day", "x").join(told, "day").select("day", "mtu", F.abs(F.col("y_hat") - fit_at("x")).alias("forecast_gap"))
+    named = [share("active").alias("active_gap"), share("idle").alias("idle_excess"), share("mean").alias("mean_gap"), grid.alias("grid_gap")]
+    return found.select("day", "mtu", "n", "n_features", "alpha_max", *named).join(test, ["day", "mtu"])
+
+
 def degenerate_columns(features: DataFrame, days: DataFrame, train_days: int) -> DataFrame:
     """(day, n_degenerate, degenerate_cols): solar features that a window leaves flat."""
     params = fold_params(rolling_window(days, features, train_days), ["day"]).where("degenerate")
@@ -140,13 +193,9 @@ def degenerate_columns(features: DataFrame, days: DataFrame, train_days: int) ->
 
 def rolling_contributions(features: DataFrame, target: DataFrame, days: DataFrame, train_days: int, block: int = 12, n_alphas: int = 100) -> DataFrame:
     """day, mtu, feature, feature_value, beta, contribution of fits without transform."""
-    train = rolling_window(days, features, train_days)
-    test = days.join(features, F.col("day") == F.col("date"))
-    params = fold_params(train, ["day"])
-    scaled = [scale_fold_anc(r, params, ["day"]).select("day", "date", "feature", "value") for r in (train, test)]
-    y = rolling_window(days, target, train_days).where("value is not null").select("day", "date", "mtu", F.col("value").alias("y"))
-    fits = rolling_fit(_arrays(*scaled), y, block, 5, n_alphas)
-    at = scaled[1].groupBy("day").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
+    x, y, own = contribution_inputs(features, target, days, train_days)
+    fits = rolling_fit(x, y, block, 5, n_alphas)
+    at = own.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
     pairs = fits.select("day", "mtu", F.explode(F.arrays_zip("positions", "values")).alias("p")).join(at, "day")
     one = F.element_at("x", F.col("p.positions") + 1)
     out = pairs.select("day", "mtu", one["feature"].alias("feature"), one["value"].alias("feature_value"), F.col("p.values").alias("beta"))
@@ -158,32 +207,23 @@ def rolling_quantile_forecast(panel: DataFrame, days: DataFrame, taus: list[floa
 
     ``panel`` is (date, keys, mtu, x array of the models' forecasts, y_true).  Rows with
     NULLs are left out of the fit; NULL features of the day, or a fit that fails, give
-    NULL.  All levels of a group are fitted together.
+    NULL.  All levels of all groups are fitted together; days without features give nothing.
     """
-    keys = keys or []
-    train = rolling_window(days, panel, train_days).withColumn("is_test", F.lit(False))
-    test = days.join(panel, F.col("day") == F.col("date")).withColumn("is_test", F.lit(True))
-    kinds = dict(panel.dtypes)
-    schema = ", ".join(["day date", *[f"{k} {kinds[k]}" for k in keys], "mtu int", "q array<double>", "runtime_seconds double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        began = time.perf_counter()
-        test_rows = pdf[pdf["is_test"]]
-        if not len(test_rows):
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        past = pdf[~pdf["is_test"]]
-        first = test_rows.iloc[0]
-        x_day = np.array(first["x"], float)
-        x = np.array([list(v) for v in past["x"]], float).reshape(len(past), len(x_day))
-        y = past["y_true"].to_numpy(float)
-        good = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
-        q = None
-        if good.sum() > x.shape[1] + 1 and not np.isnan(x_day).any():
-            try:
-                q = smooth_quantiles(x[good], y[good], taus, bandwidth) @ np.append(1.0, x_day)
-            except np.linalg.LinAlgError:
-                q = None
-        return pd.DataFrame([[first["day"], *[first[k] for k in keys], int(first["mtu"]), None if q is None else q.tolist(), time.perf_counter() - began]], columns=[c.split()[0] for c in schema.split(", ")])
-
-    rows = train.select("day", *keys, "mtu", "x", "y_true", "is_test").unionByName(test.select("day", *keys, "mtu", "x", "y_true", "is_test"))
-    return _dealt(rows, "day", *keys, "mtu").groupBy("day", *keys, "mtu").applyInPandas(run, schema)
+    by = ["day", *(keys or []), "mtu"]
+    wide = panel.agg(F.max(F.size("x"))).first()[0]  # of one panel, every row has as many models
+    if wide is None:
+        return days.join(panel, F.col("day") == F.col("date")).select(*by, F.lit(None).cast("array<double>").alias("q"))
+    present = lambda v: v.isNotNull() & ~F.isnan(v)
+    whole = F.col("x").isNotNull() & F.forall("x", present)
+    z = F.concat(F.array(F.lit(1.0)), "x")
+    test = days.join(panel, F.col("day") == F.col("date")).select(*by, F.when(whole, z).alias("z"))
+    good = panel.where(whole & present(F.col("y_true"))).select("date", *by[1:], z.alias("z"), F.col("y_true").cast("double").alias("y"))
+    train = stored(rolling_window(days, good, train_days).select(*by, "z", "y"), "windows")
+    enough = train.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > wide + 1)
+    wanted = test.where("z is not null").select(*by).join(enough.select(*by), by)
+    fits = smooth_quantile_fits(train.join(wanted, by, "left_semi"), by, wide + 1, taus, bandwidth)
+    told = test.join(fits, by, "left")
+    levels = told.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tau", linear_prediction("z", "b", F.lit(0.0)).alias("q")))).alias("levels"))
+    place = F.array(*[F.lit(float(t)) for t in sorted(taus)])
+    q = F.transform(F.array(*[F.lit(float(t)) for t in taus]), lambda t: F.element_at("levels", F.array_position(place, t).cast("int"))["q"])
+    return levels.select(*by, F.when(F.forall("levels", lambda v: v["q"].isNotNull()), q).alias("q"))

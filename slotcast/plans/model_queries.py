@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import features, forecast, importance, panel, profile, scaling, spatial, timegrid
 from ..sources.shared import stored
 from .grid_queries import slots
-from .registry import also, day, query, r6, steady, table
+from .registry import SQL, also, day, query, r6, steady, table
 
 MONTHLY = "m AS (SELECT l_returnflag AS feature, strftime(l_shipdate, '%Y-%m') AS month, l_extendedprice AS value FROM lineitem)"
 
@@ -356,7 +356,64 @@ def lasso_forecast(spark, sf_dir):
     x, target, days = rolling_inputs(spark, sf_dir)
     out = forecast.rolling_point_forecast(x, target, days, 56)
     named = [F.array_join("nonzero_cols", ",").alias("nonzero_cols"), F.array_join(F.transform("nonzero_vals", lambda v: F.round(v, 6)), ",").alias("nonzero_vals")]
-    return out.select(day("day"), "mtu", F.round("y_pred", 4).alias("y_pred"), F.round("alpha", 6).alias("alpha"), "n_nonzero", *named, "runtime_seconds")
+    return out.select(day("day"), "mtu", F.round("y_pred", 4).alias("y_pred"), r6("alpha"), r6("intercept"), "n_nonzero", *named, "runtime_seconds")
+
+
+#: The features and targets of :func:`rolling_inputs`: x (date, feature, value) and t (date, mtu, value), with the forecast days f.
+_ROLLING = f"""{DAILY}, u AS (SELECT DISTINCT date FROM d), g AS (SELECT u.date AS date, n.feature AS feature, coalesce(d.value, 0) AS value FROM u CROSS JOIN (SELECT DISTINCT feature FROM d) AS n
+  LEFT JOIN d ON d.date = u.date AND d.feature = n.feature),
+lagged AS (SELECT date, feature, lag(value, 1) OVER w AS price_d1, lag(value, 2) OVER w AS price_d2, lag(value, 7) OVER w AS price_d7 FROM g WINDOW w AS (PARTITION BY feature ORDER BY date)),
+wide AS (UNPIVOT lagged ON price_d1, price_d2, price_d7 INTO NAME lag VALUE value),
+whole AS (SELECT date FROM wide GROUP BY 1 HAVING count(*) = 3 * (SELECT count(DISTINCT feature) FROM d)),
+flags AS (UNPIVOT (SELECT CAST(date AS DATE) AS date, * EXCLUDE (date) FROM ({SQL["calendar_features"]})) ON * EXCLUDE (date) INTO NAME feature VALUE value),
+x AS (SELECT date, 'price' AS family, lag || '_' || feature AS feature, value FROM wide JOIN whole USING (date) UNION ALL SELECT date, 'calendar', feature, CAST(value AS DOUBLE) FROM flags JOIN whole USING (date)),
+t AS (SELECT date, CAST(substr(feature, 1, 1) AS INTEGER) - 1 AS mtu, value FROM g), f AS (SELECT DISTINCT date AS day FROM x WHERE date >= (SELECT min(date) + 56 FROM x)),
+tr AS (SELECT f.day AS day, x.* FROM f JOIN x ON x.date BETWEEN f.day - 56 AND f.day - 1), past AS (SELECT f.day AS day, t.* FROM f JOIN t ON t.date BETWEEN f.day - 56 AND f.day - 1)"""
+#: The largest penalty of each fit from the scaled features sx (day, date, feature, value) and targets sy (day, date, mtu, y), and what every optimum fulfils.
+_CERTIFIED = """SELECT CAST(day AS VARCHAR) AS day, mtu, max(n) AS n, count(*) AS n_features, round(max(abs(c0)), 4) AS alpha_max, true AS active_hold, true AS idle_hold, true AS centred, true AS on_grid, true AS predicted
+FROM (SELECT day, mtu, feature, count(*) AS n, avg(value * y) - avg(value) * avg(y) AS c0 FROM sx JOIN sy USING (day, date) GROUP BY day, mtu, feature) GROUP BY day, mtu"""
+
+
+def certified(x, y):
+    """Every fit with its facts and whether it is optimal to 1e-8 of the largest penalty, as sums over its rows say."""
+    x, y = stored(x, "fold-features"), stored(y, "fold-targets")
+    found = forecast.fit_certificates(x, y, stored(forecast.rolling_fit(x, y), "fits"))
+    small = {"active_hold": "active_gap", "idle_hold": "idle_excess", "centred": "mean_gap", "predicted": "forecast_gap"}
+    holds = [(F.col(gap) <= 1e-8 * (1 + F.col("alpha_max"))).alias(name) for name, gap in small.items()]
+    return found.select(day("day"), "mtu", "n", "n_features", F.round("alpha_max", 4).alias("alpha_max"), *holds, (F.col("grid_gap") <= 1e-6).alias("on_grid"))
+
+
+@query(f"""WITH {_ROLLING}, c AS (SELECT day, feature, median(value) AS center FROM tr WHERE family = 'price' GROUP BY 1, 2),
+s AS (SELECT tr.day AS day, feature, any_value(center) AS center, median(abs(value - center)) / {C.MAD_TO_SD} AS scale FROM tr JOIN c USING (day, feature) GROUP BY 1, 2),
+sx AS (SELECT tr.day AS day, date, feature, CASE WHEN center IS NULL THEN value ELSE asinh((value - center) / CASE WHEN scale > 1e-12 THEN scale ELSE 1 END) END AS value FROM tr LEFT JOIN s USING (day, feature)),
+cy AS (SELECT day, mtu, median(value) AS center FROM past GROUP BY 1, 2),
+ty AS (SELECT past.day AS day, past.mtu AS mtu, any_value(center) AS center, median(abs(value - center)) / {C.MAD_TO_SD} AS scale FROM past JOIN cy USING (day, mtu) GROUP BY 1, 2),
+sy AS (SELECT past.day AS day, date, mtu, asinh((value - center) / CASE WHEN scale > 1e-12 THEN scale ELSE 1 END) AS y FROM past JOIN ty USING (day, mtu)) {_CERTIFIED}""")
+def lasso_certificates(spark, sf_dir):
+    """Optimality of every fit behind :func:`lasso_forecast`, from its coefficients and rows."""
+    x, target, days = rolling_inputs(spark, sf_dir)
+    return certified(*forecast.point_inputs(x, target, days, 56)[:2])
+
+
+@query(f"""WITH {_ROLLING}, b AS (SELECT day, feature, min(value) AS low, max(value) - min(value) AS span FROM tr WHERE family = 'price' GROUP BY 1, 2),
+sx AS (SELECT tr.day AS day, date, feature, CASE WHEN span IS NULL THEN value WHEN span > 1e-12 THEN (value - low) / span ELSE 0 END AS value FROM tr LEFT JOIN b USING (day, feature)),
+sy AS (SELECT day, date, mtu, value AS y FROM past) {_CERTIFIED}""")
+def contribution_certificates(spark, sf_dir):
+    """The same for the fits behind :func:`lasso_contributions`."""
+    x, target, days = rolling_inputs(spark, sf_dir)
+    return certified(*forecast.contribution_inputs(x, target, days, 56)[:2])
+
+
+@query(f"""WITH d AS (SELECT l_returnflag AS feature, CAST(l_shipdate AS DATE) AS date, avg(l_discount * 500 - 5) AS value FROM lineitem GROUP BY 1, 2), k AS (SELECT DISTINCT date FROM d),
+f AS (SELECT date AS day FROM k WHERE date >= (SELECT min(date) + 56 FROM k)),
+w AS (SELECT f.day AS day, feature FROM f JOIN d ON d.date BETWEEN f.day - 56 AND f.day - 1 GROUP BY 1, 2 HAVING max(value) - min(value) < 20 OR avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) < 0.5)
+SELECT CAST(day AS VARCHAR) AS day, count(*) AS n_degenerate, string_agg(feature, ',' ORDER BY feature) AS degenerate_cols FROM w GROUP BY 1""")
+def degenerate_columns(spark, sf_dir):
+    """Solar features that the 56 days before a day leave flat."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("feature"), F.to_date("l_shipdate").alias("date")).agg(F.avg(F.col("l_discount") * 500 - 5).alias("value"))
+    rows = rows.withColumn("family", F.lit("ssrd"))
+    out = forecast.degenerate_columns(rows, full_days(rows, 56), 56)
+    return out.select(day("day"), "n_degenerate", F.array_join("degenerate_cols", ",").alias("degenerate_cols"))
 
 
 @query()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_counts import PATTERN, read_ranks
+from .token_counts import PATTERN, encode_whole, read_ranks
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -86,7 +86,8 @@ def _tokenizer(path: str):
     sizes = np.zeros(max(marks.values()) + 1, np.int64)
     for token, number in (*ranks.items(), *marks.items()):
         sizes[number] = len(token)
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks), sizes
+    spaces = tiktoken.Encoding(f"{path} spaces", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks), spaces, sizes
 
 
 def encode(text: str, tokenizer: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +95,9 @@ def encode(text: str, tokenizer: str = TOKENIZER) -> tuple[np.ndarray, np.ndarra
 
     A token that holds a part of a character's bytes covers the whole character.
     """
-    encoder, sizes = _tokenizer(tokenizer)
-    ids = np.array(encoder.encode(text, allowed_special="all"), np.int32)
+    encoder, spaces, sizes = _tokenizer(tokenizer)
+    ids = encode_whole(text, lambda x: encoder.encode(x, allowed_special="all"), spaces.encode_ordinary, (TURN, TEXT, END))
+    ids = np.array(ids, np.int32)
     upto = np.cumsum(sizes[ids])
     raw = text.encode()
     if len(raw) == len(text):

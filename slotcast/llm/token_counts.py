@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from urllib.parse import quote
 
@@ -35,25 +36,52 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _encoder(path: str, pattern: str):
-    """One encoder for each Python worker."""
-    if path not in _encoders:
+    """One encoder for each Python worker and pattern."""
+    if (path, pattern) not in _encoders:
         import tiktoken
 
-        _encoders[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return _encoders[path]
+        _encoders[path, pattern] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    return _encoders[path, pattern]
 
 
 #: Fixed value: the public byte-pair vocabularies' pattern for splitting a text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space as the pattern knows it (Unicode's property, which has no separators below 0x20), in runs too long for its look-ahead.
+LONG_RUN = 50_000
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG = re.compile(f"[{_SPACE}]{{{LONG_RUN},}}")
+
+
+def encode_whole(text: str, encode, encode_space, stops: tuple[str, ...] = ()) -> list[int]:
+    """Tokens of a text whose runs of white space may have any length.
+
+    The pattern looks back from the end of a run one character at a time, which ends in
+    an error on very long ones.  Of such a run, all but the last character (or all, at
+    the end of the text and before one of ``stops``) is one piece of its own to the
+    pattern, so it is encoded apart with a pattern that does not look back.
+    """
+    found = [(m.start(), m.end()) for m in _LONG.finditer(text)]
+    if not found:
+        return encode(text)
+    out: list[int] = []
+    at = 0
+    for start, end in found:
+        last = end if end == len(text) or text.startswith(stops, end) and stops else end - 1
+        out += encode(text[at:start]) + encode_space(text[start:last])
+        at = last
+    return out + encode(text[at:])
+
+
 def count_tokens(text: Column, version: str, folder: str = TOKENIZERS) -> Column:
     """Tokens of each whole text under ``folder``/``version``.tiktoken; 0 for null."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encoder = _encoder(f"{folder}/{version}.tiktoken", PATTERN)
-        return pd.Series([len(encoder.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
+        path = f"{folder}/{version}.tiktoken"
+        encode, spaces = _encoder(path, PATTERN).encode_ordinary, _encoder(path, r"\s+").encode_ordinary
+        return pd.Series([len(encode_whole(t, encode, spaces)) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
 

@@ -8,14 +8,15 @@ is the main subtree.  The threshold is the smallest density on the path from the
 to the densest node.
 
 Menus, forms, scripts and the like, by element, role or name, count as no text and,
-with all that is below them, are never chosen.  Names count only as whole class or id
+with all that is below them, are never chosen; but a form around most of a page is none.  Names count only as whole class or id
 tokens; within an ``article`` or ``main`` only those that can't name a part of a story.
 """
 
 from __future__ import annotations
 
 import math
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,11 +74,12 @@ def names_noise(names: list[str], inside: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "noise", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "down", "own", "noise", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, noise: bool = False):
         self.tag, self.up = tag, up
-        #: itself or below what is noise; below an article or main
+        #: noise itself; itself or below what is noise; below an article or main
+        self.own = noise
         self.noise = noise or (up is not None and up.noise)
         self.inside = up is not None and (up.inside or up.tag in ("article", "main"))
         self.down: list = []  # nodes and strings
@@ -85,7 +87,98 @@ class Node:
         self.density = self.total = 0.0
 
 
-class _Tree(HTMLParser):
+#: Elements whose content is text up to their own end tag; in the second group with character references.
+RAW, RAW_DECODED = frozenset("script style xmp iframe noembed noframes".split()), frozenset("textarea title".split())
+_TAG_NAME, _ATTRIBUTE = re.compile(r"[^\s/>]+"), re.compile(r"[^\s/>=]?[^\s/>=]*")
+_GAP, _EQUALS, _BARE = re.compile(r"[\s/]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW | RAW_DECODED}
+
+
+def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Attributes from ``at`` on, whether the tag closes itself, and the place behind its ``>``; -1 where there is none."""
+    out = []
+    while True:
+        gap = _GAP.match(html, at)
+        at = gap.end()
+        if at >= len(html):
+            return out, False, -1
+        if html[at] == ">":
+            return out, gap.group().endswith("/"), at + 1
+        first = html[at] == "="  # a stray one begins a name
+        name = _ATTRIBUTE.match(html, at + first)
+        key, at, value = html[at : name.end()].lower(), name.end(), ""
+        if equals := _EQUALS.match(html, at):
+            at = equals.end()
+            if html[at : at + 1] in ('"', "'"):
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return out, False, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare.group(), bare.end()
+        out.append((key, unescape(value)))
+
+
+def scan(html: str, tree: _Tree) -> None:
+    """Hands the tags and texts of a page to ``tree``, as a browser reads them, each character once.
+
+    What is left open at the end of the page (a tag, a comment, a declaration) is
+    dropped; a ``<`` that begins nothing is text.
+    """
+    at = since = 0  # text since there is not handed on yet
+
+    def text(end: int, decoded: bool = True) -> None:
+        if end > since:
+            tree.handle_data(unescape(html[since:end]) if decoded else html[since:end])
+
+    while (at := html.find("<", at)) >= 0:
+        mark = html[at + 1 : at + 2]
+        if mark.isascii() and mark.isalpha():
+            text(at)
+            name = _TAG_NAME.match(html, at + 1)
+            tag = name.group().lower()
+            attributes, closed, at = _attributes(html, name.end())
+            if at < 0:
+                return
+            since = at
+            if closed:
+                tree.handle_startendtag(tag, attributes)
+                continue
+            tree.handle_starttag(tag, attributes)
+            if tag in _RAW_END:
+                end = _RAW_END[tag].search(html, at)
+                at = end.start() if end else len(html)
+                text(at, tag in RAW_DECODED)
+                since = at
+        elif mark == "/" and (html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha()):
+            text(at)
+            name = _TAG_NAME.match(html, at + 2)
+            _, _, at = _attributes(html, name.end())
+            if at < 0:
+                return
+            since = at
+            tree.handle_endtag(name.group().lower())
+        elif mark in ("!", "?", "/") and mark and at + 2 < len(html):
+            text(at)
+            if html.startswith("<!--", at):
+                if html.startswith((">", "->"), at + 4):
+                    at = html.find(">", at) + 1
+                else:
+                    end = _COMMENT_END.search(html, at + 4)
+                    at = end.end() if end else -1
+            else:
+                at = html.find(">", at) + 1 or -1
+            if at < 0:
+                return
+            since = at
+        else:
+            at += 1
+    text(len(html))
+
+
+class _Tree:
     """Elements and texts with character references decoded; forgiving about missing end tags.
 
     ``depths`` has for each kind the places of its open elements on the stack, so the
@@ -93,11 +186,11 @@ class _Tree(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root", None)
         self.stack = [self.root]
         self.depths: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # places of open blocks but paragraphs
+        self.forms: list[Node] = []  # noise as forms only
 
     def _nearest(self, tags) -> int:
         return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
@@ -122,13 +215,15 @@ class _Tree(HTMLParser):
         at = self.stack[-1]
         inside = at.inside or at.tag in ("article", "main")
         named = dict(attrs)
-        noise = tag in BOILERPLATE or tag in HIDDEN or "hidden" in named or named.get("role") in ROLES or named.get("aria-hidden") == "true"
+        noise = (tag in BOILERPLATE and tag != "form") or tag in HIDDEN or "hidden" in named or named.get("role") in ROLES or named.get("aria-hidden") == "true"
         if not noise and tag not in ("html", "body"):
             noise = names_noise(f"{named.get('class') or ''} {named.get('id') or ''}".split(), inside or tag in ("article", "main"))
         if tag == "header" and not inside:
             noise = True
-        node = Node(tag, at, noise)
+        node = Node(tag, at, noise or tag == "form")
         at.down.append(node)
+        if tag == "form" and not noise:
+            self.forms.append(node)
         if tag not in VOID:
             self.depths.setdefault(tag, []).append(len(self.stack))
             if tag in BLOCK and tag != "p":
@@ -151,11 +246,25 @@ class _Tree(HTMLParser):
 
 def parse(html: str) -> Node:
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    scan(html, tree)
+    if tree.forms:
+        _free_forms(tree.root, tree.forms)
     return tree.root
 
 
+def _free_forms(root: Node, forms: list[Node]) -> None:
+    """A form around most of a page's text, as server-side pages have, is no noise: only what is in it."""
+    order, chars, only_forms = _walk(root), {}, set(map(id, forms))
+    for node in reversed(order):
+        own = sum(chars[id(x)] if isinstance(x, Node) else len(x.strip()) for x in node.down)
+        chars[id(node)] = 0 if node.own and id(node) not in only_forms else own
+    free = [f for f in forms if 2 * chars[id(f)] > chars[id(root)]]
+    for f in free:
+        f.own = False
+    for node in order if free else ():
+        node.noise = node.own or (node.up is not None and node.up.noise)
+
+
 def _walk(root: Node) -> list[Node]:
     """All nodes, parents before children."""
     out = [root]

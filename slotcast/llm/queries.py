@@ -100,7 +100,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What two pages must share to be mirrors of one another.
-STORY = r"(?s)<article>(.*?)</article>"
+STORY = r"(?s)<article(?:\s[^>]*)?>(.*?)</article>"
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

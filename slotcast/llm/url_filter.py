@@ -46,7 +46,7 @@ def canonical(url: Column) -> Column:
     host = F.regexp_replace(host_of(url), "^www[.]|:(?:80|443)$", "")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*[?]([^#]*)", 1)
     query = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda q: (q != "") & ~q.rlike(f"^(?:{TRACKING})(?:=|$)"))), "&")
-    path = F.regexp_replace(path_of(url), "/+$", "")
+    path = F.rtrim(path_of(url), F.lit("/"))
     return F.when(host_of(url) == "", F.lit(None)).otherwise(F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
 

@@ -34,6 +34,8 @@ SEARCH_WIDTH = 64
 #: Nodes kept while a search descends: tight groups far apart leave a single one in the wrong group.
 DESCENT = 8
 MAX_QUERIES = 100_000
+#: Squares of components beyond this are out of proportion to ordinary ones.
+HUGE = 1e100
 #: Nodes that enter a layer at once, at most; bounds the memory of a build.
 BATCH = 256
 
@@ -235,9 +237,11 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     apart = vectors - query
     with np.errstate(over="ignore"):
         out = np.sqrt((apart**2).sum(axis=1))
-    if not np.isfinite(out).all():  # squares beyond the largest double
-        half, scale = fitted(np.vstack([vectors, query]) / 2)
-        out = np.sqrt(((half[:-1] - half[-1]) ** 2).sum(axis=1)) / scale * 2
+    over = ~np.isfinite(out)
+    if over.any():  # squares beyond the largest double: each row in the scale of its own largest difference
+        half = vectors[over] / 2 - query / 2
+        most = np.abs(half).max(axis=1)
+        out[over] = np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)) * most * 2
     return out
 
 
@@ -292,10 +296,11 @@ def _packed(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            vec = [np.array(v, "<f8").tobytes() for v in batch.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(vec, pa.binary())], ["vec_id", "vec"])
+            vec = [np.array(v, "<f8") for v in batch.column("embedding").to_pylist()]
+            huge = [bool((np.abs(v) > HUGE).any()) for v in vec]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v.tobytes() for v in vec], pa.binary()), pa.array(huge, pa.bool_())], ["vec_id", "vec", "huge"])
 
-    return df.mapInArrow(run, "vec_id long, vec binary")
+    return df.mapInArrow(run, "vec_id long, vec binary, huge boolean")
 
 
 def build_index(df: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, links: int = LINKS, width: int = BUILD_WIDTH) -> DataFrame:
@@ -306,7 +311,9 @@ def build_index(df: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, links: i
     """
     rows = stored(_packed(usable(df)), "vectors")
     shards = max(1, math.ceil(rows.count() / shard_rows))
-    dealt = rows.select(F.expr(f"cast(pmod(xxhash64(vec), {shards}) as int)").alias("shard"), "vec", F.array("vec_id").alias("ids"))
+    # beside a huge component the squares of ordinary ones vanish, so huge vectors have shards of their own
+    place = F.expr(f"cast(pmod(xxhash64(vec), {shards}) as int)") + F.when(F.col("huge"), shards).otherwise(0)
+    dealt = rows.select(place.alias("shard"), "vec", F.array("vec_id").alias("ids"))
     nodes = dealt.mapInArrow(_few(keep), _NODE).repartition(shards, "shard")
     return stored(nodes.groupBy("shard").applyInPandas(_build(links, width, keep), _INDEX), "index")
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -611,3 +612,97 @@ def test_vectors_awkward(spark):
     got = ann.nearest(df, df.where("vec_id % 100 = 0")).collect()
     assert {r["query_id"] for r in got} == {0, 100} and {r["vec_id"] for r in got if r["query_id"] == 0} == {100, 6, 9}
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+# --- one odd row ends no query --------------------------------------------------------------------------------------
+
+
+def _plain(version="byte_bpe_50k"):
+    path = f"{token_counts.TOKENIZERS}/{version}.tiktoken"
+    return token_counts._encoder(path, token_counts.PATTERN).encode_ordinary, token_counts._encoder(path, r"\s+").encode_ordinary
+
+
+def test_runs_of_white_space_encode_as_one(monkeypatch):
+    """Cut at any length, the tokens are those of the plain encoder."""
+    encode, spaces = _plain()
+    draw = random.Random(3)
+    signs = [" ", " ", "\n", "\t", " ", " ", "\x1c", "a", "9", ".", "é", "'s"]
+    for least in (1, 2, 3):
+        monkeypatch.setattr(token_counts, "_LONG", re.compile(f"[{token_counts._SPACE}]{{{least},}}"))
+        for _ in range(2000):
+            text = "".join(draw.choice(signs) for _ in range(draw.randrange(14)))
+            assert token_counts.encode_whole(text, encode, spaces) == encode(text), repr(text)
+            whole = chat.render([("user", text), ("assistant", text + " ")])[0]
+            ids, offsets = chat.encode(whole)
+            assert ids.tolist() == chat._tokenizer(chat.TOKENIZER)[0].encode(whole, allowed_special="all") and offsets[-1, 1] == len(whole)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n\t"])
+def test_millions_of_blanks(spark, run):
+    text = "word" + run * (2_000_000 // len(run)) + "end"
+    df = spark.createDataFrame([(text,), (run * 1_000_001,)], "text string")
+    counts = [r[0] for r in df.select(token_counts.count_tokens(F.col("text"), "byte_bpe_50k")).collect()]
+    assert all(c > 0 for c in counts)
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = chat.digests(chat.format_conversations(talk)).first()
+    assert row["loss_text"] == text and row["n_turns"] == 2
+
+
+@pytest.mark.parametrize("odd", ["<![ if gte mso 9]>", "<!", "<![", "</", "<?", "<", "<!-", "<!--", "<a b=", "<a b='", "</a", "<![CDATA[x]]>", "<!doctype", "<script", "<script>", "</ p>", "<a =b>", "<!-->"])
+def test_odd_declarations_end_no_page(odd):
+    draw = random.Random(odd)
+    for _ in range(60):
+        tail = "".join(draw.choice("<>!/?-[]='\" abI&#x;") for _ in range(draw.randrange(20)))
+        assert html_text.extract(f"<p>One story in a few words.</p>{odd}{tail}").startswith("One story in a few words.")
+    assert html_text.extract("<p>One story<![ if gte mso 9]> in a few<!--x--!> words.</p>") == "One story in a few words."
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<a ", '<a b="', "</", "<?", "<![", "<a b='x' ", "</a ", "<", "&#", "<!--a-->", "<!--a--!>", "<p/", "<textarea>", "<a =="])
+def test_a_megabyte_of_openings_takes_linear_time(piece):
+    began = time.perf_counter()
+    html_text.extract("<body><p>A story.</p>" + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 5
+
+
+def test_a_form_around_the_page_is_no_noise():
+    story = "<div><p>The story goes on and on for long.</p><p>And it has a second part.</p></div>"
+    want = "The story goes on and on for long. And it has a second part."
+    assert html_text.extract(f"<body><form id=f><div class=menu><a href=x>Home</a></div>{story}<input><button>Go</button></form></body>") == want
+    assert html_text.extract(f"<body>{story}<form><label>Your mail address</label><button>Go</button></form></body>") == want
+
+
+def test_slashes_take_linear_time(spark):
+    url = "http://example.com/" + "/" * 200_000
+    df = spark.createDataFrame([(url + "x",), (url,)], "url string")
+    began = time.perf_counter()
+    got = [r[0] for r in df.select(url_filter.canonical(F.col("url"))).collect()]
+    assert got[0].endswith("/x") and got[1] == "example.com" and time.perf_counter() - began < 20
+
+
+def test_stories_in_articles_with_attributes(spark):
+    page = "<article class='post' id=a>one story</article>"
+    rows = [("http://a.com/1", page), ("http://b.com/1", page), ("http://c.com/1", "<articles>one story</article>")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    listed = url_filter.mirrored(df, F.regexp_extract("html", queries.STORY, 1))
+    assert sorted(r[0] for r in listed.collect()) == ["http://a.com/1", "http://b.com/1"]
+
+
+def test_huge_components_beside_ordinary_vectors(spark):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(600, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(600 + i, (v * 1e300).tolist()) for i, v in enumerate(rng.normal(size=(20, 12)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 30 = 0"), k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = total = 0
+    for q in range(0, 600, 30):
+        apart = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        apart[q] = np.inf
+        want = np.argsort(apart)[:5]
+        assert all(s == pytest.approx(apart[i]) for i, s in got[q])
+        hits, total = hits + len(set(want.tolist()) & {i for i, _ in got[q]}), total + 5
+    assert hits >= 0.9 * total
+    every = np.array([r[1] for r in rows])
+    want = np.sort(ann.distances(np.delete(every, 600, 0), every[600]))[:5]
+    assert [s for _, s in got[600]] == pytest.approx(want)

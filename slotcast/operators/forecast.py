@@ -14,7 +14,7 @@ from ..functions.estimators import lasso_cv
 from ..sources.shared import stored
 from .panel import rolling_window
 from .quantile_fit import smooth_quantile_fits
-from .scaling import fold_params, robust_params, scale_fold, scale_fold_anc
+from .scaling import fold_params, rolling_robust_params, scale_fold, scale_fold_anc
 
 _FIT = "day date, mtu int, alpha double, intercept double, y_hat double, positions array<int>, values array<double>, residuals array<double>, runtime_seconds double"
 
@@ -114,10 +114,10 @@ def point_inputs(features: DataFrame, target: DataFrame, days: DataFrame, train_
     """What the fits of a point model see (O87): ``x`` and ``y`` of :func:`rolling_fit`, and the targets' scales by (day, mtu)."""
     train = rolling_window(days, features, train_days)
     test = days.join(features, F.col("day") == F.col("date"))
-    params = fold_params(train, ["day"])
+    params = fold_params(days, features, train_days)
     x = _arrays(*(scale_fold(r, params, ["day"], use_vst).select("day", "date", "feature", "value") for r in (train, test)))
     past = rolling_window(days, target, train_days).where("value is not null")
-    scales = robust_params(past, ["day", "mtu"])
+    scales = rolling_robust_params(days, target, train_days, ["mtu"])
     z = (F.col("value") - F.col("center")) / F.col("scale")
     y = past.join(scales, ["day", "mtu"]).select("day", "date", "mtu", (vst(z) if use_vst else z).alias("y"))
     return x, y, scales
@@ -127,7 +127,7 @@ def contribution_inputs(features: DataFrame, target: DataFrame, days: DataFrame,
     """What the fits of a contribution model see (O88): ``x`` and ``y``, and the forecast days' scaled features in long form."""
     train = rolling_window(days, features, train_days)
     test = days.join(features, F.col("day") == F.col("date"))
-    params = fold_params(train, ["day"])
+    params = fold_params(days, features, train_days)
     scaled = [scale_fold_anc(r, params, ["day"]).select("day", "date", "feature", "value") for r in (train, test)]
     y = rolling_window(days, target, train_days).where("value is not null").select("day", "date", "mtu", F.col("value").alias("y"))
     return _arrays(*scaled), y, scaled[1]
@@ -187,7 +187,7 @@ def fit_certificates(x: DataFrame, y: DataFrame, fits: DataFrame, n_alphas: int
 
 def degenerate_columns(features: DataFrame, days: DataFrame, train_days: int) -> DataFrame:
     """(day, n_degenerate, degenerate_cols): solar features that a window leaves flat."""
-    params = fold_params(rolling_window(days, features, train_days), ["day"]).where("degenerate")
+    params = fold_params(days, features, train_days).where("degenerate")
     return params.groupBy("day").agg(F.count("*").alias("n_degenerate"), F.array_sort(F.collect_list("feature")).alias("degenerate_cols"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,20 @@ def rolling_window(days: DataFrame, history: DataFrame, n: int, absolute: bool =
     return dealt.join(history, date)
 
 
+def rolling_facts(days: DataFrame, history: DataFrame, n: int, keys: list[str], facts: dict[str, Column], date: str = "date") -> DataFrame:
+    """day, keys and ``facts`` (name to aggregate of ``history``) of the n days before each day, where there are any rows.
+
+    The facts are taken over moving frames of each key's rows in the order of time, so no
+    row is dealt to the days that see it.  A day is a row without values among them.
+    """
+    blank = [F.lit(None).cast(t).alias(c) for c, t in history.dtypes if c not in (*keys, date)]
+    marks = history.select(*keys).distinct().join(days.select(F.col("day").alias(date)).distinct(), how="cross")  # the rows of the result
+    rows = history.withColumn("_mark", F.lit(False)).unionByName(marks.select(*keys, date, *blank, F.lit(True).alias("_mark")))
+    frame = Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(-n, -1)
+    real = F.count_if(~F.col("_mark")).over(frame).alias("_n")
+    out = rows.select(F.col(date).alias("day"), *keys, "_mark", real, *[f.over(frame).alias(name) for name, f in facts.items()])
+    return out.where("_mark and _n > 0").drop("_mark", "_n")
+
 
 def only(df: DataFrame, members: DataFrame, on: list[str], inside: bool = True) -> DataFrame:
     """Rows whose key is (or is not) in ``members``."""

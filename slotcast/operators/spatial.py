@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 #: A side of at most this many rows is sent to all tasks; a longer one is shuffled.
 SMALL_ROWS = 50_000
 EARTH_KM = 6371.0088
@@ -28,24 +32,57 @@ def _edge_kilometres(lon: Column, lat: Column) -> Column:
     return F.hypot(ax + t * dx, ay + t * dy)
 
 
+def _slabs(places: DataFrame, edges: DataFrame, height: float) -> DataFrame:
+    """(lon, lat) of the places inside: points meet the edges of their latitude band only."""
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    dealt = edges.where(low < high).withColumn("_band", F.explode(F.sequence(F.floor(low / height), F.floor(high / height))))
+    met = places.withColumn("_band", F.floor(F.col("lat") / height)).join(dealt, "_band")
+    spans = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
+    at = F.col("lon1") + (F.col("lat") - F.col("lat1")) * F.try_divide(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))
+    crosses = F.coalesce(spans & (F.col("lon") < at), F.lit(False))
+    return met.groupBy("lon", "lat").agg((F.count_if(crosses) % 2 == 1).alias("_in")).where("_in").select("lon", "lat")
+
+
+def _reached(places: DataFrame, edges: DataFrame, buffer_km: float, size: float) -> DataFrame:
+    """(lon, lat) of the places within the buffer: points meet the edges that reach their grid cell only.
+
+    Edges are cut into pieces no longer than a cell, so a long one reaches the cells along it and not all of its box.
+    """
+    reach = buffer_km / (math.radians(1.0) * EARTH_KM)
+    long = F.greatest(F.abs(F.col("lon2") - F.col("lon1")), F.abs(F.col("lat2") - F.col("lat1")))
+    pieces = F.greatest(F.ceil(long / size), F.lit(1))
+    cut = edges.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))))
+    on = lambda c, i: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (F.col("_i") - i) / F.col("_k")
+    ends = {f"_{c}_{name}": f(on(c, 1), on(c, 0)) for c in ("lon", "lat") for name, f in (("lo", F.least), ("hi", F.greatest))}
+    slack = size * 1e-6
+    widest = F.cos(F.radians(F.least(F.greatest(F.abs("_lat_lo"), F.abs("_lat_hi")) + reach + slack, F.lit(90.0))))
+    east = F.least(reach / F.greatest(widest, F.lit(1e-9)), F.lit(360.0)) + slack
+    cells = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
+    boxed = cut.withColumns(ends).withColumn("_x", F.explode(cells(F.col("_lon_lo") - east, F.col("_lon_hi") + east)))
+    boxed = boxed.withColumn("_y", F.explode(cells(F.col("_lat_lo") - reach - slack, F.col("_lat_hi") + reach + slack)))
+    dealt = boxed.select("_x", "_y", "lon1", "lat1", "lon2", "lat2").distinct()
+    here = places.withColumn("_x", F.floor(F.col("lon") / size)).withColumn("_y", F.floor(F.col("lat") / size))
+    near = here.join(dealt, ["_x", "_y"]).where(_edge_kilometres(F.col("lon"), F.col("lat")) <= buffer_km)
+    return near.select("lon", "lat").distinct()
+
+
 def region_mask(points: DataFrame, edges: DataFrame, buffer_km: float = 0.0) -> DataFrame:
     """``points`` (lon, lat) with ``inside``: in the polygon or within the buffer.
 
-    ``edges`` (lon1, lat1, lon2, lat2) of all rings is the outline of a region: a small
-    table, checked before it is sent to the tasks.  A ray to the east crosses the
-    outline an odd number of times from inside.
+    ``edges`` (lon1, lat1, lon2, lat2) of all rings is the outline of a region, of any
+    size.  A ray to the east crosses the outline an odd number of times from inside: points
+    and edges are joined by latitude band.  For the buffer they are joined by grid cell.
+    Bands and cells are as high as the mean edge, and cells at least as the buffer.
+    Points without a coordinate are outside.
     """
-    if edges.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        raise ValueError(f"the outline has more than {SMALL_ROWS} edges; simplify it first")
-    spans = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
-    at = F.col("lon1") + (F.col("lat") - F.col("lat1")) * F.try_divide(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))
-    crosses = F.coalesce(spans & (F.col("lon") < at), F.lit(False))
-    places = points.select("lon", "lat").distinct()
-    pairs = places.join(F.broadcast(edges.select("lon1", "lat1", "lon2", "lat2")), how="cross")
-    per_point = pairs.groupBy("lon", "lat").agg(
-        (F.sum(crosses.cast("int")) % 2 == 1).alias("_in"), F.min(_edge_kilometres(F.col("lon"), F.col("lat"))).alias("_km")
-    )
-    marked = per_point.select("lon", "lat", (F.col("_in") | (F.col("_km") <= buffer_km)).alias("inside"))
+    edges = edges.select("lon1", "lat1", "lon2", "lat2").dropna()
+    mean_lat, mean_lon = edges.agg(F.avg(F.abs(F.col("lat2") - F.col("lat1"))), F.avg(F.abs(F.col("lon2") - F.col("lon1")))).first()
+    places = points.select("lon", "lat").distinct().dropna()
+    if mean_lat is None:
+        return points.withColumn("inside", F.lit(False))
+    inside = _slabs(places, edges, max(mean_lat, 1e-9))
+    near = _reached(places, edges, buffer_km, max(mean_lat, mean_lon, 1.01 * buffer_km / (math.radians(1.0) * EARTH_KM), 1e-9))
+    marked = inside.unionByName(near).distinct().withColumn("inside", F.lit(True))
     return points.join(marked, ["lon", "lat"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
@@ -66,10 +103,6 @@ def renumber_north_to_south(points: DataFrame, raw: str = "cluster_raw", lat: st
     return points.join(ids, raw)
 
 
-def cluster_sizes(points: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    return points.groupBy(cluster).agg(F.count("*").alias("n_points"))
-
-
 def nearest_cluster(points: DataFrame, mapped: DataFrame, id_col: str, cell: float = 0.25) -> DataFrame:
     """(id, cluster_id, dist2): the cluster of the nearest mapped point in degrees.
 
@@ -118,11 +151,19 @@ def cluster_means(field: DataFrame, mapping: DataFrame, on: list[str], by: list[
     return means.unionByName(gaps.select(means.columns))
 
 
-def grid_spacing(points: DataFrame, axis: str) -> DataFrame:
-    """One row: the median gap of the sorted distinct coordinates."""
-    values = points.select(axis).distinct()
-    gaps = values.select((F.col(axis) - F.lag(axis).over(Window.orderBy(axis))).alias("gap")).where("gap is not null")
-    return gaps.agg(F.percentile("gap", 0.5).alias("gap"))
+def coordinate_gaps(points: DataFrame, axis: str) -> DataFrame:
+    """(gap) between neighbours of the sorted distinct coordinates.
+
+    Coordinates are dealt to partitions by range; the first of each is compared with the
+    last of the partition before, so none sees all.
+    """
+    values = points.where(F.col(axis).isNotNull()).select(F.col(axis).alias("v")).distinct()
+    dealt = stored(values.repartitionByRange("v").withColumn("_part", F.spark_partition_id()), "coordinates")
+    own = dealt.withColumn("_before", F.lag("v").over(Window.partitionBy("_part").orderBy("v")))
+    ends = dealt.groupBy("_part").agg(F.max("v").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("_part", "hi"))).alias("e"))  # a row for each partition
+    border = ends.select(F.posexplode("e").alias("i", "x"), "e").where("i > 0").select(F.col("x._part").alias("_part"), F.get("e", F.col("i") - 1)["hi"].alias("_border"))
+    joined = own.join(F.broadcast(border), "_part", "left")
+    return joined.select((F.col("v") - F.coalesce("_before", "_border")).alias("gap")).where("gap is not null")
 
 
 def cell_boxes(points: DataFrame, lon_gap: float, lat_gap: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import features, forecast, importance, panel, profile, scaling, spatial, timegrid
+from ..operators import features, forecast, importance, panel, profile, scaling, selection, spatial, timegrid
 from ..sources.shared import stored
 from .grid_queries import slots
 from .registry import SQL, also, day, query, r6, steady, table
@@ -69,8 +69,9 @@ FROM f JOIN d ON d.date BETWEEN f.day - 28 AND f.day - 1 GROUP BY 1, 2""")
 def rolling_window_stats(spark, sf_dir):
     """Facts of the 28 days before each day with a whole window."""
     rows = daily_orders(spark, sf_dir)
-    rows = panel.rolling_window(full_days(rows, 28), rows, 28)
-    return rows.groupBy(day("day"), "feature").agg(F.count("*").alias("n"), steady(F.avg("value"), "mean"), steady(F.min("value"), "low"), steady(F.max("value"), "high"))
+    facts = {"n": F.count("value"), "mean": F.avg("value"), "low": F.min("value"), "high": F.max("value")}
+    out = panel.rolling_facts(full_days(rows, 28), rows, 28, ["feature"], facts)
+    return out.select(day("day"), "feature", "n", *[steady(F.col(c), c) for c in ("mean", "low", "high")])
 
 
 _FAMILY = "CASE feature WHEN '1-URGENT' THEN 'price' WHEN '2-HIGH' THEN 'wind' WHEN '3-MEDIUM' THEN 'ssrd' WHEN '4-NOT SPECIFIED' THEN 'other' ELSE 'calendar' END"
@@ -85,8 +86,8 @@ def family_of(df):
 
 
 def folds(rows, scale):
-    train = panel.rolling_window(full_days(rows, 56), family_of(rows), 56)
-    return scale(train, scaling.fold_params(train, ["day"]), ["day"]).select(day("day"), day(), "feature", r6("value"))
+    rows, days = family_of(rows), full_days(rows, 56)
+    return scale(panel.rolling_window(days, rows, 56), scaling.fold_params(days, rows, 56), ["day"]).select(day("day"), day(), "feature", r6("value"))
 
 
 _FOLD = f"""{DAILY}, {every_day(56)}, tr AS (SELECT f.day AS day, {_FAMILY} AS family, feature, d.date AS date, value FROM f JOIN d ON d.date BETWEEN f.day - 56 AND f.day - 1),
@@ -287,7 +288,7 @@ SELECT vec_id, round(round(lon, 2) - gx.g / 2, 6) AS lon_min, round(round(lon, 2
 def grid_spacing(spark, sf_dir):
     """Cell boxes by the median spacing of coordinates."""
     p = points(spark, sf_dir).withColumn("lon", F.round("lon", 2)).withColumn("lat", F.round("lat", 2))
-    gaps = [spatial.grid_spacing(p, axis).first()["gap"] for axis in ("lon", "lat")]
+    gaps = [selection.grid_spacing(p, axis).first()["gap"] for axis in ("lon", "lat")]
     return spatial.cell_boxes(p, *gaps).select("vec_id", *[r6(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
 
 
@@ -324,12 +325,26 @@ SELECT vec_id, lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 AS inside FROM e
 def region_mask(spark, sf_dir):
     """Points inside a polygon (a box of the quartiles), without buffer."""
     p = points(spark, sf_dir)
-    x0, x1, y0, y1 = p.agg(*[F.percentile(c, q) for c in ("lon", "lat") for q in (0.25, 0.75)]).first()
+    x0, x1, y0, y1 = [v for c in ("lon", "lat") for v in selection.exact_quantiles(p, [], c, [0.25, 0.75]).first()["q"]]
     corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
     edges = spark.createDataFrame([(*a, *b) for a, b in zip(corners, corners[1:])], "lon1 double, lat1 double, lon2 double, lat2 double")
     return spatial.region_mask(p, edges, 1e-9).select("vec_id", "inside")
 
 
+@query(f"""WITH {GRID_POINTS}, c AS (SELECT avg(lon) AS x, avg(lat) AS y, stddev_pop(lat) AS r FROM e), k AS (SELECT vec_id, lon - x AS dx, lat - y AS dy, lat, r FROM e CROSS JOIN c),
+d AS (SELECT vec_id, greatest(abs(dx) - r, 0) * cos(radians(lat)) AS ex, greatest(abs(dy) - r / 2, 0) AS ey FROM k)
+SELECT vec_id, sqrt(ex * ex + ey * ey) * radians(1.0::DOUBLE) * {spatial.EARTH_KM} <= 25 AS inside FROM d""")
+def region_buffer(spark, sf_dir):
+    """Points within 25 km of a box that is outlined by a thousand edges a side."""
+    p = points(spark, sf_dir)
+    x, y, r = p.agg(F.avg("lon"), F.avg("lat"), F.stddev_pop("lat")).first()
+    corners = [(x - r, y - r / 2), (x + r, y - r / 2), (x + r, y + r / 2), (x - r, y + r / 2), (x - r, y - r / 2)]
+    sides = spark.createDataFrame([(*a, *b) for a, b in zip(corners, corners[1:])], "a0 double, b0 double, a1 double, b1 double")
+    part = lambda c, i: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * (F.col("i") + i) / 1000
+    edges = sides.join(spark.range(1000).withColumnRenamed("id", "i"), how="cross").select(part("a", 0).alias("lon1"), part("b", 0).alias("lat1"), part("a", 1).alias("lon2"), part("b", 1).alias("lat2"))
+    return spatial.region_mask(p, edges, 25.0).select("vec_id", "inside")
+
+
 @query()
 def kmeans(spark, sf_dir):
     """k-means over two coordinates with ids from north to south."""

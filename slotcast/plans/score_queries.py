@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import metrics, panel, profile, tests_stat, validate
+from ..operators import metrics, panel, profile, selection, spatial, tests_stat, validate
 from .grid_queries import PROFILE, slots
 from .registry import SQL, also, day, query, r6, steady, table
 
@@ -79,9 +79,9 @@ def quantile_rows(spark, sf_dir):
         F.col("l_returnflag").alias("model"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"), F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("y"),
     )
-    qs = rows.groupBy("model", F.add_months("month", 1).alias("month")).agg(F.percentile("y", F.array(*[F.lit(t) for t in TAUS])).alias("q"))
-    qs = qs.withColumn("q", F.transform("q", lambda v: F.round(v, 6)))  # the same number whatever the order of the sum
-    return rows.join(qs, ["model", "month"])
+    qs = selection.exact_quantiles(rows, ["model", "month"], "y", TAUS)
+    qs = qs.select("model", F.add_months("month", 1).alias("month"), F.transform("q", lambda v: F.round(v, 6)).alias("q"))  # the same number whatever the order of the sum
+    return rows.join(spatial.small(qs), ["model", "month"])
 
 
 def quantile_panel(spark, sf_dir):

@@ -1,10 +1,11 @@
 """Exact quantiles of groups of any size, by narrowing the range of values round by round.
 
-A round counts a group's values in bins of equal width between the smallest and the
-largest; only the bins that hold a wanted rank go on, each as a range of its own.  A bin
-of one value, or whose edge is the wanted rank, is settled by its count; bins of few
-values are put in order as arrays of a bounded size.  Counts are added up before the
-shuffle, so no task holds a group.
+A round takes borders of about equal counts from a mergeable quantile summary, and counts
+a group's values at and between them; only the parts that hold a wanted rank go on, each
+as a range of its own.  A part of one value, or whose edge is the wanted rank, is settled by
+its count; parts of few values are put in order as arrays of a bounded size.  Summaries
+and counts are merged before the shuffle, so no task holds a group, and a range of n values
+leaves parts of about n / 64 whatever their distribution.
 """
 
 from __future__ import annotations
@@ -17,27 +18,20 @@ from pyspark.sql import functions as F
 from ..sources.shared import stored
 from .spatial import coordinate_gaps, small
 
-BINS = 1024
-#: Values of a bin that are put in order in one task.
+#: Borders of a round.
+BORDERS = 63
+#: Values of a range that are put in order in one task.
 FEW = 4096
-_RANGE = "lo double, hi double, below long, n long"
-
-
-def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Number of the bin between lo and hi; infinities lie beyond all others."""
-    place = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * bins).cast("int")
-    inside = F.when(hi > lo, F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1))).otherwise(F.lit(0))
-    return F.when(v == float("inf"), bins).when(v == float("-inf"), -1).otherwise(inside)
 
 
 def _within(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in one of their group's ranges (which are disjoint), with that range as ``_i``."""
     lists = ranges.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "below", "n")).alias("_ranges"))
-    own = F.element_at(F.filter("_ranges", lambda r: (F.col("_v") >= r["lo"]) & (F.col("_v") <= r["hi"])), 1)
-    return rows.join(small(stored(lists, "ranges")), keys).select(*keys, "_v", F.try_element_at(F.array(own), F.lit(1)).alias("_i")).where("_i is not null")
+    own = F.get(F.filter("_ranges", lambda r: (F.col("_v") >= r["lo"]) & (F.col("_v") <= r["hi"])), F.lit(0))
+    return rows.join(small(stored(lists, "ranges")), keys).select(*keys, "_v", own.alias("_i")).where("_i is not null")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], bins: int = BINS, few: int = FEW) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], borders: int = BORDERS, few: int = FEW) -> DataFrame:
     """(keys, n, q): the quantiles of each group, linear between neighbouring values.
 
     NULL and NaN are skipped; a group without values is no row.  Null keys are a group.
@@ -48,15 +42,27 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     named = [F.struct(F.col(n).alias("v")).alias(k) for n, k in zip(names, keys)] or [F.lit(0).alias(keys[0])]
     v = F.col(value).cast("double")
     rows = df.select(*named, (v + 0.0).alias("_v")).where(v.isNotNull() & ~F.isnan(v))
-    finite = F.when(F.abs("_v") < float("inf"), F.col("_v"))
-    groups = stored(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.min(finite).alias("a"), F.max(finite).alias("b")), "groups")
+    groups = stored(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")), "groups")
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
+    back = [F.col(k)["v"].alias(n) for n, k in zip(names, keys)]
+
+    def quantiles(x) -> Column:
+        between = lambda p: (F.ceil(p) - p) * x(F.floor(p)) + (p - F.floor(p)) * x(F.ceil(p))
+        return F.array(*[F.when(F.floor(p) == F.ceil(p), x(F.floor(p))).otherwise(between(p)) for p in at]).alias("q")
+
+    def in_order(some: DataFrame) -> DataFrame:
+        whole = some.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("_v")).alias("vs"))
+        return whole.select(*back, "n", quantiles(lambda i: F.get("vs", i.cast("int"))))
+
+    large = groups.where(F.col("n") > few)
+    if large.isEmpty():
+        return in_order(rows)
+    # a group that few values make is put in order as it is, the others are narrowed
+    done = in_order(rows.join(small(large.select(*keys)), keys, "left_anti"))
     ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
-    wanted = groups.select(*keys, ranks.alias("ranks"))
-    ranges = groups.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("below"), "n")
-    limits = groups.select(*keys, "a", "b")
+    wanted = large.select(*keys, ranks.alias("ranks"))
+    ranges = large.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("below"), "n")
     found = []
-    first = True
     while True:
         # settled: an edge of a range, or a range of one value; the ranks that are left decide whether a range goes on
         sure = ranges.join(wanted, keys).select(*keys, "lo", "hi", "below", "n", F.explode("ranks").alias("rank")).where("rank >= below and rank < below + n")
@@ -71,23 +77,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
         many = open_.where(F.col("n") > few)
         if many.isEmpty():
             break
-        inside = _within(rows, many, keys)
-        if first:  # infinities would make the first range infinite
-            inside = inside.join(small(limits), keys)
-        lo, hi = (F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))) if first else (F.col("_i.lo"), F.col("_i.hi"))
-        counted = inside.groupBy(*keys, F.col("_i.lo").alias("_lo"), F.col("_i.below").alias("_below"), _bin(F.col("_v"), lo, hi, bins).alias("_bin"))
-        counted = counted.agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        before = Window.partitionBy(*keys, "_lo").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        inside = _within(rows, many, keys).select(*keys, "_v", F.col("_i.lo").alias("_lo"), F.col("_i.below").alias("_below"))
+        shares_of = [i / (borders + 1) for i in range(1, borders + 1)]
+        cuts = inside.groupBy(*keys, "_lo").agg(F.array_distinct(F.percentile_approx("_v", shares_of, 1000)).alias("_cuts"))
+        cut = inside.join(small(stored(cuts, "borders")), [*keys, "_lo"])
+        # even numbers lie between borders, odd ones on a border
+        part = 2 * F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.array_contains("_cuts", F.col("_v")).cast("int")
+        counted = cut.groupBy(*keys, "_lo", "_below", part.alias("_part")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        before = Window.partitionBy(*keys, "_lo").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         below = F.col("_below") + F.coalesce(F.sum("n").over(before), F.lit(0))
-        ranges = stored(counted.select(*keys, "lo", "hi", below.alias("below"), "n"), "bins")
-        first = False
+        ranges = stored(counted.select(*keys, "lo", "hi", below.alias("below"), "n"), "parts")
     values = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "x"))).alias("m"))
-    x = lambda p, f: F.element_at("m", f(p).cast("long"))
-    q = [F.when(F.floor(p) == F.ceil(p), x(p, F.floor)).otherwise((F.ceil(p) - p) * x(p, F.floor) + (p - F.floor(p)) * x(p, F.ceil)) for p in at]
-    back = [F.col(k)["v"].alias(n) for n, k in zip(names, keys)]
-    return groups.join(values, keys).select(*back, "n", F.array(*q).alias("q"))
-
-
-def grid_spacing(points: DataFrame, axis: str) -> DataFrame:
-    """One row: the median gap of the sorted distinct coordinates."""
-    return exact_quantiles(coordinate_gaps(points, axis), [], "gap", [0.5]).select(F.col("q")[0].alias("gap"))
+    return done.unionByName(large.join(values, keys).select(*back, "n", quantiles(lambda i: F.element_at("m", i.cast("long")))))

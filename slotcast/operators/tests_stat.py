@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import CHI2_1_95, TINY
+from ..functions.columns import CHI2_1_95, erfc, TINY
 
 
 def losses(panel: DataFrame, norm: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -77,17 +74,9 @@ def kupiec(hits: DataFrame, by: list[str], nominal: Column) -> DataFrame:
 
 
 def with_p_value(tests: DataFrame) -> DataFrame:
-    """Adds ``p_value`` of the likelihood ratio; 0 where it is NULL.
-
-    The complementary error function is not among Spark's functions; the table of
-    tests is small.
-    """
-
-    @F.pandas_udf("double")
-    def tail(lr: pd.Series) -> pd.Series:
-        return lr.map(lambda x: 0.0 if x is None or math.isnan(x) else math.erfc(math.sqrt(max(x, 0.0) / 2)))
-
-    return tests.withColumn("p_value", tail("lr"))
+    """Adds ``p_value`` of the likelihood ratio: the tail of a squared normal variable; 0 where it is NULL."""
+    tail = erfc(F.sqrt(F.greatest(F.col("lr"), F.lit(0.0)) / 2))  # rounding may leave a ratio just below 0
+    return tests.withColumn("p_value", F.when(F.col("lr").isNull(), 0.0).otherwise(tail))
 
 
 def passed_slots(tests: DataFrame, by: list[str]) -> DataFrame:

@@ -85,15 +85,15 @@ def local_day(df: DataFrame, date: Column, ts: str = "ts") -> DataFrame:
     return df.where(F.to_date(ts) == date)
 
 
-def full_hours(df: DataFrame, ts: str = "ts") -> DataFrame:
-    return df.where(F.minute(ts) == 0)
-
-
 def localise(df: DataFrame, ts: str = "ts", source: str = "UTC") -> DataFrame:
     """A time without zone, meant in ``source``, as an instant."""
     return df.withColumn(ts, F.expr(f"cast(convert_timezone('{source}', current_timezone(), {ts}) as timestamp)"))
 
 
+def wall_clock(df: DataFrame, ts: str = "ts", zone: str = "Europe/Berlin") -> DataFrame:
+    """An instant as the local time of ``zone``, without zone (O33); of the hour that comes twice both stay."""
+    return df.withColumn(ts, F.expr(f"convert_timezone(current_timezone(), '{zone}', cast(cast({ts} as timestamp) as timestamp_ntz))"))
+
 
 def time_slice(df: DataFrame, start: str, end: str, ts: str = "ts", skip: DataFrame | None = None) -> DataFrame:
     """Rows from ``start`` to ``end`` (both included) without the dates in ``skip.date``."""

@@ -202,17 +202,18 @@ def gw_p_values(spark, sf_dir):
     return tests_stat.p_value_matrix(tests, MODELS, ("series",)).select("series", "model_a", *[F.round(m, 5).alias(m) for m in MODELS])
 
 
-_HITS = f"""WITH {PROFILE}, b AS (SELECT series, mtu, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM p WHERE date < DATE '2024-01-16' GROUP BY 1, 2),
-h AS (SELECT p.series AS model, p.mtu + 1 AS mtu, CASE WHEN value BETWEEN lo AND hi THEN 1 ELSE 0 END AS hit FROM p JOIN b ON b.series = p.series AND b.mtu = p.mtu WHERE date >= DATE '2024-01-16'),
+_HITS = f"""WITH {PROFILE}, b AS (SELECT series, mtu, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM p WHERE date < (SELECT min(date) + 15 FROM p) GROUP BY 1, 2),
+h AS (SELECT p.series AS model, p.mtu + 1 AS mtu, CASE WHEN value BETWEEN lo AND hi THEN 1 ELSE 0 END AS hit FROM p JOIN b ON b.series = p.series AND b.mtu = p.mtu WHERE date >= (SELECT min(date) + 15 FROM p)),
 c AS (SELECT model, mtu, count(*) AS n, CAST(sum(hit) AS BIGINT) AS k FROM h GROUP BY 1, 2),
 r AS (SELECT *, CASE WHEN k > 0 AND k < n THEN -2 * ((n - k) * ln((1 - 0.8) / (1 - CAST(k AS DOUBLE) / n)) + k * ln(0.8 / (CAST(k AS DOUBLE) / n))) END AS lr FROM c)"""
 
 
 def slot_hits(spark, sf_dir):
-    """hit of the second half of the month against the first half's 80 % interval, slots 1..96."""
+    """hit of all days after the table's first fifteen against the 80 % interval of those, slots 1..96."""
     p = slots(spark, sf_dir)
-    bounds = p.where("date < date'2024-01-16'").groupBy("series", "mtu").agg(F.percentile("value", 0.1).alias("lo"), F.percentile("value", 0.9).alias("hi"))
-    later = p.where("date >= date'2024-01-16'").join(bounds, ["series", "mtu"])
+    p = p.join(F.broadcast(p.agg(F.date_add(F.min("date"), 15).alias("since"))), how="cross")  # one row
+    bounds = p.where("date < since").groupBy("series", "mtu").agg(F.percentile("value", 0.1).alias("lo"), F.percentile("value", 0.9).alias("hi"))
+    later = p.where("date >= since").join(bounds, ["series", "mtu"])
     return later.select(F.col("series").alias("model"), (F.col("mtu") + 1).alias("mtu"), C.covered("value", "lo", "hi").alias("hit"))
 
 
@@ -222,6 +223,18 @@ def kupiec_by_slot(spark, sf_dir):
     return tests_stat.kupiec(slot_hits(spark, sf_dir), ["model", "mtu"], F.lit(0.8)).select("model", "mtu", "n", "k", (F.round("lr", 6) + 0.0).alias("lr"), "passed")
 
 
+_TERMS = f"list_reverse(range(1, {C.ERFC_TERMS + 1}))"
+_ERFC = f"""CASE WHEN x < {C.ERFC_BORDER} THEN 1 - 2 * exp(-x * x) / 1.772453850905516 * x * list_reduce({_TERMS}, lambda s, n: 1 + s * 2 * x * x / (2 * n + 1), 1.0::DOUBLE)
+  ELSE exp(-x * x) / 1.772453850905516 / list_reduce({_TERMS}, lambda s, n: x + n / 2.0::DOUBLE / s, x) END"""
+
+
+@query(_HITS + f", t AS (SELECT *, sqrt(greatest(lr, 0) / 2) AS x FROM r) SELECT model, CAST(mtu AS INTEGER) AS mtu, n, k, round(coalesce(CASE WHEN lr IS NOT NULL THEN {_ERFC} END, 0.0::DOUBLE), 8) + 0.0::DOUBLE AS p_value FROM t")
+def kupiec_p_values(spark, sf_dir):
+    """The p-value of unconditional coverage by slot."""
+    tests = tests_stat.with_p_value(tests_stat.kupiec(slot_hits(spark, sf_dir), ["model", "mtu"], F.lit(0.8)))
+    return tests.select("model", "mtu", "n", "k", (F.round("p_value", 8) + 0.0).alias("p_value"))
+
+
 @query(_HITS + f" SELECT model, count(*) FILTER (WHERE coalesce(lr <= {C.CHI2_1_95}, false)) AS n_passed, count(*) AS n_slots FROM r GROUP BY 1")
 def kupiec_passed(spark, sf_dir):
     """How many slots pass."""

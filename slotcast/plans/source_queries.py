@@ -23,12 +23,10 @@ def cluster_files(spark, sf_dir):
     root = new_path(spark, "clusters")
     hours = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), (F.col("user_id") % CLUSTERS).cast("int").alias("cluster_id"))
     weeks = hours.agg(F.avg("value").alias("value")).withColumn("week", F.to_date(F.date_trunc("week", "ts")))
-    for (week,) in weeks.select("week").distinct().collect():  # one folder for each run, as the files come
-        path = f"{root}/dwd_icon_daily_{week:%Y%m%d}_03/value_unit_{week:%Y%m%d}03_raw.csv"
-        writers.write_clusters(weeks.where(F.col("week") == week), path, CLUSTERS, {"run": str(week)})
-    rows = readers.clustered_csv(spark, [f"{root}/*/*.csv"], CLUSTERS)
-    rows = rows.withColumn("file_name", F.regexp_extract("file_path", "/([^/]+)/[^/]+$", 1))  # Spark's writer makes a folder of that name
-    rows = readers.select_runs(readers.with_file_attributes(rows), "2023-12-01", 3, ["2024-01-08"], "2024-01-15")
+    stamp = F.date_format("week", "yyyyMMdd")
+    names = [F.format_string("dwd_icon_daily_%s_03", stamp).alias("run"), F.format_string("value_unit_%s03_raw.csv", stamp).alias("file")]
+    writers.write_cluster_runs(weeks.select("ts", "cluster_id", "value", *names), root, CLUSTERS, {"source": "events"})
+    rows = readers.clustered_runs(spark, root, CLUSTERS, "2023-12-01", 3, ["2024-01-08"], "2024-01-15")
     out = rows.groupBy("var", "run_hour", F.col("folder_date").cast("string").alias("folder_date"), F.col("forecast_date").cast("string").alias("forecast_date"), "cluster_id")
     return out.agg(F.count("value").alias("n"), r6(F.sum("value"), "total"))
 
@@ -80,6 +78,15 @@ def local_midnights(spark, sf_dir):
     return timegrid.localise(rows, "ts", "Europe/Berlin").groupBy("date", F.unix_seconds("ts").alias("instant")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS date, CAST(hour(t) AS INTEGER) AS hour, count(*) AS n FROM (SELECT timezone('Europe/Berlin', timezone('UTC', o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)))) AS t FROM orders) GROUP BY 1, 2""")
+def local_hours(spark, sf_dir):
+    """Instants by the local clock: a day has 23 to 25 hours."""
+    hour = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 24).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.expr("cast(o_orderdate as timestamp_ntz)").alias("ts"), hour.alias("h"))
+    rows = timegrid.localise(rows.select((F.col("ts") + F.col("h")).alias("ts")), "ts", "UTC")
+    return timegrid.wall_clock(rows).groupBy(F.to_date("ts").cast("string").alias("date"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, min(CAST({c} AS VARCHAR)) AS low FROM orders" for c in ("o_orderstatus", "o_orderpriority")))
 def text_columns(spark, sf_dir):
     """The columns that are no numbers, by the schema, and what they hold."""

@@ -7,19 +7,20 @@ those with the right first word are compared word by word.
 
 The tables are sent to the tasks in shards of about ``max_patterns`` pairs of a test
 string and an item that holds it, so what is broadcast has a bound however many items
-share a string; a larger benchmark is searched shard by shard, and each pass is written
-to the shared folder.
+share a string.  A larger benchmark is searched shard by shard: the texts are written once,
+with a number for each row, and a pass writes only the numbers and places of its hits.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, beside, stored
 
 WIDTH = 13
 MAX_PATTERNS = 200_000
@@ -141,25 +142,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     shards = max(1, -(-listed.count() // max_patterns))
     listed = listed.groupBy(F.expr(f"pmod(xxhash64(pattern, item_id), {shards})").alias("shard"), "pattern").agg(F.collect_set("item_id").alias("items"))
     docs = docs.drop("found")
-    for shard in range(shards):
+
+    def tables(shard: int):
         rows = listed.where(F.col("shard") == shard).select("pattern", "items").collect()
-        tables = spark.sparkContext.broadcast(WuManber([(r["pattern"].encode(), r["items"]) for r in rows]))
-        more = _search(tables)
-        if shards == 1:
-            docs = docs.withColumn("found", more)
-            continue
-        docs = docs.withColumn("more", more)
-        if shard:
-            both = [F.concat(f"found.{c}", f"more.{c}").alias(c) for c in ("starts", "ends")]
-            items = F.array_union("found.items", "more.items").alias("items")
-            docs = docs.withColumn("found", F.struct(F.col("found.n_words").alias("n_words"), *both, items))
-        else:
-            docs = docs.withColumn("found", F.col("more"))
-        docs = stored(docs.drop("more"), "searched")
-    spans = F.array_sort(F.arrays_zip("found.starts", "found.ends"))
-    return docs.withColumn(
-        "found", F.struct(F.col("found.n_words").alias("n_words"), spans.alias("hits"), F.array_sort("found.items").alias("items"))
-    )
+        return spark.sparkContext.broadcast(WuManber([(r["pattern"].encode(), r["items"]) for r in rows]))
+
+    if shards == 1:
+        docs = docs.withColumn("found", _search(tables(0)))
+        spans = F.array_sort(F.arrays_zip("found.starts", "found.ends"))
+        return docs.withColumn("found", F.struct(F.col("found.n_words").alias("n_words"), spans.alias("hits"), F.array_sort("found.items").alias("items")))
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    hits = []
+    for shard in range(shards):
+        sent = tables(shard)
+        found = docs.select("_row", _search(sent).alias("f")).select("_row", "f.*")
+        hits.append(stored(found if shard == 0 else found.where(F.size("starts") > 0), "hits"))  # the first pass counts the words of all
+        sent.unpersist()
+    spans = F.arrays_zip("starts", "ends")
+    more = reduce(DataFrame.unionByName, hits).groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(spans)).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    more = more.select("_row", F.struct("n_words", F.array_sort("hits").alias("hits"), F.array_sort(F.array_distinct("items")).alias("items")).alias("found"))
+    return docs.join(beside(stored(more, "places")), "_row").drop("_row")
 
 
 def hit_words(hits: str = "found.hits") -> Column:

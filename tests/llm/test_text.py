@@ -219,3 +219,17 @@ def test_held_out_rule(spark):
 
     rows = spark.range(200).select(F.col("id"), language_id.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_texts_are_written_once_whatever_the_shards(spark, monkeypatch):
+    """Three shards and more: one table holds texts, the passes hold places of hits."""
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(13))) for i in range(30)], "item_id long, text string")
+    rows = [(i, f"before {' '.join(f'w{i % 40}x{j}' for j in range(13))} after") for i in range(80)] + [(3, None), (3, "")]
+    table = docs(spark, rows)
+    written = []
+    plain = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: written.append((name, "text" in df.columns)) or plain(df, name))
+    got = {(r["doc_id"], r["text"]): r for r in decontaminate.contamination(table, bench, max_patterns=10).collect()}
+    assert sum(texts for _, texts in written) == 1 and sum(name == "hits" for name, _ in written) == 3
+    one = {(r["doc_id"], r["text"]): r for r in decontaminate.contamination(table, bench).collect()}
+    assert got == one and sum(r["contaminated"] for r in got.values()) == 60 and len(got) == 82

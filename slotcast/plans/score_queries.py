@@ -84,12 +84,6 @@ def quantile_rows(spark, sf_dir):
     return rows.join(spatial.small(qs), ["model", "month"])
 
 
-def quantile_panel(spark, sf_dir):
-    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in TAUS]).alias("tau"), F.col("q")))
-    rows = quantile_rows(spark, sf_dir).select("model", "date", F.col("id").alias("ts"), F.col("y").alias("y_true"), pairs.alias("p"))
-    return rows.select("model", "date", "ts", "y_true", "p.tau", "p.q")
-
-
 @query(f"""WITH {QUANTILES}, s AS (SELECT model, date, id, any_value(y) AS y, any_value(q) AS q, avg({PINBALL}) AS aps FROM u GROUP BY 1, 2, 3),
 d AS (SELECT model, CAST(date AS VARCHAR) AS period, avg(abs(y - q[3])) AS mae_median, avg(CASE WHEN y BETWEEN q[2] AND q[4] THEN 1 ELSE 0 END) AS coverage_inner,
   avg(CASE WHEN y BETWEEN q[1] AND q[5] THEN 1 ELSE 0 END) AS coverage_outer, avg(aps) AS aps FROM s GROUP BY 1, 2),
@@ -116,8 +110,10 @@ def interval_scores(spark, sf_dir):
 @query(f"WITH {QUANTILES} SELECT model, tau, count(*) AS n, round(avg({PINBALL}), 4) AS pinball FROM u GROUP BY 1, 2")
 def pinball_by_level(spark, sf_dir):
     """Mean pinball loss by level."""
-    rows = quantile_panel(spark, sf_dir)
-    return rows.groupBy("model", "tau").agg(F.count("*").alias("n"), F.round(F.avg(C.pinball("y_true", "q", "tau")), 4).alias("pinball"))
+    losses = [F.avg(C.pinball("y", F.element_at("q", i + 1), t)) for i, t in enumerate(TAUS)]
+    each = F.array(*[F.struct(F.lit(t).alias("tau"), F.round(x, 4).alias("pinball")) for t, x in zip(TAUS, losses)])
+    out = quantile_rows(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n"), each.alias("levels"))
+    return out.select("model", "n", F.inline("levels"))
 
 
 @query(f"WITH {QUANTILES} SELECT model, CAST(date AS VARCHAR) AS date, round(avg({PINBALL}), 8) AS aps FROM u GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from ..operators import timegrid, validate
 from ..sources import readers, writers
 from ..sources.shared import new_path
 from .model_queries import points
-from .registry import query, r6, table
+from .registry import query, r6, steady, table
 
 CLUSTERS = 4
 
@@ -78,6 +78,28 @@ def local_midnights(spark, sf_dir):
     return timegrid.localise(rows, "ts", "Europe/Berlin").groupBy("date", F.unix_seconds("ts").alias("instant")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH r AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS var, CAST(o_custkey % 3 AS INTEGER) AS cluster_id, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3),
+u AS (SELECT *, 0 AS rank FROM r WHERE year(date) % 2 = 0 UNION ALL SELECT date, var, cluster_id, value / 2, 1 FROM r)
+SELECT CAST(date AS VARCHAR) AS date, var, cluster_id, round(min_by(value, rank) + 1e-7, 4) AS value FROM u GROUP BY 1, 2, 3""")
+def yearly_union(spark, sf_dir):
+    """Two sources of the same series, the first with gaps of whole years: a value of the first where it has one."""
+    by = [F.to_date("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("var"), (F.col("o_custkey") % 3).cast("int").alias("cluster_id")]
+    rows = table(spark, sf_dir, "orders").groupBy(*by).agg(F.sum("o_totalprice").alias("value"))
+    first = rows.where(F.year("ts") % 2 == 0).withColumn("rank", F.lit(0))
+    out = readers.yearly_union(first.unionByName(rows.withColumn("value", F.col("value") / 2).withColumn("rank", F.lit(1))), "rank")
+    return out.select(F.col("ts").cast("string").alias("date"), "var", "cluster_id", steady(F.col("value"), "value"))
+
+
+@query("""WITH d AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders), k AS (SELECT CAST(unnest(generate_series(a + 56, b, INTERVAL 1 DAY)) AS DATE) AS date FROM d)
+SELECT CAST(k.date AS VARCHAR) AS date, count(o_orderkey) AS n FROM k LEFT JOIN orders ON CAST(o_orderdate AS DATE) = k.date GROUP BY 1""")
+def forecast_day_list(spark, sf_dir):
+    """Every calendar day from the first with a whole window on, with or without orders."""
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"))
+    first, last = orders.agg(F.date_add(F.min("date"), 56).cast("string"), F.max("date").cast("string")).first()
+    days = timegrid.day_list(spark, first, last)
+    return days.join(orders.withColumn("one", F.lit(1)), "date", "left").groupBy(F.col("date").cast("string").alias("date")).agg(F.count("one").alias("n"))
+
+
 @query("""SELECT CAST(CAST(t AS DATE) AS VARCHAR) AS date, CAST(hour(t) AS INTEGER) AS hour, count(*) AS n FROM (SELECT timezone('Europe/Berlin', timezone('UTC', o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)))) AS t FROM orders) GROUP BY 1, 2""")
 def local_hours(spark, sf_dir):
     """Instants by the local clock: a day has 23 to 25 hours."""

@@ -24,8 +24,24 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder in the shared one; all that is in it is removed when the application ends."""
+    path = f"{shared_folder(spark)}/slotcast-{spark.sparkContext.applicationId}"
+    if path not in _made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _made.add(path)
+    return path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, for a table that lives as long as the application."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +53,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

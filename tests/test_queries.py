@@ -33,7 +33,7 @@ def test_equals_sql(spark, sf, sql, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"lasso_contributions"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 

@@ -26,14 +26,14 @@ def sql(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(n for n in SQL if QUERIES[n].__name__ == n))  # second names are the same function
 def test_equals_sql(spark, sf, sql, name):
     got, want = QUERIES[name](spark, sf).toPandas(), sql.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"lasso_forecast", "quantile_forecast"}))  # those two run below
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 

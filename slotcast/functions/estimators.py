@@ -17,12 +17,14 @@ def lasso_path(gram: np.ndarray, cross: np.ndarray, floor: float = 0.0, most: in
     ``gram`` and ``cross`` are x'x and x'y of centred columns.  Between two knots the
     coefficients are linear in the penalty.  Features enter when their correlation
     with the residual reaches the penalty and leave when their coefficient meets zero;
-    the inverse of the active block is updated, not solved anew.
+    the inverse of the active block is updated, not solved anew.  A path ends after
+    ``most`` knots; a penalty below the last is served by its coefficients.
     """
     p = len(cross)
     beta, corr = np.zeros(p), cross.astype(float).copy()
     size = np.maximum(np.diag(gram), 0.0)
-    out = size <= 1e-12 * max(1.0, float(size.max(initial=0.0)))  # never enter
+    flat = size <= 1e-12 * max(1.0, float(size.max(initial=0.0)))  # never enter
+    out = flat.copy()  # nor do those that the active ones span, until one of these leaves
     level = float(np.abs(np.where(out, 0.0, corr)).max(initial=0.0))
     knots, coefs = [level], [beta.copy()]
     active: list[int] = []
@@ -40,7 +42,7 @@ def lasso_path(gram: np.ndarray, cross: np.ndarray, floor: float = 0.0, most: in
             v = inverse @ b
             rest = gram[j, j] - b @ v
             if rest <= 1e-9 * size[j]:
-                out[j] = True  # a copy of what is active
+                out[j] = True
                 continue
             k = len(active)
             grown = np.empty((k + 1, k + 1))
@@ -71,6 +73,7 @@ def lasso_path(gram: np.ndarray, cross: np.ndarray, floor: float = 0.0, most: in
             k = int(drops.argmin())
             left = active.pop(k)
             beta[left] = 0.0
+            out = flat.copy()
             q, r = np.delete(inverse[:, k], k), inverse[k, k]
             inverse = np.delete(np.delete(inverse, k, 0), k, 1) - np.outer(q, q) / r
         knots.append(level)

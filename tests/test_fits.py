@@ -90,3 +90,18 @@ def test_quantile_forecast_edges(spark):
     days = df.select(F.col("date").alias("day")).where("day in ('2026-01-02', '2026-01-20')").distinct()
     got = {(r["day"].day, r["mtu"]): r["q"] for r in forecast.rolling_quantile_forecast(df, days, [0.9, 0.1], 14).collect()}
     assert got[2, 0] is None and got[2, 1] is None and got[20, 1] is None and got[20, 0][0] > got[20, 0][1]
+
+
+def test_spanned_features_may_enter_again():
+    """Few rows, flags that add up and lags: what the active features span is kept out only until one of them leaves."""
+    from slotcast.functions.estimators import lasso_cv
+
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(12, 26))
+        flags = np.eye(7)[np.arange(n) % 7]
+        x = np.column_stack([flags, flags[:, :2].sum(axis=1), rng.normal(size=(n, 15)).round(1), rng.integers(0, 2, (n, 2))])
+        y = rng.normal(size=(n, 2)).cumsum(axis=0)
+        fit = lasso_cv(x, y, n_alphas=60)
+        slope = (x - x.mean(0)).T @ (y - fit["intercept"] - x @ fit["coef"]) / n
+        assert (np.abs(slope) <= fit["alpha"] * (1 + 1e-8) + 1e-10).all()

@@ -1,6 +1,6 @@
-"""Two small estimators in NumPy, run inside grouped Spark jobs.
+"""Small estimators in NumPy, run inside grouped Spark jobs.
 
-One sparse linear model for many targets at once, and one smoothed quantile regression
+One sparse linear model for many targets at once (from rows, or from sums of products), and one smoothed quantile regression
 for many levels at once.  Each solves one group's small problem; Spark deals the groups.
 """
 
@@ -127,6 +127,51 @@ def lasso_cv(x: np.ndarray, y: np.ndarray, folds: int = 5, n_alphas: int = 100,
     return {"alpha": alpha, "intercept": y_mean - x_mean @ coef, "coef": coef}
 
 
+def lasso_cv_of_sums(sums: np.ndarray, scale: np.ndarray, shift: np.ndarray, n_alphas: int = 100, eps: float = 1e-3) -> dict:
+    """:func:`lasso_cv` of the features ``scale * x + shift`` from sums of products alone.
+
+    ``sums`` is (folds, 1 + p, 1 + p + targets): for each contiguous fold of rows the sums
+    of (1, x) times (1, x, y).  Centred products don't see a shift, so the scale of a
+    window meets its matrix as a factor of rows and columns.  What a penalty costs on held
+    rows is a quadratic form of its coefficients, up to a number that all penalties share.
+    """
+    p = len(scale)
+    both = np.outer(scale, scale)
+
+    def centred(part: np.ndarray, x_mean: np.ndarray, y_mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of products of a part's rows around given means, in the scaled features."""
+        n, x_sum, y_sum = part[0, 0], part[0, 1 : p + 1], part[0, p + 1 :]
+        gram = part[1:, 1 : p + 1] - np.outer(x_mean, x_sum) - np.outer(x_sum, x_mean) + n * np.outer(x_mean, x_mean)
+        cross = part[1:, p + 1 :] - np.outer(x_mean, y_sum) - np.outer(x_sum, y_mean) + n * np.outer(x_mean, y_mean)
+        return gram * both, cross * scale[:, None]
+
+    def means(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return part[0, 1 : p + 1] / part[0, 0], part[0, p + 1 :] / part[0, 0]
+
+    whole = sums.sum(axis=0)
+    n = whole[0, 0]
+    x_mean, y_mean = means(whole)
+    gram, cross = (m / n for m in centred(whole, x_mean, y_mean))
+    grid = np.maximum(np.abs(cross).max(axis=0, initial=0.0), 1e-12)[:, None] * np.geomspace(1.0, eps, n_alphas)
+    errors = np.zeros((len(y_mean), n_alphas))
+    for i, held in enumerate(sums):
+        train = np.delete(sums, i, axis=0).sum(axis=0)
+        if train[0, 0] < 1:
+            continue
+        at = means(train)
+        own = [m / train[0, 0] for m in centred(train, *at)]
+        held_gram, held_cross = centred(held, *at)
+        for k in range(len(y_mean)):
+            b = _at(grid[k], *lasso_path(own[0], own[1][:, k], float(grid[k, -1])))
+            errors[k] += ((b @ held_gram) * b).sum(axis=1) - 2 * b @ held_cross[:, k]
+    alpha = grid[np.arange(len(grid)), errors.argmin(axis=1)]
+    coef = np.empty((p, len(y_mean)))
+    for k in range(len(y_mean)):
+        coef[:, k] = _at(alpha[k : k + 1], *lasso_path(gram, cross[:, k], float(alpha[k]) * (1 - 1e-9)))[0]
+    coef[np.abs(coef) < 1e-12 * (1 + np.abs(coef).max(initial=0.0))] = 0.0
+    return {"alpha": alpha, "intercept": y_mean - (scale * x_mean + shift) @ coef, "coef": coef}
+
+
 def _rise(z: np.ndarray) -> np.ndarray:
     """Distribution function of the logistic kernel."""
     return 0.5 * (1.0 + np.tanh(0.5 * z))

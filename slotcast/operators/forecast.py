@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import inverse_vst, vst
 from ..functions.estimators import lasso_cv
 from ..sources.shared import stored
+from .moments import rolling_fit_of_sums
 from .panel import rolling_window
 from .quantile_fit import smooth_quantile_fits
 from .scaling import fold_params, rolling_robust_params, scale_fold, scale_fold_anc
@@ -191,10 +192,23 @@ def degenerate_columns(features: DataFrame, days: DataFrame, train_days: int) ->
     return params.groupBy("day").agg(F.count("*").alias("n_degenerate"), F.array_sort(F.collect_list("feature")).alias("degenerate_cols"))
 
 
+def contribution_fits(features: DataFrame, target: DataFrame, days: DataFrame, train_days: int, block: int = 12, n_alphas: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The fits of contribution models by (day, mtu), and the forecast days' scaled features.
+
+    Windows without gaps are fitted from sums of products, so none of their rows is
+    shipped; the others from their rows.
+    """
+    params = fold_params(days, features, train_days)
+    test = days.join(features, F.col("day") == F.col("date"))
+    own = scale_fold_anc(test, params, ["day"]).select("day", "date", "feature", "value")
+    fits, rest = rolling_fit_of_sums(features, target, days, params, own, train_days, 2 * block, 5, n_alphas)
+    x, y, _ = contribution_inputs(features, target, stored(rest, "days-with-gaps"), train_days)
+    return fits.unionByName(rolling_fit(x, y, block, 5, n_alphas).select(*fits.columns)), own
+
+
 def rolling_contributions(features: DataFrame, target: DataFrame, days: DataFrame, train_days: int, block: int = 12, n_alphas: int = 100) -> DataFrame:
     """day, mtu, feature, feature_value, beta, contribution of fits without transform."""
-    x, y, own = contribution_inputs(features, target, days, train_days)
-    fits = rolling_fit(x, y, block, 5, n_alphas)
+    fits, own = contribution_fits(features, target, days, train_days, block, n_alphas)
     at = own.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("x"))
     pairs = fits.select("day", "mtu", F.explode(F.arrays_zip("positions", "values")).alias("p")).join(at, "day")
     one = F.element_at("x", F.col("p.positions") + 1)

@@ -389,10 +389,10 @@ _CERTIFIED = """SELECT CAST(day AS VARCHAR) AS day, mtu, max(n) AS n, count(*) A
 FROM (SELECT day, mtu, feature, count(*) AS n, avg(value * y) - avg(value) * avg(y) AS c0 FROM sx JOIN sy USING (day, date) GROUP BY day, mtu, feature) GROUP BY day, mtu"""
 
 
-def certified(x, y):
-    """Every fit with its facts and whether it is optimal to 1e-8 of the largest penalty, as sums over its rows say."""
+def certified(x, y, fits=None):
+    """Every fit (by default those from these rows) with its facts and whether it is optimal to 1e-8 of the largest penalty, as sums over its rows say."""
     x, y = stored(x, "fold-features"), stored(y, "fold-targets")
-    found = forecast.fit_certificates(x, y, stored(forecast.rolling_fit(x, y), "fits"))
+    found = forecast.fit_certificates(x, y, stored(fits or forecast.rolling_fit(x, y), "fits"))
     small = {"active_hold": "active_gap", "idle_hold": "idle_excess", "centred": "mean_gap", "predicted": "forecast_gap"}
     holds = [(F.col(gap) <= 1e-8 * (1 + F.col("alpha_max"))).alias(name) for name, gap in small.items()]
     return found.select(day("day"), "mtu", "n", "n_features", F.round("alpha_max", 4).alias("alpha_max"), *holds, (F.col("grid_gap") <= 1e-6).alias("on_grid"))
@@ -416,7 +416,8 @@ sy AS (SELECT day, date, mtu, value AS y FROM past) {_CERTIFIED}""")
 def contribution_certificates(spark, sf_dir):
     """The same for the fits behind :func:`lasso_contributions`."""
     x, target, days = rolling_inputs(spark, sf_dir)
-    return certified(*forecast.contribution_inputs(x, target, days, 56)[:2])
+    fits, _ = forecast.contribution_fits(x, target, days, 56)
+    return certified(*forecast.contribution_inputs(x, target, days, 56)[:2], fits)
 
 
 @query(f"""WITH d AS (SELECT l_returnflag AS feature, CAST(l_shipdate AS DATE) AS date, avg(l_discount * 500 - 5) AS value FROM lineitem GROUP BY 1, 2), k AS (SELECT DISTINCT date FROM d),

@@ -105,3 +105,64 @@ def test_spanned_features_may_enter_again():
         fit = lasso_cv(x, y, n_alphas=60)
         slope = (x - x.mean(0)).T @ (y - fit["intercept"] - x @ fit["coef"]) / n
         assert (np.abs(slope) <= fit["alpha"] * (1 + 1e-8) + 1e-10).all()
+
+
+def contribution_rows(n=40, p=6, slots=3, seed=4):
+    """Rows of features and targets by date, some with gaps; one feature far from 0, one flat, one lacking for a while."""
+    rng = np.random.default_rng(seed)
+    first = dt.date(2026, 1, 1)
+    x, y = [], []
+    for i in range(n):
+        date = first + dt.timedelta(i)
+        v = rng.normal(size=p)
+        for j in range(p):
+            value = float(1e6 + v[j]) if j == 1 else 3.0 if j == 2 else float(v[j])
+            if (i, j) != (9, 3):
+                x.append((date, "calendar" if j == 4 else "price", f"f{j}", value))
+        y += [(date, m, float(2 * v[0] - v[1] + m * v[5] + rng.normal() * 0.1)) for m in range(slots) if (i, m) != (20, 1)]
+    return x, y
+
+
+@pytest.mark.parametrize(("train", "block", "p"), [(9, 12, 6), (9, 1, 14), (1, 12, 6)])
+def test_fits_of_sums_equal_fits_of_rows(spark, train, block, p):
+    x, y = contribution_rows(p=p)
+    features = spark.createDataFrame(x, "date date, family string, feature string, value double").repartition(3)
+    target = spark.createDataFrame(y, "date date, mtu int, value double").repartition(3)
+    days = features.select(F.col("date").alias("day")).distinct()
+    rows_x, rows_y, _ = forecast.contribution_inputs(features, target, days, train)
+    want = {(r["day"], r["mtu"]): r for r in forecast.rolling_fit(rows_x, rows_y, block, 5, 50).collect()}
+    fits, _ = forecast.contribution_fits(features, target, days, train, block, 50)
+    got = {(r["day"], r["mtu"]): r for r in fits.collect()}
+    assert set(got) == set(want) and (train == 1 or len(got) > 60)
+    for at, r in got.items():
+        assert r["positions"] == want[at]["positions"] and r["values"] == pytest.approx(want[at]["values"], rel=1e-7, abs=1e-9)
+        assert r["y_hat"] == pytest.approx(want[at]["y_hat"], abs=1e-8) and r["alpha"] == pytest.approx(want[at]["alpha"], rel=1e-8)
+
+
+def test_days_left_to_the_fits_of_rows(spark):
+    """A date that misses a feature or a target sends just the days that look back on it to their rows."""
+    from slotcast.operators import moments, scaling
+
+    x, y = contribution_rows()
+    y.append((x[0][0] + dt.timedelta(30), 0, float("nan")))  # twice, and not finite
+    features = spark.createDataFrame(x, "date date, family string, feature string, value double")
+    target = spark.createDataFrame(y, "date date, mtu int, value double")
+    days = features.select(F.col("date").alias("day")).distinct()
+    params = scaling.fold_params(days, features, 5)
+    own = scaling.scale_fold_anc(days.join(features, F.col("day") == F.col("date")), params, ["day"])
+    fits, rest = moments.rolling_fit_of_sums(features, target, days, params, own, 5)
+    gaps = {d for g in (9, 20, 30) for d in range(g + 1, g + 6)} | set(range(5))
+    assert {(r["day"] - x[0][0]).days for r in rest.collect()} == gaps
+    assert {(r["day"] - x[0][0]).days for r in fits.select("day").collect()} == set(range(40)) - gaps - {9}  # no forecast without all features
+    assert moments.rolling_fit_of_sums(features.limit(0), target, days, params, own, 5)[0].count() == 0
+
+
+def test_no_row_of_a_whole_window_reaches_python(spark):
+    from slotcast.operators import moments
+
+    x, y = contribution_rows()
+    features = spark.createDataFrame(x, "date date, family string, feature string, value double")
+    w, _ = moments.complete_dates(features, spark.createDataFrame(y, "date date, mtu int, value double"))
+    days = w.select(F.date_add("date", 1).alias("day"))
+    plan = moments.fold_sums(w, days, 5, 5)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and plan.split("== Physical Plan ==")[1].count("Window ") <= 2

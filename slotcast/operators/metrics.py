@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import covered, is_finite, pinball
+from .panel import pivot_models
 
 
 def point_metrics(panel: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,6 +25,21 @@ def _errors() -> list[Column]:
     ]
 
 
+def daily_skill(panel: DataFrame, models: list[str], reference: str, keys: list[str]) -> DataFrame:
+    """(keys, date, model): metrics of a day, ``relative_mae`` to the reference model's day, ``n_common`` slots that all models forecast.
+
+    Read from a panel that :func:`~slotcast.sources.shared.stored_by` keeps in buckets of (date, keys),
+    every sum, the models side by side and their join stay in the buckets.  The relative
+    error is NULL where the reference has none, or none but 0; ``n_common`` is NULL where a key is.
+    """
+    day = ["date", *keys]
+    scores = point_metrics(panel, [*day, "model"])
+    wide = pivot_models(panel, models, [*day, "mtu"])
+    common = wide.groupBy(*day).agg(F.count_if(F.coalesce(reduce(lambda a, b: a & b, [is_finite(m) for m in models]), F.lit(False))).alias("n_common"))
+    own = F.max(F.when(F.col("model") == reference, F.col("mae"))).over(Window.partitionBy(*day))
+    return scores.join(common, day, "left").withColumn("relative_mae", F.col("mae") / F.nullif(own, F.lit(0.0)))
+
+
 def metrics_by_period(panel: DataFrame, keys: list[str], period: str) -> DataFrame:
     """One row ``full`` and one for each period, by grouping sets."""
     rows = panel.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in [*keys, period]]], *keys, period)

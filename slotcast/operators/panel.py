@@ -37,10 +37,10 @@ def join_variables(df: DataFrame, time: str, names: list[str], how: str = "inner
 
 
 def pivot_models(panel: DataFrame, models: list[str], keys: list[str], value: str = "y_pred") -> DataFrame:
-    """One column for each model, full outer by the keys, with the first truth found."""
-    wide = panel.groupBy(*keys).pivot("model", models).agg(F.first(value))
-    truth = panel.groupBy(*keys).agg(F.min_by("y_true", F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model"))).alias("y_true"))
-    return wide.join(truth, keys)
+    """One column for each model, full outer by the keys, with the first truth found (O52), in one aggregate."""
+    of_model = [F.first(F.when(F.col("model") == m, F.col(value)), ignorenulls=True).alias(m) for m in models]
+    truth = F.min_by("y_true", F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model"))).alias("y_true")
+    return panel.groupBy(*keys).agg(*of_model, truth)
 
 
 def rolling_window(days: DataFrame, history: DataFrame, n: int, absolute: bool = False, date: str = "date") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import metrics, panel, profile, selection, spatial, tests_stat, validate
+from ..sources.shared import stored_by
 from .grid_queries import PROFILE, slots
 from .registry import SQL, also, day, query, r6, steady, table
 
@@ -286,6 +287,16 @@ def model_panel(spark, sf_dir):
     return panel.pivot_models(naive_panel(spark, sf_dir), MODELS, ["date", "series", "mtu"]).select(day(), "series", "mtu", r6("naive_d1"), r6("naive_d7"), steady(F.col("slot_mean"), "slot_mean", 6), r6("y_true"))
 
 
+@query(f"""WITH {PANEL}, s AS (SELECT CAST(date AS VARCHAR) AS date, series, model, avg(abs(y_pred - y_true)) AS e, {METRICS.replace(', 6)', ' + 1e-7, 4)')} FROM panel GROUP BY 1, 2, 3),
+a AS (SELECT date, series, mtu, count(DISTINCT model) FILTER (WHERE y_pred IS NOT NULL) AS n FROM panel GROUP BY 1, 2, 3), c AS (SELECT CAST(date AS VARCHAR) AS date, series, count(*) FILTER (WHERE n = 3) AS n_common FROM a GROUP BY 1, 2)
+SELECT date, series, model, mae, rmse, bias, n_obs, n_inf_nan, n_common, round(e / nullif(max(e) FILTER (WHERE model = 'naive_d7') OVER (PARTITION BY date, series), 0) + 1e-7, 4) AS relative_mae FROM s JOIN c USING (date, series)""")
+def daily_skill(spark, sf_dir):
+    """Every model's day against the weekly naive forecast, from a panel that is kept in buckets."""
+    kept = stored_by(naive_panel(spark, sf_dir), "panel", ["date", "series"])
+    out = metrics.daily_skill(kept, MODELS, "naive_d7", ["series"])
+    return out.select(day(), "series", "model", *[steady(F.col(c), c) for c in (*ROUNDED, "relative_mae")], "n_obs", "n_inf_nan", "n_common")
+
+
 @query(f"""WITH {QUANTILES} SELECT id, round(q[1], 4) AS q01, round(q[3], 4) AS q05, CASE model WHEN 'A' THEN 'Accepted' WHEN 'R' THEN 'Returned' ELSE model END AS label FROM j""")
 def model_view(spark, sf_dir):
     """A wide panel's columns of one model under plain names, with labels."""

@@ -54,3 +54,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` written once in buckets of ``keys`` to the shared folder, and read again.
+
+    Sums by ``keys`` (or by these and further columns) and joins of two such tables with as
+    many buckets read it in place, without a shuffle, however many queries do.  ``buckets``
+    is by default the session's number of shuffle partitions.  Rows are dealt before they are
+    written, so each bucket is one file.  A key that holds much of the table fills one bucket:
+    take keys that are finer than it.  The table is removed when the application ends.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotcast.functions.columns import erfc
-from slotcast.operators import panel, scaling, selection, spatial, timegrid
-from slotcast.sources import readers, writers
+from slotcast.operators import metrics, panel, scaling, selection, spatial, timegrid
+from slotcast.sources import readers, shared, writers
 
 SHARES = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
@@ -161,3 +161,30 @@ def test_files_of_other_runs_are_not_opened(spark, tmp_path):
     assert [r["value"] for r in rows.collect()] == [1.25]
     with pytest.raises(Exception, match="(?i)header|schema"):
         readers.clustered_csv(spark, str(tmp_path), 1).collect()
+
+
+def test_scores_read_a_bucketed_panel_in_place(spark):
+    """No shuffle after the scan: not for a day's scores, the models side by side, nor their join; NULL keys and hot dates included."""
+    first = dt.date(2026, 1, 1)
+    rows = [(m, None if i == 3 else first + dt.timedelta(i), s, k, float(i + k + len(m)) if (m, i) != ("b", 2) else None, float(i)) for m in ("a", "bb") for i in range(6) for s in ("x", "y") for k in range(4)]
+    rows += [("a", first, "x", 100 + k, 1.0, 0.0) for k in range(200)]
+    df = spark.createDataFrame(rows, "model string, date date, series string, mtu int, y_pred double, y_true double")
+    kept = shared.stored_by(df, "kept-panel", ["date", "series"], 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = metrics.daily_skill(kept, ["a", "bb"], "a", ["series"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        say = lambda d: sorted(map(str, d.collect()))
+        assert say(out) == say(metrics.daily_skill(df, ["a", "bb"], "a", ["series"])) and len(say(out)) == 24
+        assert {(r["date"] is None, r["n_common"]) for r in out.collect()} == {(True, None), (False, 4)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    empty = shared.stored_by(df.limit(0), "empty-panel", ["date"], 2)
+    assert empty.count() == 0 and empty.columns == df.columns
+
+
+def test_models_side_by_side_in_one_aggregate(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 5.0), ("b", 1, 3.0, 6.0), ("b", 2, None, 7.0), ("c", 3, 1.0, 8.0)], "model string, k int, y_pred double, y_true double")
+    got = {r["k"]: (r["a"], r["b"], r["y_true"]) for r in panel.pivot_models(df, ["a", "b"], ["k"]).collect()}
+    assert got == {1: (2.0, 3.0, 5.0), 2: (None, None, 7.0), 3: (None, None, 8.0)}

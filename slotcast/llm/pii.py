@@ -392,8 +392,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` masked and ``n_chars`` counted anew; see :func:`find_spans` for the other cases."""
-    columns = docs.columns
-    found = find_spans(docs).withColumn("text", masked(F.col("text"), F.col("spans")))
-    changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", changed).select(*columns)
+    """``docs`` with personal data in ``text`` masked and ``n_chars`` counted anew where it was; see :func:`find_spans` for the other cases.
+
+    All other columns pass through, whatever their names.
+    """
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    found = find_spans(docs.select("text", others)).withColumn("masked", masked(F.col("text"), F.col("spans")))
+    own = {"text": F.col("masked"), "n_chars": F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("row")["n_chars"])}
+    return found.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

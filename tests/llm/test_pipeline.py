@@ -1,5 +1,5 @@
 import corpus_pipeline
-from helpers import docs
+from helpers import awkward, clashing, docs
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -59,3 +59,47 @@ def test_differing_texts_of_one_id_stay(spark):
     rows = docs(spark, [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, "alpha beta gamma delta epsilon zeta"), (None, "x"), (3, None), (4, "")])
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dup.drop_near_duplicates(rows).collect())
     assert kept == [(0, "x"), (1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (3, "")]
+
+
+def awkward_documents(spark):
+    """The awkward rows and some with personal data and benchmark passages, with columns of clashing names."""
+    told = [(20, "write to ann@example.org now", "en", "s"), (20, "write to ann@example.org now", "en", "s"), (21, PASSAGE, None, None), (21, PASSAGE, None, None), (None, PASSAGE, "en", "s")]
+    return clashing(awkward(spark).unionByName(docs(spark, told)))
+
+
+PASSAGE = " ".join(f"Item{i}" for i in range(14))
+
+
+def said(df, *columns):
+    return sorted(str(tuple(r)) for r in df.select(*columns).collect())
+
+
+def test_awkward_rows_of_the_decontamination_stage(spark, tmp_path):
+    rows = awkward_documents(spark)
+    spark.createDataFrame([("a", PASSAGE.lower()), ("b", None), ("c", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontamination_stage(spark, rows, str(tmp_path))
+    clean = rows.where(F.coalesce(F.col("text") != PASSAGE, F.lit(True)))
+    assert kept.columns == rows.columns and said(kept, *rows.columns) == said(clean, *rows.columns)
+
+
+def test_awkward_rows_of_the_pii_stage(spark, sf):
+    rows = awkward_documents(spark)
+    out = corpus_pipeline.pii_stage(spark, rows, sf).cache()
+    assert out.columns == rows.columns
+    others = [c for c in rows.columns if c not in ("text", "n_chars")]
+    assert said(out, *others) == said(rows, *others)
+    assert out.where("text like '%ann@example%'").count() == 0 and out.where("doc_id = 20").count() == 2
+    quiet = "doc_id is null or doc_id in (1, 2, 3, 4, 6, 7, 21)"
+    assert said(out.where(quiet), "doc_id", "text", "n_chars") == said(rows.where(quiet), "doc_id", "text", "n_chars")
+    assert out.where("text is null").count() == 1 and out.where("n_chars <> length(text)").count() == 0
+
+
+def test_awkward_rows_of_the_mixing_stage(spark, sf):
+    rows = awkward_documents(spark).withColumn("mix_probability", F.lit("x"))
+    out = corpus_pipeline.mixing_stage(spark, rows, sf).cache()
+    assert sorted(out.columns) == sorted(rows.columns) and dict(out.dtypes)["mix_probability"] == "double"
+    given = [c for c in rows.columns if c != "mix_probability"]
+    assert set(said(out, *given)) <= set(said(rows, *given))
+    assert out.where("doc_id in (1, 2, 3)").count() == 0  # no word
+    assert all(out.where(f"doc_id = {i}").count() in (0, 2) for i in (4, 20, 21))
+    assert out.where("mix_probability <= 0 or mix_probability > 1").count() == 0

@@ -7,8 +7,8 @@ code over 256 bytes (escape method C, without exclusion).  The statistics are fr
 after training, so the code length of a text is a sum over its bytes, and the
 language with the shortest code wins.
 
-Training gathers counts of (order + 1)-grams from a bounded sample of labelled rows;
-the shorter contexts are sums of these.  The tables of all languages are sent to the
+Training gathers counts of (order + 1)-grams from all labelled rows that are not held
+out; the shorter contexts are sums of these.  The tables of all languages are sent to the
 tasks as arrays sorted by gram, with a hash of slots in front for quick look-up.
 """
 
@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from .common import beside, stored
 
 ORDER = 3
-MAX_DOCS = 400
 UNIFORM = 8.0
 #: Bytes scored at once; bounds the memory of a task whatever the texts.
 CHUNK = 1 << 19
+#: Bytes whose grams are counted at once.
+COUNT_CHUNK = 1 << 22
 SLOT_BITS = 20
-#: Documents of each language that the limit of rejection is learned on, at most about so many.
-MAX_LIMIT_DOCS = 200
+#: Fewer held-out texts of a language say too little of how its texts spread for a limit of rejection.
+MIN_LIMIT_DOCS = 30
 #: A text is rejected if its running bytes cost more than the mean of its language by so many standard deviations (pooled over the languages).
 SPREAD = 16.0
 #: So few running bytes say nothing.
@@ -53,31 +54,41 @@ def padded(text: bytes, order: int = ORDER) -> bytes:
     return b"\n" * order + text
 
 
-def sampled_rows(docs: DataFrame, upto: int, after: int = 0, seed: int = 9) -> DataFrame:
-    """About ``upto`` labelled rows of each language at most (all, if there are fewer), past the first ``after``.
-
-    Rows are chosen by a hash of the id against a threshold that follows the count of
-    the language.  Counts meet the rows by a join, so any number of labels will do, and
-    no language is gathered in one task: what is sent is one row for each label, if those are few.
-    """
-    rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    sizes = beside(stored(rows.groupBy("lang").agg(F.count("*").alias("of_lang")), "languages"), 10_000)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * F.col("of_lang")
-    return rows.join(sizes, "lang").where((place >= after) & (place < after + upto)).select("lang", "text")
+def labelled(docs: DataFrame) -> DataFrame:
+    """(lang, text) of all rows with language, text and id."""
+    return docs.where("lang is not null and text is not null and doc_id is not null").select("lang", "text")
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): occurrences of each (order + 1)-gram of bytes."""
+    """(lang, gram, n): occurrences of each (order + 1)-gram of bytes.
+
+    A task adds up its grams chunk by chunk, so it holds each different one once.
+    """
+
+    def added(held: tuple | None, pieces: list[bytes]) -> tuple:
+        gram, n = np.unique(np.concatenate([_grams(np.frombuffer(p, np.uint8), order + 1) for p in pieces]), return_counts=True)
+        if held is None:
+            return gram, n
+        both, where = np.unique(np.concatenate([held[0], gram]), return_inverse=True)
+        return both, np.bincount(where, weights=np.concatenate([held[1], n]), minlength=len(both)).astype(np.int64)
 
     def count(batches):
+        held: dict[str, tuple] = {}
+        waiting: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
         for batch in batches:
-            by: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                grams = np.concatenate([_grams(np.frombuffer(padded(t, order), np.uint8), order + 1) for t in texts])
-                gram, n = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = padded(text.as_py(), order)
+                for at in range(order, max(len(data), order + 1), COUNT_CHUNK):  # pieces of a long text overlap by their context
+                    piece = data[at - order : at + COUNT_CHUNK]
+                    waiting.setdefault(lang, []).append(piece)
+                    sizes[lang] = sizes.get(lang, 0) + len(piece)
+                    if sizes[lang] >= COUNT_CHUNK:
+                        held[lang], sizes[lang] = added(held.get(lang), waiting.pop(lang)), 0
+        for lang, pieces in waiting.items():
+            held[lang] = added(held.get(lang), pieces)
+        for lang, (gram, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     made = rows.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, gram long, n long")
     return made.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -209,18 +220,19 @@ class ContextTrees:
             np.add.at(add_to, [i for i, _ in group], total[ends - self.order] - total[starts])
 
 
-def train(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> ContextTrees | None:
-    """Context trees from the labelled rows of ``docs``; None if there are none.
+def train(docs: DataFrame, order: int = ORDER) -> ContextTrees | None:
+    """Context trees from all labelled rows of ``docs``; None if there are none.
 
-    What reaches the driver is bounded by ``max_docs`` texts of each language.
+    What reaches the driver is one row for each different gram of a language, which
+    grows far slower than the texts.
     """
-    table = gram_counts(sampled_rows(docs, max_docs), order).toArrow()
+    table = gram_counts(labelled(docs), order).toArrow()
     if not table.num_rows:
         return None
-    lang = np.array(table.column("lang").to_pylist(), dtype=object)
+    names = table.column("lang").combine_chunks().dictionary_encode()
+    of_row, found = names.indices.to_numpy(), names.dictionary.to_pylist()
     gram, n = table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy()
-    langs = sorted(set(lang))
-    return ContextTrees(langs, {x: (gram[lang == x], n[lang == x]) for x in langs}, order)
+    return ContextTrees(sorted(found), {x: (gram[of_row == i], n[of_row == i]) for i, x in enumerate(found)}, order)
 
 
 _sent: WeakKeyDictionary = WeakKeyDictionary()
@@ -263,13 +275,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, order: int = ORDER, max_docs: int = MAX_DOCS) -> DataFrame:
+def identify(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``docs`` with a struct ``found`` (lang, score, bits_per_byte, bits_per_running_byte) of every row added.
 
-    Learns from the rows that are not held out.  Rows with null id are never learned
+    Learns from all labelled rows that are not held out.  Rows with null id are never learned
     from but get a prediction; repeated rows get the same; an empty table stays empty.
     """
-    trees = train(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), order, max_docs)
+    trees = train(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), order)
     return docs.drop("found").withColumn("found", predict(docs.sparkSession, trees, F.col("text")))
 
 
@@ -277,13 +289,13 @@ def limits(docs: DataFrame, trees: ContextTrees, spread: float = SPREAD) -> Data
     """(lang, most): bits per running byte above which a text is in no known language.
 
     The mean of the language and ``spread`` standard deviations, pooled over the
-    languages, of labelled rows that the trees were not trained on, at most about
-    ``MAX_LIMIT_DOCS`` of each language.  A language without such rows has no limit.
+    languages, of all labelled rows that are held out, so that the trees were not trained
+    on them.  A language with fewer than ``MIN_LIMIT_DOCS`` such rows has no limit.
     """
-    rows = sampled_rows(docs, MAX_LIMIT_DOCS, after=MAX_DOCS).withColumn("found", predict(docs.sparkSession, trees, F.col("text")))
+    rows = labelled(docs.where(held_out(F.col("doc_id")))).withColumn("found", predict(docs.sparkSession, trees, F.col("text")))
     rate = F.when(~F.isnan("found.bits_per_running_byte"), F.col("found.bits_per_running_byte"))
     sums = rows.groupBy(F.col("found.lang").alias("known")).agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance"), F.count(rate).alias("n"))
-    sums = stored(sums.where("n > 0"), "rates")
+    sums = stored(sums.where(F.col("n") >= MIN_LIMIT_DOCS), "rates")
     pooled = sums.agg(F.sqrt(F.sum(F.col("variance") * F.col("n")) / F.sum("n"))).first()[0] or 0.0
     return sums.select("known", (F.col("mean") + spread * pooled).alias("most"))
 
@@ -297,8 +309,8 @@ def keep_language(docs: DataFrame) -> DataFrame:
     rejects all, since no language is known.  Repeated rows are judged alike; a column
     called ``found`` passes through like any other.
     """
-    slim = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
-    trees = train(slim)
+    slim = docs.select("doc_id", "text", "lang")
+    trees = train(slim.where(~held_out(F.col("doc_id"))))
     if trees is None:
         return docs.where(F.lit(False))
     marked = docs.select(F.struct("*").alias("row"), predict(docs.sparkSession, trees, F.col("text")).alias("found"))

@@ -1,4 +1,8 @@
+from collections import Counter
+
 import corpus_pipeline
+import numpy as np
+import pytest
 from helpers import awkward, clashing, docs
 from pyspark.sql import functions as F
 
@@ -55,6 +59,27 @@ def test_language_stage_drops_noise_and_hands_on_the_language(spark, sf):
     assert kept.join(true, "doc_id").agg(F.avg((F.col("lang") == F.col("true")).cast("int"))).first()[0] > 0.98
 
 
+def test_languages_and_limits_come_from_all_labelled_rows(spark, monkeypatch):
+    """3,000 rows of one language: every gram is known, and the limit is that of all held-out rows."""
+    texts = [f"the number of this line is {i * 7919} and no more words follow it {'zq' * (i % 5)}" for i in range(3000)]
+    table = docs(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(3)
+    monkeypatch.setattr(language_id, "COUNT_CHUNK", 5000)
+    held = {r["doc_id"] for r in table.where(language_id.held_out(F.col("doc_id"))).collect()}
+    trees = language_id.train(table.where(~language_id.held_out(F.col("doc_id"))))
+    counts = Counter(g for i, t in enumerate(texts) if i not in held for g in language_id._grams(np.frombuffer(language_id.padded(t.encode()), np.uint8), 4).tolist())
+    grams = np.array(sorted(counts), np.uint64)
+    own = language_id.ContextTrees(["en"], {"en": (grams, np.array([counts[g] for g in grams.tolist()]))})
+    assert all(np.array_equal(a[k], b[k]) for a, b in zip(trees.levels, own.levels) for k in ("grams", "bits", "escape"))
+    _, running, n = own.measure([texts[i].encode() for i in sorted(held)])
+    rates = running[:, 0] / n
+    assert language_id.limits(table, trees).collect() == [("en", pytest.approx(rates.mean() + language_id.SPREAD * rates.std()))]
+
+
+def test_few_held_out_rows_set_no_limit(spark):
+    rows = docs(spark, [(i, "the cat sat on the mat and that was all that it did " * (1 + i % 2), "en") for i in range(60)])
+    assert language_id.limits(rows, language_id.train(rows)).count() == 0
+
+
 def test_differing_texts_of_one_id_stay(spark):
     rows = docs(spark, [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, "alpha beta gamma delta epsilon zeta"), (None, "x"), (3, None), (4, "")])
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dup.drop_near_duplicates(rows).collect())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,8 @@ from ..sources.shared import stored
 #: A side of at most this many rows is sent to all tasks; a longer one is shuffled.
 SMALL_ROWS = 50_000
 EARTH_KM = 6371.0088
+#: A cell as wide as the buffer is split in sixteen at most so many times.
+LEVELS = 3
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -43,36 +46,96 @@ def _slabs(places: DataFrame, edges: DataFrame, height: float) -> DataFrame:
     return met.groupBy("lon", "lat").agg((F.count_if(crosses) % 2 == 1).alias("_in")).where("_in").select("lon", "lat")
 
 
-def _reached(places: DataFrame, edges: DataFrame, buffer_km: float, size: float) -> DataFrame:
-    """(lon, lat) of the places within the buffer: points meet the edges that reach their grid cell only.
-
-    Edges are cut into pieces no longer than a cell, so a long one reaches the cells along it and not all of its box.
-    """
-    reach = buffer_km / (math.radians(1.0) * EARTH_KM)
+def _pieces(edges: DataFrame, size: float) -> DataFrame:
+    """``edges`` cut into pieces no longer than ``size`` along an axis, each with the box it fills; ``_lon_0`` and ``_lat_0`` are its first end."""
     long = F.greatest(F.abs(F.col("lon2") - F.col("lon1")), F.abs(F.col("lat2") - F.col("lat1")))
     pieces = F.greatest(F.ceil(long / size), F.lit(1))
     cut = edges.withColumn("_k", pieces).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))))
     on = lambda c, i: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (F.col("_i") - i) / F.col("_k")
     ends = {f"_{c}_{name}": f(on(c, 1), on(c, 0)) for c in ("lon", "lat") for name, f in (("lo", F.least), ("hi", F.greatest))}
+    return cut.withColumns(ends | {"_lon_0": on("lon", 1), "_lat_0": on("lat", 1)})
+
+
+def _cells_near(boxes: DataFrame, buffer_km: float, size: float) -> DataFrame:
+    """``boxes`` dealt to the cells ``_x``, ``_y`` that hold a place within the buffer of them."""
+    reach = buffer_km / (math.radians(1.0) * EARTH_KM)
     slack = size * 1e-6
     widest = F.cos(F.radians(F.least(F.greatest(F.abs("_lat_lo"), F.abs("_lat_hi")) + reach + slack, F.lit(90.0))))
     east = F.least(reach / F.greatest(widest, F.lit(1e-9)), F.lit(360.0)) + slack
     cells = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
-    boxed = cut.withColumns(ends).withColumn("_x", F.explode(cells(F.col("_lon_lo") - east, F.col("_lon_hi") + east)))
-    boxed = boxed.withColumn("_y", F.explode(cells(F.col("_lat_lo") - reach - slack, F.col("_lat_hi") + reach + slack)))
-    dealt = boxed.select("_x", "_y", "lon1", "lat1", "lon2", "lat2").distinct()
+    boxed = boxes.withColumn("_x", F.explode(cells(F.col("_lon_lo") - east, F.col("_lon_hi") + east)))
+    return boxed.withColumn("_y", F.explode(cells(F.col("_lat_lo") - reach - slack, F.col("_lat_hi") + reach + slack)))
+
+
+def _reached(places: DataFrame, edges: DataFrame, buffer_km: float, size: float) -> DataFrame:
+    """(lon, lat) of the places within the buffer: points meet the edges that reach their grid cell only.
+
+    Edges are cut into pieces no longer than a cell, so a long one reaches the cells along it and not all of its box.
+    """
+    dealt = _cells_near(_pieces(edges, size), buffer_km, size).select("_x", "_y", "lon1", "lat1", "lon2", "lat2").distinct()
     here = places.withColumn("_x", F.floor(F.col("lon") / size)).withColumn("_y", F.floor(F.col("lat") / size))
     near = here.join(dealt, ["_x", "_y"]).where(_edge_kilometres(F.col("lon"), F.col("lat")) <= buffer_km)
     return near.select("lon", "lat").distinct()
 
 
+def _reached_by_cells(places: DataFrame, edges: DataFrame, buffer_km: float, size: float, levels: int) -> DataFrame:
+    """The same where a buffer holds many edges: whole cells are inside or outside, and only points between meet edges.
+
+    Pairs of a cell and a cell where edges begin have a least and a largest distance.  A
+    cell that is within the buffer of another as a whole is inside; pairs beyond the buffer, or
+    farther than another pair reaches at most, are dropped.  The cells that are left are
+    split in sixteen, ``levels`` times, down to ``size``, so the work on cells goes with the
+    outline's length, whatever the points.
+    """
+    north, slack, wide = math.radians(1.0) * EARTH_KM, size * 1e-6, size / 4
+    ends = _pieces(edges, wide).withColumn("_ex", F.floor(F.col("_lon_0") / size)).withColumn("_ey", F.floor(F.col("_lat_0") / size))
+    ends = stored(ends.select("_ex", "_ey", "lon1", "lat1", "lon2", "lat2"), "edge-cells")
+    held = stored(ends.select("_ex", "_ey").distinct(), "held-cells")
+    up = lambda c, k: F.shiftright(F.col(c), 2 * k)
+    pairs, leaves = None, []
+    for k in range(levels, -1, -1):
+        own = size * 4**k
+        there = held.select(up("_ex", k).alias("_ex"), up("_ey", k).alias("_ey")).distinct()
+        if pairs is None:
+            box = {"_lon_lo": F.col("_ex") * own - wide, "_lon_hi": (F.col("_ex") + 1) * own + wide, "_lat_lo": F.col("_ey") * own - wide, "_lat_hi": (F.col("_ey") + 1) * own + wide}
+            pairs = _cells_near(there.withColumns(box), buffer_km, own)
+        else:
+            inner = there.withColumn("_px", up("_ex", 1)).withColumn("_py", up("_ey", 1))
+            split = pairs.withColumnsRenamed({"_ex": "_px", "_ey": "_py"}).join(inner, ["_px", "_py"])
+            steps = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
+            split = split.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+            pairs = split.withColumn("_x", F.col("_x") * 4 + F.col("_i")).withColumn("_y", F.col("_y") * 4 + F.col("_j"))
+        low_lat, high_lat = F.col("_y") * own - slack, (F.col("_y") + 1) * own + slack
+        far, close = F.greatest(F.abs(low_lat), F.abs(high_lat)), F.when(low_lat * high_lat <= 0, 0.0).otherwise(F.least(F.abs(low_lat), F.abs(high_lat)))
+        least_east = F.when(far >= 90, 0.0).otherwise(F.cos(F.radians(far))) * north
+        most_east = F.when(far >= 90, 1.0).otherwise(F.cos(F.radians(close))) * north
+        dx, dy = F.abs(F.col("_x") - F.col("_ex")) * own, F.abs(F.col("_y") - F.col("_ey")) * own
+        gap = lambda d: F.greatest(d - own - wide - slack, F.lit(0.0))
+        low, high = F.hypot(gap(dx) * least_east, gap(dy) * north), F.hypot((dx + own + slack) * most_east, (dy + own + slack) * north)
+        # in a hair's breadth of the buffer a pair stays
+        bounded = pairs.select("_x", "_y", "_ex", "_ey", low.alias("_low"), high.alias("_high")).where(F.col("_low") <= buffer_km * (1 + 1e-9))
+        bounded = stored(bounded, "cell-pairs")
+        cells = bounded.groupBy("_x", "_y").agg(F.min("_high").alias("_least"))
+        cells = stored(cells.withColumn("_sure", F.col("_least") <= buffer_km * (1 - 1e-9)), "cells")
+        leaves.append(cells.where("_sure" if k else "true").select(F.lit(k).alias("_level"), "_x", "_y", "_sure"))
+        pairs = bounded.join(cells.where("not _sure"), ["_x", "_y"]).where(F.col("_low") <= F.col("_least") * (1 + 1e-9)).select("_x", "_y", "_ex", "_ey")
+    fine = places.withColumn("_fx", F.floor(F.col("lon") / size)).withColumn("_fy", F.floor(F.col("lat") / size))
+    fine = fine.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    fine = fine.withColumns({f"_{c}": F.expr(f"shiftright(_f{c}, 2 * _level)") for c in "xy"})
+    met = stored(fine.join(small(stored(reduce(DataFrame.unionByName, leaves), "leaves")), ["_level", "_x", "_y"]).select("lon", "lat", "_x", "_y", "_sure"), "met")
+    between = met.where("not _sure").join(pairs, ["_x", "_y"]).join(ends, ["_ex", "_ey"])
+    near = between.where(_edge_kilometres(F.col("lon"), F.col("lat")) <= buffer_km).select("lon", "lat").distinct()
+    return met.where("_sure").select("lon", "lat").unionByName(near)
+
+
 def region_mask(points: DataFrame, edges: DataFrame, buffer_km: float = 0.0) -> DataFrame:
     """``points`` (lon, lat) with ``inside``: in the polygon or within the buffer.
 
     ``edges`` (lon1, lat1, lon2, lat2) of all rings is the outline of a region, of any
     size.  A ray to the east crosses the outline an odd number of times from inside: points
     and edges are joined by latitude band.  For the buffer they are joined by grid cell.
-    Bands and cells are as high as the mean edge, and cells at least as the buffer.
+    Bands and cells are as high as the mean edge, and cells at least as the buffer.  Where
+    the buffer is many edges wide, cells are settled as a whole first.
     Points without a coordinate are outside.
     """
     edges = edges.select("lon1", "lat1", "lon2", "lat2").dropna()
@@ -81,7 +144,10 @@ def region_mask(points: DataFrame, edges: DataFrame, buffer_km: float = 0.0) ->
     if mean_lat is None:
         return points.withColumn("inside", F.lit(False))
     inside = _slabs(places, edges, max(mean_lat, 1e-9))
-    near = _reached(places, edges, buffer_km, max(mean_lat, mean_lon, 1.01 * buffer_km / (math.radians(1.0) * EARTH_KM), 1e-9))
+    edge = max(mean_lat, mean_lon, 1e-9)
+    size = max(edge, 1.01 * buffer_km / (math.radians(1.0) * EARTH_KM))
+    levels = min(LEVELS, int(math.log(size / edge, 4)))
+    near = _reached_by_cells(places, edges, buffer_km, size / 4**levels, levels) if levels else _reached(places, edges, buffer_km, size)
     marked = inside.unionByName(near).distinct().withColumn("inside", F.lit(True))
     return points.join(marked, ["lon", "lat"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 

@@ -109,6 +109,39 @@ def test_region_with_long_edges_against_all_pairs(spark):
         assert got == want and 0 < sum(got.values()) < 400
 
 
+def test_buffer_of_many_edges_against_all_pairs(spark):
+    """A ring of short edges with two long ones, at high latitude and across the equator: no point meets all edges."""
+    rng = np.random.default_rng(8)
+    for north in (0.0, 68.0):
+        ring = [(0.3 * math.cos(a), north + 0.2 * math.sin(a) + 0.02 * math.sin(5 * a)) for a in np.linspace(0, 1.7 * math.pi, 600)]
+        ring = [*ring, (0.0, north), ring[0]]
+        edges = spark.createDataFrame([(float(p), float(q), float(r), float(s)) for (p, q), (r, s) in zip(ring, ring[1:])], "lon1 double, lat1 double, lon2 double, lat2 double")
+        points = spark.createDataFrame([(float(x), float(y)) for x, y in zip(rng.uniform(-1.2, 1.2, 1500), rng.uniform(north - 0.6, north + 0.6, 1500))], "lon double, lat double")
+        spans = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
+        at = F.col("lon1") + (F.col("lat") - F.col("lat1")) * F.try_divide(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1"))
+        pairs = points.crossJoin(edges).groupBy("lon", "lat").agg(
+            (F.count_if(F.coalesce(spans & (F.col("lon") < at), F.lit(False))) % 2 == 1).alias("in"), F.min(spatial._edge_kilometres(F.col("lon"), F.col("lat"))).alias("km")
+        )
+        rows = pairs.collect()
+        for km in (6.0, 25.0):
+            want = {(r["lon"], r["lat"]): r["in"] or r["km"] <= km for r in rows}
+            got = {(r["lon"], r["lat"]): r["inside"] for r in spatial.region_mask(points, edges, km).collect()}
+            assert got == want and 0 < sum(got.values()) < 1500
+
+
+def test_points_of_a_buffer_meet_few_edges(spark, monkeypatch):
+    """Distances to edges are asked of few pairs: 2,000 points and 2,000 edges made 4 million pairs before."""
+    ring = [(0.1 * math.cos(a), 0.1 * math.sin(a)) for a in np.linspace(0, 2 * math.pi, 2001)]
+    edges = spark.createDataFrame([(float(p), float(q), float(r), float(s)) for (p, q), (r, s) in zip(ring, ring[1:])], "lon1 double, lat1 double, lon2 double, lat2 double")
+    rng = np.random.default_rng(2)
+    points = spark.createDataFrame([(float(x), float(y)) for x, y in rng.normal(0, 0.12, (2000, 2))], "lon double, lat double")
+    asked, plain = spark.sparkContext.accumulator(0), spatial._edge_kilometres
+    ask = F.udf(lambda km: asked.add(1) or km, "double").asNondeterministic()
+    monkeypatch.setattr(spatial, "_edge_kilometres", lambda *a: ask(plain(*a)))
+    assert spatial.region_mask(points, edges, 25.0).where("inside").count() > 1900
+    assert 0 < asked.value < 400_000
+
+
 def test_gaps_across_partitions(spark):
     rng = np.random.default_rng(1)
     values = sorted({round(float(v), 2) for v in rng.uniform(0, 50, 300)})

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -93,18 +93,29 @@ def reachable_targets(table: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.where("tokens > 0").select("margin", "value", F.least(grown, "tokens").alias("target"))
 
 
-def _scaled(rows: DataFrame, margin: str) -> DataFrame:
+def _scaled(rows: DataFrame, margin: str, few: bool = False) -> DataFrame:
     """``times`` multiplied by one factor for each value of ``margin``; ``off_margin`` says how far it was off.
 
     The open cells share what the full ones leave of the target.  Sums by value are
     partial before they are shuffled, and come back by a join: no value's cells meet in one task.
+    A ``few`` cells, in one partition anyway, are summed over windows: joins of rows with sums of the same
+    rows would double the plan for every margin.
     """
     weight, goal = F.least("times", F.lit(1.0)) * F.col("tokens"), F.first(f"to_{margin}")
     open_ = F.sum(F.when(F.col("times") < FULL, F.col("times") * F.col("tokens")).otherwise(0.0))
-    sums = rows.groupBy(margin).agg(goal.alias("goal"), F.sum(weight).alias("now"), open_.alias("open"))
+    if few:
+        own = Window.partitionBy(margin)
+        sums = rows.withColumns({"goal": F.col(f"to_{margin}"), "now": F.sum(weight).over(own), "open": open_.over(own)})
+    else:
+        sums = rows.groupBy(margin).agg(goal.alias("goal"), F.sum(weight).alias("now"), open_.alias("open"))
     full = F.col("now") - F.col("open")
     share = F.when((F.col("open") > 0) & (F.col("goal") > full), (F.col("goal") - full) / F.col("open")).otherwise(F.col("goal") / F.col("now"))
-    known = sums.where("goal is not null and now > 0").select(margin, share.alias("factor"), F.abs(F.col("now") / F.col("goal") - 1).alias(f"off_{margin}"))
+    off = F.abs(F.col("now") / F.col("goal") - 1)
+    if few:
+        is_known = F.col("goal").isNotNull() & (F.col("now") > 0)
+        times = F.col("times") * F.when(is_known, share).otherwise(1.0)
+        return sums.withColumns({"times": times, f"off_{margin}": F.when(is_known, off)}).drop("goal", "now", "open")
+    known = sums.where("goal is not null and now > 0").select(margin, share.alias("factor"), off.alias(f"off_{margin}"))
     out = rows.drop(f"off_{margin}").join(known.hint("shuffle_hash"), margin, "left")
     return out.withColumn("times", F.col("times") * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
@@ -131,7 +142,7 @@ def rake(table: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tolerance:
     worst = F.max(F.greatest(*[F.coalesce(f"off_{m}", F.lit(0.0)) for m in MARGINS]))
     for _ in range(rounds):
         seen = Observation()
-        rows = stored(reduce(_scaled, MARGINS, rows.coalesce(1) if few else rows).observe(seen, worst.alias("worst")), "raked")
+        rows = stored(reduce(lambda out, m: _scaled(out, m, few), MARGINS, rows.coalesce(1) if few else rows).observe(seen, worst.alias("worst")), "raked")
         if (seen.get["worst"] or 0.0) <= tolerance:
             break
     weighed = rows.withColumn("weight", F.least("times", F.lit(1.0)) * F.col("tokens")).drop("times", *[f"off_{m}" for m in MARGINS])

@@ -274,29 +274,40 @@ def _patterns(found: DataFrame) -> DataFrame:
 def posteriors(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``patterns`` of votes, at most 4 x 3**4 rows, with ``p``, the probability that a candidate with these votes is true.
 
-    Expectation-maximisation within each kind, all rounds in one job: sums over the
-    patterns of a kind and vote give how often a labeler votes so on true and on false
-    candidates; these give the odds of each pattern.  Starts from the majority of
-    votes; a weak prior says that labelers are more often right than wrong, so the two
-    classes can't change places.
+    Expectation-maximisation within each kind, whose patterns are one array: sums over
+    the patterns of a vote give how often a labeler votes so on true and on false
+    candidates; these give the odds of each pattern.  Starts from the majority of votes;
+    a weak prior says that labelers are more often right than wrong, so the two classes
+    can't change places.
     """
-    p = 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [F.col(x).cast("double") for x in LABELERS])))
-    rows = patterns.withColumn("p", p)
-    for i in range(rounds):
-        true, false = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        kind = Window.partitionBy("kind")
-        rows = rows.withColumn("t", F.sum(true).over(kind)).withColumn("f", F.sum(false).over(kind))
-        odds = F.log((F.col("t") + 1) / (F.col("f") + 1))
-        for name in LABELERS:
-            own = Window.partitionBy("kind", name)
-            right = F.pow(2.0, F.col(name) + 1)  # 1, 2 or 4 votes before any is seen
-            says_true = (F.sum(true).over(own) + right) / (F.col("t") + 7)
-            says_false = (F.sum(false).over(own) + 4 / right) / (F.col("f") + 7)
-            odds = odds + F.log(says_true / says_false)
-        rows = rows.withColumn("p", 1 / (1 + F.exp(-odds))).drop("t", "f")
-        if i % 4 == 3 or i + 1 == rounds:
-            rows = stored(rows, "posteriors")
-    return rows
+
+    def total(items, of):
+        return F.aggregate(items, F.lit(0.0), lambda a, x: a + of(x))
+
+    def once(value, f):
+        return F.element_at(F.transform(F.array(value), f), 1)
+
+    def rates(x):
+        """The odds of a kind, and for each labeler those of its three votes."""
+        t, f = total(x, lambda y: y["t"]), total(x, lambda y: y["f"])
+
+        def vote(name, w):
+            right = 2.0 ** (w + 1)  # 1, 2 or 4 votes before any is seen
+            says_true, says_false = (total(x, lambda y: F.when(y["v"][name] == w, y[k]).otherwise(0.0)) for k in "tf")
+            return F.log(((says_true + right) / (t + 7)) / ((says_false + 4 / right) / (f + 7)))
+
+        return F.struct(F.log((t + 1) / (f + 1)).alias("whole"), *[F.array(*[vote(name, w) for w in (-1, 0, 1)]).alias(name) for name in LABELERS])
+
+    def again(p, _):
+        split = F.zip_with("_rows", p, lambda y, q: F.struct(y.alias("v"), (y["n"] * q).alias("t"), (y["n"] * (1 - q)).alias("f")))
+        odds = lambda y, r: reduce(lambda a, name: a + F.get(r[name], y[name].cast("int") + 1), LABELERS, r["whole"])
+        return once(once(split, rates), lambda r: F.transform("_rows", lambda y: 1 / (1 + F.exp(-odds(y, r)))))
+
+    start = F.transform("_rows", lambda y: 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [y[x].cast("double") for x in LABELERS]))))
+    kinds = patterns.groupBy("kind").agg(F.collect_list(F.struct(*patterns.columns)).alias("_rows"))
+    rated = kinds.select("_rows", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again).alias("_p"))
+    each = F.explode(F.arrays_zip("_rows", "_p")).alias("_x")
+    return stored(rated.select(each).select("_x._rows.*", F.col("_x._p").alias("p")), "posteriors")
 
 
 def reliabilities(rated: DataFrame) -> DataFrame:

@@ -197,6 +197,26 @@ def test_labelers_are_rated(spark):
     assert told["gazetteer", 1]["on_true"] > 0.95 and told["gazetteer", -1]["on_false"] > 0.95
 
 
+def test_posteriors_against_arrays(spark):
+    """Two kinds of random votes, and no window in the plan, of which every round had four."""
+    rng = np.random.default_rng(5)
+    rows = [(k, *v, 0, int(rng.integers(1, 90))) for k in (0, 2) for v in sorted({tuple(int(y) for y in rng.integers(-1, 2, 4)) for _ in range(30)})]
+    patterns = spark.createDataFrame(rows, "kind int, shape byte, gazetteer byte, context byte, boundary byte, size byte, n long")
+    got = {tuple(r)[:5]: r["p"] for r in pii.posteriors(patterns).collect()}
+    for kind in (0, 2):
+        own = np.array([r for r in rows if r[0] == kind])
+        votes, n = own[:, 1:5], own[:, 6]
+        p = 1 / (1 + np.exp(-votes.sum(axis=1)))
+        for _ in range(pii.ROUNDS):
+            t, f = n * p, n * (1 - p)
+            odds = np.full(len(n), np.log((t.sum() + 1) / (f.sum() + 1)))
+            for v in votes.T:
+                said = [sum(w[v == x].sum() * (v == x) for x in (-1, 0, 1)) for w in (t, f)]
+                odds += np.log((said[0] + 2.0 ** (v + 1)) / (t.sum() + 7) / ((said[1] + 4 / 2.0 ** (v + 1)) / (f.sum() + 7)))
+            p = 1 / (1 + np.exp(-odds))
+        assert [got[tuple(r)[:5]] for r in own.tolist()] == pytest.approx(p.tolist(), rel=1e-9)
+
+
 def test_pii_awkward_and_masking(spark):
     rows = pii.find_spans(clashing(awkward(spark))).collect()
     assert len(rows) == 10 and pii.find_spans(awkward(spark).limit(0)).count() == 0
@@ -407,6 +427,24 @@ def test_raking_against_arrays(spark):
     assert all(r["weight"] <= r["tokens"] for r in raked)
 
 
+def _raking_nodes(spark, few):
+    table = spark.createDataFrame([(s, a, t, 100.0, 0.5, 300.0, 290.0, 310.0, None, None, None) for s in "ab" for a in "cd" for t in "xy"],
+        "source string, lang string, topic string, tokens double, times double, to_source double, to_lang double, to_topic double, off_source double, off_lang double, off_topic double")
+    table = table.withColumn("tokens", F.col("tokens") + F.ascii("source") + 2 * F.ascii("lang"))
+    rows = table.coalesce(1) if few else table
+    for m in mixing.MARGINS:
+        rows = mixing._scaled(rows, m, few)
+    return sorted(tuple(r) for r in rows.select(*mixing.MARGINS, F.round("times", 12), *[F.round(f"off_{m}", 12) for m in mixing.MARGINS]).collect()), rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_of_few_cells_read_them_once(spark):
+    """Each margin doubled the plan of a round; the driver plans and compiles every round."""
+    plain, joined = _raking_nodes(spark, False)
+    got, once = _raking_nodes(spark, True)
+    scans = [plan.count("LogicalRDD") + plan.count("LocalRelation") for plan in (joined, once)]
+    assert str(got) == str(plain) and scans == [8, 1]
+
+
 def test_full_cells_lose_no_mass(spark):
     """A plain weight above its cell's tokens: what it can't take goes to others, and every margin holds."""
     rows = [("s1", "en", "x", 100, 1), ("s1", "fr", "x", 3000, 1), ("s1", "en", "y", 2000, 1), ("s2", "en", "x", 4000, 1), ("s2", "fr", "x", 50, 1), ("s2", "fr", "y", 5000, 1)]
